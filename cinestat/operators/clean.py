@@ -91,10 +91,11 @@ def trim_outliers(movies: DataFrame, cols=("budget", "revenue"), q: float = 0.99
     in the same query -- no driver round trip). ``drop_null=True`` keeps the
     reference's behaviour of also dropping rows where a column is NULL.
     """
+    # one aggregate pass and one scalar subquery for all caps
+    caps = movies.agg(F.struct(*[F.percentile_approx(c, q, accuracy).alias(c) for c in cols])).scalar()
     cond = F.lit(True)
     for c in cols:
-        cap = movies.agg(F.percentile_approx(c, q, accuracy)).scalar()
-        ok = F.col(c) <= cap
+        ok = F.col(c) <= caps[c]
         cond = cond & (ok if drop_null else (F.col(c).isNull() | ok))
     return movies.filter(cond)
 

@@ -17,7 +17,8 @@ Ranks just outside the bracket are the neighbours of step 2, so a sketch
 rank error of up to one element beyond its bound is still exact. Per-group
 tables join back on the group keys (AQE picks broadcast or sort-merge from
 their runtime size and splits a hot group on the big side); the global form
-uses scalar subqueries instead of joins.
+uses scalar subqueries instead of joins, over its input written once to the
+shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -83,20 +84,27 @@ def exact_percentile(df: DataFrame, col: str, p: float, group_cols: Sequence[str
 
 
 def _global(x: DataFrame, p: float, accuracy: int, out: str) -> DataFrame:
-    sk = x.agg(*_bracket_aggs(p, accuracy))
-    n = sk.select("_n").scalar()
-    lo = sk.select(F.col("_br")[0]).scalar()
-    hi = sk.select(F.col("_br")[1]).scalar()
-    edge = x.agg(*_edge_aggs(lo, hi))
-    below = edge.select("_below").scalar()
+    # The input (one column) is written once to the shared checkpoint folder
+    # so the three passes below do not each recompute its upstream plan.
+    # Each one-row phase is one scalar subquery holding a struct.
+    from cinestat.session import materialize
+    x = materialize(x, "percentile-input")
+    sk = x.agg(*_bracket_aggs(p, accuracy)).select(
+        F.struct(F.col("_n").alias("n"), F.col("_br")[0].alias("lo"), F.col("_br")[1].alias("hi"))).scalar()
+    n, lo, hi = sk["n"], sk["lo"], sk["hi"]
+    edge = x.agg(*_edge_aggs(lo, hi)).select(
+        F.struct(F.col("_below").alias("below"), F.col("_pred").alias("pred"), F.col("_succ").alias("succ"))
+    ).scalar()
+    below = edge["below"]
     # the bracket holds O(n / accuracy) distinct values: one small sorted task
     inside = (x.filter(F.col("_x").between(lo, hi)).groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
               .withColumn("_cum", F.sum("_c").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))))
     h = (n - 1) * F.lit(p)
     k1, k2 = F.floor(h), F.ceil(h)
-    picked = inside.agg(F.max("_cum").alias("_in"), _at_rank(k1, below).alias("_v1"),
-                        _at_rank(k2, below).alias("_v2"))
-    inn = F.coalesce(picked.select("_in").scalar(), F.lit(0))
-    v1 = _resolve(k1, picked.select("_v1").scalar(), below, inn, F.col("_pred"), F.col("_succ"))
-    v2 = _resolve(k2, picked.select("_v2").scalar(), below, inn, F.col("_pred"), F.col("_succ"))
-    return edge.filter(n > 0).select((v1 + (v2 - v1) * (h - k1)).alias(out))
+    picked = inside.agg(F.struct(F.max("_cum").alias("inn"), _at_rank(k1, below).alias("v1"),
+                                 _at_rank(k2, below).alias("v2"))).scalar()
+    inn = F.coalesce(picked["inn"], F.lit(0))
+    v1 = _resolve(k1, picked["v1"], below, inn, edge["pred"], edge["succ"])
+    v2 = _resolve(k2, picked["v2"], below, inn, edge["pred"], edge["succ"])
+    return x.agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > 0).select(
+        (v1 + (v2 - v1) * (h - k1)).alias(out))

@@ -302,14 +302,44 @@ def catalogue(t: Tables) -> DataFrame:
                          F.col("p_name").alias("title"), F.col("p_type").alias("genres"))
 
 
+# Tables written once per session and driver folder (the silver layer): many
+# analyses read them, and rebuilding them inside every query would repeat the
+# line-item aggregations and their shuffles.
+MATERIALIZED = ("movies_raw", "credits_raw", "ratings", "links", "rating_events", "recommendations")
+_STORE: dict[tuple, str] = {}
+
+
 class Canonical:
-    """Lazy canonical tables for one driver folder."""
+    """Canonical tables for one driver folder.
+
+    With ``materialize=True`` the tables in ``MATERIALIZED`` are written as
+    Parquet under the session's shared checkpoint folder the first time they
+    are asked for, and read back from there afterwards (rebuilt if the files
+    are gone). Otherwise every call returns the lazy derivation."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = False):
         self.t = Tables(spark, sf_dir)
+        self.materialize = materialize
+
+    def _stored(self, name: str, fn):
+        from cinestat.session import ensure_checkpoint_dir, scratch_path
+        spark = self.t.spark
+        key = (ensure_checkpoint_dir(spark), self.t.sf_dir, name)
+        path = _STORE.get(key)
+        if path is not None:
+            try:
+                return spark.read.parquet(path)
+            except Exception:  # noqa: BLE001 -- files removed: rebuild below
+                _STORE.pop(key, None)
+        path = scratch_path(spark, f"silver-{name}")
+        fn(self.t).write.mode("overwrite").parquet(path)
+        _STORE[key] = path
+        return spark.read.parquet(path)
 
     def __getattr__(self, name):
         fn = globals().get(name)
         if callable(fn) and name not in ("Canonical",):
+            if self.materialize and name in MATERIALIZED:
+                return lambda *a, **kw: (self._stored(name, fn) if not (a or kw) else fn(self.t, *a, **kw))
             return lambda *a, **kw: fn(self.t, *a, **kw)
         raise AttributeError(name)

@@ -54,7 +54,7 @@ REGISTRY: dict[str, Query] = {}
 def query(name: str, ops: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(fn(Canonical(spark, sf_dir), Tables(spark, sf_dir)))
+            return rounded(fn(Canonical(spark, sf_dir, materialize=True), Tables(spark, sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         REGISTRY[name] = Query(name, run, with_ctes(sql) if sql else None, ops)
