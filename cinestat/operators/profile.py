@@ -174,12 +174,14 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     min / max are scalar subqueries; the maximum falls into the last bin.
     """
     x = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    mm = x.agg(F.min("_v").alias("mn"), F.max("_v").alias("mx"))
-    mn, mx = mm.select("mn").scalar(), mm.select("mx").scalar()
+    # one scalar subquery (min and max together), carried as a column
+    mm = x.agg(F.struct(F.min("_v").alias("mn"), F.max("_v").alias("mx"))).scalar()
+    xs = x.withColumn("_mm", mm)
+    mn, mx = F.col("_mm.mn"), F.col("_mm.mx")
     width = mx - mn
     raw_bin = F.when(width == 0, F.lit(0)).otherwise(F.floor((F.col("_v") - mn) * bins / width))
     b = F.least(raw_bin, F.lit(bins - 1)).cast("int")
-    return (x.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return (xs.groupBy(b.alias("bin")).agg(F.first("_mm").alias("_mm"), F.count(F.lit(1)).alias("n"))
             .select("bin", (mn + F.col("bin") * width / bins).alias("lo"),
                     (mn + (F.col("bin") + 1) * width / bins).alias("hi"), "n"))
 

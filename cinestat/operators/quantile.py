@@ -17,8 +17,7 @@ Ranks just outside the bracket are the neighbours of step 2, so a sketch
 rank error of up to one element beyond its bound is still exact. Per-group
 tables join back on the group keys (AQE picks broadcast or sort-merge from
 their runtime size and splits a hot group on the big side); the global form
-uses scalar subqueries instead of joins, over its input written once to the
-shared checkpoint folder.
+links its one-row phases with scalar subqueries instead of joins.
 """
 
 from __future__ import annotations
@@ -69,6 +68,7 @@ def exact_percentile(df: DataFrame, col: str, p: float, group_cols: Sequence[str
     edge = j.groupBy(*g).agg(F.first("_n").alias("_n"), *_edge_aggs(F.col("_lo"), F.col("_hi")))
     inside = (j.filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
               .groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    # per group this window sees only the bracket: O(n / accuracy) distinct values
     w = Window.partitionBy(*g).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     cum = inside.withColumn("_cum", F.sum("_c").over(w)).join(edge.select(*g, "_n", "_below"), g)
     h = (F.col("_n") - 1) * F.lit(p)
@@ -84,27 +84,29 @@ def exact_percentile(df: DataFrame, col: str, p: float, group_cols: Sequence[str
 
 
 def _global(x: DataFrame, p: float, accuracy: int, out: str) -> DataFrame:
-    # The input (one column) is written once to the shared checkpoint folder
-    # so the three passes below do not each recompute its upstream plan.
-    # Each one-row phase is one scalar subquery holding a struct.
-    from cinestat.session import materialize
-    x = materialize(x, "percentile-input")
+    """The same steps for one global group, joined by scalar subqueries.
+
+    Each subquery is created once and carried as a column; later steps read
+    its fields from that column, so the plan holds each phase once (no join
+    on a constant key, which the optimizer would turn into a cross join)."""
     sk = x.agg(*_bracket_aggs(p, accuracy)).select(
         F.struct(F.col("_n").alias("n"), F.col("_br")[0].alias("lo"), F.col("_br")[1].alias("hi"))).scalar()
-    n, lo, hi = sk["n"], sk["lo"], sk["hi"]
-    edge = x.agg(*_edge_aggs(lo, hi)).select(
-        F.struct(F.col("_below").alias("below"), F.col("_pred").alias("pred"), F.col("_succ").alias("succ"))
-    ).scalar()
-    below = edge["below"]
-    # the bracket holds O(n / accuracy) distinct values: one small sorted task
-    inside = (x.filter(F.col("_x").between(lo, hi)).groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_cum", F.sum("_c").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))))
+    xs = x.withColumn("_s", sk)
+    lo, hi = F.col("_s.lo"), F.col("_s.hi")
+    edge = (xs.agg(F.first("_s").alias("s"), *_edge_aggs(lo, hi))
+            .select(F.struct("s", F.col("_below").alias("below"), F.col("_pred").alias("pred"),
+                             F.col("_succ").alias("succ"))).scalar())
+    # the bracket holds O(n / accuracy) distinct values: one small sorted task;
+    # lo and hi are data values, so it is never empty when n > 0
+    inside = (xs.filter(F.col("_x").between(lo, hi)).groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_cum", F.sum("_c").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("_e", edge))
+    n, below = F.col("_e.s.n"), F.col("_e.below")
     h = (n - 1) * F.lit(p)
     k1, k2 = F.floor(h), F.ceil(h)
-    picked = inside.agg(F.struct(F.max("_cum").alias("inn"), _at_rank(k1, below).alias("v1"),
-                                 _at_rank(k2, below).alias("v2"))).scalar()
-    inn = F.coalesce(picked["inn"], F.lit(0))
-    v1 = _resolve(k1, picked["v1"], below, inn, edge["pred"], edge["succ"])
-    v2 = _resolve(k2, picked["v2"], below, inn, edge["pred"], edge["succ"])
-    return x.agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > 0).select(
-        (v1 + (v2 - v1) * (h - k1)).alias(out))
+    picked = inside.groupBy().agg(F.first("_e").alias("_e"), F.max("_cum").alias("_in"),
+                                  _at_rank(k1, below).alias("_v1"), _at_rank(k2, below).alias("_v2"))
+    inn = F.coalesce(F.col("_in"), F.lit(0))
+    v1 = _resolve(k1, F.col("_v1"), below, inn, F.col("_e.pred"), F.col("_e.succ"))
+    v2 = _resolve(k2, F.col("_v2"), below, inn, F.col("_e.pred"), F.col("_e.succ"))
+    return picked.filter(F.col("_e").isNotNull()).select((v1 + (v2 - v1) * (h - k1)).alias(out))

@@ -322,6 +322,13 @@ class Canonical:
         self.materialize = materialize
 
     def _stored(self, name: str, fn):
+        return self.stored(name, lambda: fn(self.t))
+
+    def stored(self, name: str, build) -> DataFrame:
+        """``build()`` written once per session, folder and name (when
+        materializing), else the lazy ``build()``."""
+        if not self.materialize:
+            return build()
         from cinestat.session import ensure_checkpoint_dir, scratch_path
         spark = self.t.spark
         key = (ensure_checkpoint_dir(spark), self.t.sf_dir, name)
@@ -332,7 +339,7 @@ class Canonical:
             except Exception:  # noqa: BLE001 -- files removed: rebuild below
                 _STORE.pop(key, None)
         path = scratch_path(spark, f"silver-{name}")
-        fn(self.t).write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").parquet(path)
         _STORE[key] = path
         return spark.read.parquet(path)
 

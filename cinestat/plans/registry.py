@@ -70,20 +70,25 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
+# Silver tables: cleaned, deduplicated and trimmed movies and parsed credits
+# are written once per session (see ``Canonical.stored``) and read by every
+# analysis, instead of re-deriving them -- with their quantile subqueries --
+# inside each query plan.
+
 def _movies(c: Canonical) -> DataFrame:
-    return clean.clean_movies(c.movies_raw())
+    return c.stored("movies_silver", lambda: clean.clean_movies(c.movies_raw()))
 
 
 def _dedup(c: Canonical) -> DataFrame:
-    return clean.dedup_movies(_movies(c))
+    return c.stored("movies_dedup", lambda: clean.dedup_movies(_movies(c)))
 
 
 def _final(c: Canonical) -> DataFrame:
-    return clean.trim_outliers(_dedup(c))
+    return c.stored("movies_final", lambda: clean.trim_outliers(_dedup(c)))
 
 
 def _credits(c: Canonical) -> DataFrame:
-    return clean.clean_credits(c.credits_raw())
+    return c.stored("credits_parsed", lambda: clean.clean_credits(c.credits_raw()))
 
 
 def _enriched(c: Canonical) -> DataFrame:
