@@ -207,3 +207,15 @@ def typed_summary(df: DataFrame, cols: Sequence[str], accuracy: int = 10000) ->
     return wide.selectExpr(stack).select(
         "column_name", "count", "mean", "stddev", "min",
         F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+
+
+def value_histograms(df: DataFrame, bins: dict[str, int]) -> DataFrame:
+    """column_name, bin, lo, hi, n for several columns (V10): rows with a
+    NULL in any of the columns are dropped first, as the distribution plots do."""
+    cols = list(bins)
+    clean = df.select(*cols).dropna()
+    parts = [equal_width_histogram(clean, c, b).select(F.lit(c).alias("column_name"), "*") for c, b in bins.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

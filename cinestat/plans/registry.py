@@ -355,6 +355,40 @@ def q_price_hist(c, t):
     return profile.equal_width_histogram(_final(c), "budget", BUDGET_BINS)
 
 
+VALUE_BINS = {'budget': 50, 'revenue': 50, 'runtime': 40, 'vote_average': 30}
+
+
+@query("value_histograms", "V10 A15 P11", """WITH vh AS (SELECT budget, revenue, runtime, vote_average FROM movies_final
+            WHERE budget IS NOT NULL AND revenue IS NOT NULL AND runtime IS NOT NULL
+              AND vote_average IS NOT NULL)
+SELECT 'budget' AS column_name, bin, round(mn + bin * (mx - mn) / 50, 6) AS lo,
+       round(mn + (bin + 1) * (mx - mn) / 50, 6) AS hi, count(*) AS n FROM (
+  SELECT CAST(least(CASE WHEN mx = mn THEN 0 ELSE floor((budget - mn) * 50 / (mx - mn)) END, 49) AS INTEGER) AS bin,
+         mn, mx
+  FROM vh, (SELECT min(budget) AS mn, max(budget) AS mx FROM vh)) GROUP BY bin, mn, mx
+UNION ALL
+SELECT 'revenue' AS column_name, bin, round(mn + bin * (mx - mn) / 50, 6) AS lo,
+       round(mn + (bin + 1) * (mx - mn) / 50, 6) AS hi, count(*) AS n FROM (
+  SELECT CAST(least(CASE WHEN mx = mn THEN 0 ELSE floor((revenue - mn) * 50 / (mx - mn)) END, 49) AS INTEGER) AS bin,
+         mn, mx
+  FROM vh, (SELECT min(revenue) AS mn, max(revenue) AS mx FROM vh)) GROUP BY bin, mn, mx
+UNION ALL
+SELECT 'runtime' AS column_name, bin, round(mn + bin * (mx - mn) / 40, 6) AS lo,
+       round(mn + (bin + 1) * (mx - mn) / 40, 6) AS hi, count(*) AS n FROM (
+  SELECT CAST(least(CASE WHEN mx = mn THEN 0 ELSE floor((runtime - mn) * 40 / (mx - mn)) END, 39) AS INTEGER) AS bin,
+         mn, mx
+  FROM vh, (SELECT min(runtime) AS mn, max(runtime) AS mx FROM vh)) GROUP BY bin, mn, mx
+UNION ALL
+SELECT 'vote_average' AS column_name, bin, round(mn + bin * (mx - mn) / 30, 6) AS lo,
+       round(mn + (bin + 1) * (mx - mn) / 30, 6) AS hi, count(*) AS n FROM (
+  SELECT CAST(least(CASE WHEN mx = mn THEN 0 ELSE floor((vote_average - mn) * 30 / (mx - mn)) END, 29) AS INTEGER) AS bin,
+         mn, mx
+  FROM vh, (SELECT min(vote_average) AS mn, max(vote_average) AS mx FROM vh)) GROUP BY bin, mn, mx""")
+def q_value_hist(c, t):
+    """Equal-width distributions of budget, revenue, runtime and rating."""
+    return profile.value_histograms(_final(c), VALUE_BINS)
+
+
 # ---------------------------------------------------------------- catalogue
 
 @query("genre_counts", "V11 P3 F13 A5 O2", """
