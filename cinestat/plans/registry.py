@@ -54,6 +54,8 @@ REGISTRY: dict[str, Query] = {}
 def query(name: str, ops: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # event times and their text forms are defined in UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return rounded(fn(Canonical(spark, sf_dir, materialize=True), Tables(spark, sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -699,6 +701,17 @@ def q_stream_seen(c, t):
     return spark.read.parquet(out)
 
 
+@query("stream_seen_state", "T3 D14 A18")
+def q_stream_seen_state(c, t):
+    """Seen sets kept as per-user streaming state with event-time expiry
+    (applyInPandasWithState); closed sets only, rows-only check."""
+    from cinestat.streaming.seen import ingested_stream, run_to_table, seen_set_state_stream
+    spark, base, _ = _run_stream(c)
+    out = f"{base}/seen_state"
+    run_to_table(seen_set_state_stream(ingested_stream(spark, f"{base}/sink")), out, f"{base}/checkpoint/state")
+    return spark.read.parquet(out)
+
+
 # ---------------------------------------------------------------- pages and ids
 
 _HOST_SQL = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)"

@@ -48,3 +48,63 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+
+
+SEEN_STATE = "start_us long, last_us long, n_events long, items array<long>"
+SEEN_OUT = ("user_id long, session_start timestamp, session_end timestamp, n_events long, n_items long, "
+            "items_sum long")
+
+
+def seen_set_state_stream(events: DataFrame, gap_seconds: int = 86400, watermark: str = "1 day") -> DataFrame:
+    """Online seen sets with per-user state (T3, D14): the Redis set with a
+    TTL that every event refreshes, in event time.
+
+    State per user: set start, last event time, event count and the item
+    set (bounded by the catalogue, as the Redis set is). An event more than
+    ``gap`` after the last one closes the set and starts a new one; the state
+    times out -- and the set is emitted as closed -- once the watermark passes
+    last event + gap. Output rows are closed sets only (append semantics),
+    the same rows the batch form gives for sessions that have ended.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    gap_us = gap_seconds * 1_000_000
+
+    def closed(user, start, last, n, items):
+        return {"user_id": user, "session_start": pd.Timestamp(start, unit="us"),
+                "session_end": pd.Timestamp(last + gap_us, unit="us"), "n_events": n,
+                "n_items": len(items), "items_sum": int(sum(items))}
+
+    def step(key, batches, state):
+        user = int(key[0])
+        out = []
+        if state.hasTimedOut:
+            start, last, n, items = state.get
+            out.append(closed(user, start, last, n, list(items)))
+            state.remove()
+        else:
+            if state.exists:
+                start, last, n, items = state.get
+                items = set(items)
+            else:
+                start = last = None
+                n, items = 0, set()
+            pdf = pd.concat(list(batches), ignore_index=True)
+            us = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64").to_numpy()
+            for t, item in sorted(zip(us.tolist(), pdf["movie_id"].tolist())):
+                if last is not None and t - last > gap_us:
+                    out.append(closed(user, start, last, n, items))
+                    start, n, items = None, 0, set()
+                start = t if start is None else start
+                last = t if last is None else max(last, t)
+                n += 1
+                items.add(int(item))
+            state.update((start, last, n, sorted(items)))
+            state.setTimeoutTimestamp((last + gap_us) // 1000)
+        yield pd.DataFrame(out, columns=["user_id", "session_start", "session_end", "n_events", "n_items",
+                                         "items_sum"])
+
+    return (events.select("user_id", "movie_id", "ts").withWatermark("ts", watermark)
+            .groupBy("user_id")
+            .applyInPandasWithState(step, SEEN_OUT, SEEN_STATE, "append", GroupStateTimeout.EventTimeTimeout))

@@ -152,3 +152,88 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["movie_id", "title", "rating_count", "rating_mean"]
     assert df.count() > 0
+
+
+def test_online_seen_state_equals_batch(spark):
+    """T3 online form: per-user state with event-time expiry gives the batch
+    sessions for every set it has closed."""
+    c = Canonical(spark, SF_SMALL)
+    base = _tmp()
+    c.event_lines().write.text(f"{base}/src")
+    ingest.run_ingest(spark, f"{base}/src", f"{base}/sink", f"{base}/rej", f"{base}/ck")
+    stream = seen.seen_set_state_stream(seen.ingested_stream(spark, f"{base}/sink"))
+    seen.run_to_table(stream, f"{base}/state", f"{base}/ck/state")
+    online = {(r.user_id, r.session_start, r.n_events, r.n_items, r.items_sum)
+              for r in spark.read.parquet(f"{base}/state").collect()}
+    ev = (spark.read.schema(ingest.INGESTED).parquet(f"{base}/sink")
+          .withColumn("ts", ingest.event_time(F.col("ts_text"))))
+    batch = {(r.user_id, r.session_start, r.n_events, r.n_items, r.items_sum)
+             for r in sessions.seen_sessions(ev).collect()}
+    assert online and online <= batch
+
+
+def test_csv_fixed_schema_and_id_export(spark):
+    """S1 (no inference pass) and S9 (ids written by executors, by kind)."""
+    from cinestat import schemas as S
+    base = _tmp()
+    with open(f"{base}/r.csv", "w") as f:
+        f.write("userId,movieId,rating,timestamp\n1,10,4.0,100\n2,11,x,200\n")
+    df = io.read_csv(spark, f"{base}/r.csv", S.RATINGS)
+    assert df.schema == S.RATINGS
+    assert [r.rating for r in df.orderBy("userId").collect()] == [4.0, None]
+    recs = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.4), (2, 10, 0.3)], "user_id long, movie_id long, score double")
+    io.export_ids(recs, f"{base}/ids")
+    back = spark.read.parquet(f"{base}/ids")
+    assert back.filter("kind = 'user'").count() == 2 and back.filter("kind = 'movie'").count() == 2
+
+
+def test_schema_of_json(spark):
+    from cinestat.functions import pseudo_json
+    ddl = spark.range(1).select(pseudo_json.schema_of('[{"iso_3166_1":"US","name":"United States"}]')).first()[0]
+    assert ddl.startswith("ARRAY<STRUCT<")
+
+
+def test_model_save_load(spark):
+    """The fitted model is written and read back with the same factors."""
+    base = _tmp()
+    df = spark.createDataFrame([(u, m, float((u + m) % 5 + 1)) for u in range(10) for m in range(10)],
+                               "user_id long, movie_id long, rating double")
+    model = recommend.fit_als(df, rank=2, maxIter=2)
+    io.save_model(model, f"{base}/als")
+    loaded = io.load_als(f"{base}/als")
+    assert loaded.rank == 2 and loaded.userFactors.count() == 10
+
+
+def test_latest_event_stream(spark):
+    """T4 as a complete-mode streaming register."""
+    import datetime as dt
+    base = _tmp()
+    t0 = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, 7, 100, 3.0, t0), (2, 8, 101, 4.0, t0 + dt.timedelta(hours=1))],
+                          "event_id long, user_id long, movie_id long, rating double, ts timestamp") \
+        .write.parquet(f"{base}/ev")
+    ev = spark.readStream.schema("event_id long, user_id long, movie_id long, rating double, ts timestamp") \
+        .parquet(f"{base}/ev")
+    seen.run_to_table(seen.latest_event_stream(ev), f"{base}/latest", f"{base}/ck", mode="complete")
+    r = spark.read.parquet(f"{base}/latest").collect()
+    assert len(r) == 1 and r[0].event_id == 2
+
+
+def test_hot_key_operators(spark):
+    """A user holding a third of all rows: sessions, prefix cut-off and
+    latest-per-pair stay exact (the plans split or pre-aggregate the key)."""
+    import datetime as dt
+    rows = []
+    base = dt.datetime(2024, 1, 1)
+    for i in range(3000):
+        u = 0 if i % 3 == 0 else i % 50 + 1
+        rows.append((i, u, 100 + i % 7, base + dt.timedelta(minutes=37 * i), "error" if i % 11 == 0 else "view"))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, movie_id long, ts timestamp, event_type string")
+    s = {r.user_id: r for r in sessions.seen_sessions(df).filter("user_id = 0").collect()}
+    assert s[0].n_events == 1000 and s[0].n_items == 7
+    kept = pages.prefix_cutoff(df, "user_id", ["ts", "event_id"], F.col("event_type") == "error", 5)
+    hot = sorted((r.ts, r.event_id, r.event_type) for r in kept.filter("user_id = 0").collect())
+    assert sum(1 for x in hot[:-1] if x[2] == "error") <= 5 and len(hot) < 1000
+    full = sorted((r[3], r[0], r[4]) for r in rows if r[1] == 0)
+    errs = [i for i, x in enumerate(full) if x[2] == "error"]
+    assert len(hot) == errs[5] + 1
