@@ -120,10 +120,10 @@ def link_coverage(movie_ids: DataFrame, link_tmdb_ids: DataFrame, rating_movie_i
     check, total, matched, unmatched, pct_matched.
 
     ``movie_ids``/``link_tmdb_ids`` have one column ``k``; the others too.
-    Matching is a semi join against the distinct keys of the other side.
+    Matching is a semi join (duplicate keys on the other side do not multiply rows).
     """
     def one(name, left, right):
-        m = left.join(right.distinct(), "k", "left_semi").agg(F.count(F.lit(1)).alias("c")).scalar()
+        m = left.join(right, "k", "left_semi").agg(F.count(F.lit(1)).alias("c")).scalar()
         return (left.agg(F.count(F.lit(1)).alias("total"))
                 .select(F.lit(name).alias("check_name"), "total", m.alias("matched"))
                 .withColumn("unmatched", F.col("total") - F.col("matched"))
@@ -134,8 +134,8 @@ def link_coverage(movie_ids: DataFrame, link_tmdb_ids: DataFrame, rating_movie_i
 
 
 def orphans(rating_movie_ids: DataFrame, link_movie_ids: DataFrame) -> DataFrame:
-    """Distinct rating ids with no link (J2): left anti join on distinct keys."""
-    return rating_movie_ids.distinct().join(link_movie_ids.distinct(), "k", "left_anti")
+    """Distinct rating ids with no link (J2): left anti join."""
+    return rating_movie_ids.distinct().join(link_movie_ids, "k", "left_anti")
 
 
 def orphan_topk(ratings: DataFrame, orphan_ids: DataFrame, k: int = 20) -> DataFrame:

@@ -34,7 +34,8 @@ def unseen_top_k(recs: DataFrame, seen: DataFrame, users: DataFrame | None = Non
     service reported it).
     """
     pairs = recs.select("user_id", "movie_id", "score")
-    seen_pairs = seen.select("user_id", "movie_id").distinct()
+    # anti / semi joins ignore duplicate keys on the right: no distinct needed
+    seen_pairs = seen.select("user_id", "movie_id")
     unseen = pairs.join(seen_pairs, ["user_id", "movie_id"], "left_anti")
     top = top_k_per_group(unseen, ["user_id"], [F.desc("score"), F.asc("movie_id")], k, rank_col="rank")
     listed = (top.groupBy("user_id")
@@ -133,3 +134,52 @@ def recommend_all(model, k: int = 10) -> DataFrame:
 def recommend_subset(model, users: DataFrame, k: int = 10) -> DataFrame:
     """Top-k items only for the given users (active users), not all users."""
     return model.recommendForUserSubset(users.select(F.col("user_id").cast("int")), k)
+
+
+class IndexedALS:
+    """An ALS model over dense int indexes of 64-bit user / item keys.
+
+    ALS needs int ids. Each side's distinct keys get consecutive indexes
+    (``ids.consecutive_ids``: range-partitioned, no single-task window); the
+    dictionaries are written once to the shared checkpoint folder so fit,
+    scoring and recommendation all see the same numbering, and results are
+    joined back to the original keys."""
+
+    def __init__(self, model, users: DataFrame, items: DataFrame):
+        self.model, self.users, self.items = model, users, items
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Predictions for (user_id, movie_id) rows; unknown keys drop out (inner joins)."""
+        j = df.join(self.users, "user_id").join(self.items, "movie_id")
+        return self.model.transform(j.withColumn("rating", F.col("rating").cast("float")))
+
+    def recommend_all(self, k: int = 10) -> DataFrame:
+        """user_id, movie_id, score for the top k items of every user."""
+        recs = self.model.recommendForAllUsers(k).select(
+            "u_idx", F.explode("recommendations").alias("r"))
+        return (recs.select("u_idx", F.col("r.i_idx").alias("i_idx"), F.col("r.rating").alias("score"))
+                .join(self.users, "u_idx").join(self.items, "i_idx")
+                .select("user_id", "movie_id", "score"))
+
+
+def fit_als_indexed(train: DataFrame, seed: int = 42, **overrides) -> IndexedALS:
+    """ALS (M1) on any integral key range: keys are indexed first."""
+    from pyspark.ml.recommendation import ALS
+    from cinestat.operators.ids import consecutive_ids
+    from cinestat.session import materialize
+    users = materialize(consecutive_ids(train.select("user_id").distinct(), ["user_id"], "u_idx", start=0)
+                        .select("user_id", F.col("u_idx").cast("int")), "als-users")
+    items = materialize(consecutive_ids(train.select("movie_id").distinct(), ["movie_id"], "i_idx", start=0)
+                        .select("movie_id", F.col("i_idx").cast("int")), "als-items")
+    params = {**ALS_PARAMS, **overrides}
+    als = ALS(userCol="u_idx", itemCol="i_idx", ratingCol="rating", seed=seed, **params)
+    t = train.join(users, "user_id").join(items, "movie_id").select(
+        "u_idx", "i_idx", F.col("rating").cast("float"))
+    return IndexedALS(als.fit(t), users, items)
+
+
+def holdout_rmse_indexed(model: IndexedALS, test: DataFrame) -> DataFrame:
+    """n_scored, rmse for an indexed model (M2, M3)."""
+    pred = model.transform(test).filter(~F.isnan("prediction"))
+    return pred.agg(F.count(F.lit(1)).alias("n_scored"),
+                    F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2))).alias("rmse"))

@@ -608,15 +608,15 @@ def _als_split(c):
 def q_als_rmse(c, t):
     """Fit ALS (reference settings) on the hash-split train part; RMSE on the rest."""
     data = _als_split(c)
-    model = recommend.fit_als(data.filter("is_train"))
-    return recommend.holdout_rmse(model, data.filter(~F.col("is_train")))
+    model = recommend.fit_als_indexed(data.filter("is_train"))
+    return recommend.holdout_rmse_indexed(model, data.filter(~F.col("is_train")))
 
 
 @query("als_topk", "M1 M4 M5")
 def q_als_topk(c, t):
     data = _als_split(c)
-    model = recommend.fit_als(data.filter("is_train"))
-    return recommend.flatten(recommend.recommend_all(model, TOP_K))
+    model = recommend.fit_als_indexed(data.filter("is_train"))
+    return model.recommend_all(TOP_K)
 
 
 # ---------------------------------------------------------------- events / streaming

@@ -237,3 +237,18 @@ def test_hot_key_operators(spark):
     full = sorted((r[3], r[0], r[4]) for r in rows if r[1] == 0)
     errs = [i for i, x in enumerate(full) if x[2] == "error"]
     assert len(hot) == errs[5] + 1
+
+
+def test_indexed_als_on_64bit_keys(spark):
+    """ALS over keys beyond int range, through the dense index dictionaries."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    u, v = rng.normal(size=(40, 2)), rng.normal(size=(50, 2))
+    off = 10 ** 12
+    rows = [(off + i, off * 3 + j, float(u[i] @ v[j])) for i in range(40) for j in range(50) if rng.random() < 0.6]
+    df = recommend.hash_split(spark.createDataFrame(rows, "user_id long, movie_id long, rating double"))
+    m = recommend.fit_als_indexed(df.filter("is_train"), rank=2, maxIter=10, regParam=0.01)
+    r = recommend.holdout_rmse_indexed(m, df.filter(~F.col("is_train"))).collect()[0]
+    assert r.n_scored > 0 and r.rmse < 0.5
+    recs = m.recommend_all(3)
+    assert recs.agg(F.min("user_id")).collect()[0][0] >= off and recs.count() == 40 * 3
