@@ -18,8 +18,15 @@ sys.path.insert(0, ROOT)
 def summarize(df) -> dict:
     df.write.format("noop").mode("overwrite").save()          # run, so AQE settles the plan
     plan = df._jdf.queryExecution().executedPlan().toString()
-    scans = re.findall(r"FileScan parquet [^\n]*?\[([^\]]*)\][^\n]*?(PushedFilters: \[[^\]]*\])[^\n]*?"
-                       r"ReadSchema: (struct<[^\n]*>)", plan)
+    scans = []
+    for line in plan.splitlines():
+        if "FileScan parquet" not in line:
+            continue
+        src = re.search(r"Location: [^\[]*\[([^\]]*)\]", line)
+        pushed = re.search(r"PushedFilters: (\[[^\]]*\])", line)
+        schema = re.search(r"ReadSchema: (struct<.*>)", line)
+        name = src.group(1).rstrip("/").split("/")[-1] if src else "?"
+        scans.append((name, pushed.group(1) if pushed else "[]", schema.group(1) if schema else "?"))
     return {
         "exchanges": plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
         + plan.count("Exchange SinglePartition"),
@@ -29,7 +36,7 @@ def summarize(df) -> dict:
         "nested_loop_joins": plan.count("BroadcastNestedLoopJoin") + plan.count("CartesianProduct"),
         "window_group_limits": plan.count("WindowGroupLimit"),
         "python_udfs": plan.count("ArrowEvalPython") + plan.count("BatchEvalPython"),
-        "scans": [(s[0][:80], s[1][:120], s[2][:100]) for s in scans],
+        "scans": [(a[:60], b[:160], c[:160]) for a, b, c in scans],
     }
 
 
@@ -46,8 +53,8 @@ def main():
         s = summarize(q.fn(spark, sf_dir))
         scans = s.pop("scans")
         print(f"== {name}: " + ", ".join(f"{k}={v}" for k, v in s.items()))
-        for cols, pushed, schema in scans:
-            print(f"     scan {schema} {pushed}")
+        for src, pushed, schema in scans:
+            print(f"     scan {src}: {schema} pushed={pushed}")
 
 
 if __name__ == "__main__":
