@@ -7,6 +7,10 @@ with DataFrame expressions only; every table grows with its source tables.
 ``cinestat.plans.sql`` holds the same definitions as DuckDB CTEs for the
 oracle check.
 
+The ``key % m`` rules below only decide which rows carry a defect (a zero
+budget, a missing link, a broken list text, ...). They never drop rows to
+make a table smaller: every adapter reads its source tables whole.
+
 Id spaces: ``tmdb_id`` = ``p_partkey``; rating-side ``movie_id`` = ``p_partkey
 + 100000`` (a second id ``p_partkey + 200000`` exists for some parts, so two
 rating ids can map to one catalogue id); ``user_id`` = ``o_custkey``.

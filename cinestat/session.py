@@ -71,3 +71,30 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def cluster_settings(input_bytes: float, shuffle_fraction: float = 0.3, executor_cores: int = 4,
+                     executor_memory_gb: int = 16, target_partition_mb: int = 256,
+                     max_partitions: int = 50000) -> dict[str, str]:
+    """Settings sized for an input of ``input_bytes`` on a cluster.
+
+    ``shuffle_fraction`` is the share of the input that still crosses a
+    shuffle after column pruning and map-side partial aggregation. The
+    initial shuffle partition count puts about ``target_partition_mb`` of it
+    in each reduce task, capped at ``max_partitions`` (map tasks x reduce
+    partitions is the number of shuffle blocks; beyond ~50k reducers the block
+    count, not the data, becomes the cost). AQE then coalesces small
+    partitions and splits skewed ones; its advisory size stays well below
+    what one core's share of executor memory sorts without heavy spilling."""
+    mb = 1024 * 1024
+    partitions = int(min(max_partitions, max(200, input_bytes * shuffle_fraction / (target_partition_mb * mb))))
+    per_core_mb = executor_memory_gb * 1024 // max(executor_cores, 1)
+    advisory = min(target_partition_mb, max(64, per_core_mb // 8))
+    return {
+        **{k: v for k, v in BASE_CONF.items() if not k.startswith("spark.ui")},
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{advisory}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * advisory}m",
+        "spark.sql.files.maxPartitionBytes": f"{min(target_partition_mb, 512)}m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+    }
