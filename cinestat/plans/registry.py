@@ -272,14 +272,16 @@ def q_quantile_profile(c, t):
 
 
 @query("clean_movies", "V6 F1 F3 F4 F5 F7 F9 F12", """
-SELECT tmdb_id, title, release_date, release_year, budget, revenue, runtime, round(vote_average, 6) AS vote_average,
+SELECT tmdb_id, title, CAST(release_date AS VARCHAR) AS release_date, release_year, budget, revenue, runtime,
+       round(vote_average, 6) AS vote_average,
        vote_count, round(popularity, 6) AS popularity, adult, video,
        array_to_string(genre_names, '|') AS genres, len(genre_names) AS n_genres
 FROM movies""")
 def q_clean_movies(c, t):
     m = _movies(c)
     g = F.col("genres_parsed.name")
-    return m.select("tmdb_id", "title", "release_date", "release_year", "budget", "revenue", "runtime",
+    return m.select("tmdb_id", "title", F.date_format("release_date", "yyyy-MM-dd").alias("release_date"),
+                    "release_year", "budget", "revenue", "runtime",
                     "vote_average", "vote_count", "popularity", "adult", "video",
                     F.array_join(g, "|").alias("genres"), F.size(g).alias("n_genres")) \
         .withColumn("n_genres", F.when(F.col("genres").isNull(), F.lit(None)).otherwise(F.col("n_genres"))
