@@ -199,3 +199,41 @@ def test_latest_event(spark):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, t), (2, t), (0, t - dt.timedelta(days=1))], "event_id long, ts timestamp")
     assert sessions.latest_event(df).collect()[0].event_id == 2
+
+
+def test_unseen_top_k_properties_random(spark):
+    """Properties: no returned pair is in the exclusion table; at most k per user."""
+    rng = random.Random(11)
+    recs = [(u, m, round(rng.random(), 3)) for u in range(40) for m in rng.sample(range(30), 10)]
+    seen = [(u, m) for u in range(0, 60, 2) for m in rng.sample(range(30), 8)]
+    r = spark.createDataFrame(recs, "user_id long, movie_id long, score double")
+    s = spark.createDataFrame(seen, "user_id long, movie_id long")
+    out = recommend.unseen_top_k(r, s, r.select("user_id").union(s.select("user_id")), 3).collect()
+    seen_set = set(seen)
+    for row in out:
+        got = [int(x) for x in row.recommendations.split(",")] if row.recommendations else []
+        assert len(got) <= 3
+        assert all((row.user_id, m) not in seen_set for m in got)
+        cand = sorted(((-sc, m) for u, m, sc in recs if u == row.user_id and (u, m) not in seen_set))
+        assert got == [m for _, m in cand[:3]]
+    assert {row.user_id for row in out} == {u for u, _, _ in recs} | {u for u, _ in seen}
+
+
+def test_integrity_and_enrichment_properties(spark):
+    """V5: matched + orphans = distinct rating ids; V19: enrichment never fans out."""
+    from conftest import SF_SMALL
+    from cinestat.plans.canonical import Canonical
+    from cinestat.operators import ratings as R
+    c = Canonical(spark, SF_SMALL)
+    rid = c.ratings().select(F.col("movie_id").alias("k"))
+    lid = c.links().select(F.col("movieId").cast("long").alias("k"))
+    cov = {r.check_name: r for r in profile.link_coverage(
+        c.movies_raw().select(F.col("id").alias("k")), c.links().select(F.col("tmdbId").cast("string").alias("k")),
+        rid, lid).collect()}
+    n_orphans = profile.orphans(rid, lid).count()
+    assert cov["rating_ids_with_link"].unmatched == n_orphans > 0
+    assert cov["rating_ids_with_link"].total == rid.distinct().count()
+    movies = clean.clean_movies(c.movies_raw())
+    stats = R.rating_stats(c.ratings())
+    enriched = R.enrich_ratings(stats, c.links(), clean.trim_outliers(clean.dedup_movies(movies)), movies)
+    assert enriched.count() == stats.count()
