@@ -12,8 +12,9 @@ budget, a missing link, a broken list text, ...). They never drop rows to
 make a table smaller: every adapter reads its source tables whole.
 
 Id spaces: ``tmdb_id`` = ``p_partkey``; rating-side ``movie_id`` = ``p_partkey
-+ 100000`` (a second id ``p_partkey + 200000`` exists for some parts, so two
-rating ids can map to one catalogue id); ``user_id`` = ``o_custkey``.
+* 10 + 1`` (a second id ``p_partkey * 10 + 2`` exists for some parts, so two
+rating ids can map to one catalogue id); ``user_id`` = ``o_custkey``. The slot
+digit keeps ids of different parts apart at every scale factor.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 
 from cinestat.sources.tables import Tables
 
-# Fixed values of the fixture design (not taken from any source).
-MOVIE_ID_OFFSET = 100000
-ALT_MOVIE_ID_OFFSET = 200000
-IMDB_OFFSET = 500000
-ALT_IMDB_OFFSET = 600000
+# Fixed values of the fixture design (not taken from any source). Rating-side
+# and imdb ids are p_partkey * ID_STRIDE + a slot digit.
+ID_STRIDE = 10
+MOVIE_SLOT = 1        # the part's rating id
+ALT_MOVIE_SLOT = 2    # a second rating id for some parts
+STALE_MOVIE_SLOT = 3  # a link to a retired rating id: the part's ratings are orphans
+IMDB_SLOT = 5
+ALT_IMDB_SLOT = 6
 BUDGET_FACTOR = 400
 CREW_PER_MOVIE = 4
 CAST_PER_MOVIE = 6
@@ -37,6 +41,11 @@ def _pk() -> Column:
     return F.col("p_partkey")
 
 
+def rating_id(key: Column, slot) -> Column:
+    """The rating-side id of part ``key`` in id slot ``slot``."""
+    return key * ID_STRIDE + slot
+
+
 def ratings(t: Tables) -> DataFrame:
     """ratings(user_id, movie_id, rating, ts, order_key, line_no).
 
@@ -48,8 +57,8 @@ def ratings(t: Tables) -> DataFrame:
     alt = (F.col("l_partkey") % 40 == 1) & (F.col("l_linenumber") % 2 == 0)
     return (li.join(o, li.l_orderkey == o.o_orderkey)
             .select(F.col("o_custkey").alias("user_id"),
-                    (F.col("l_partkey") + F.when(alt, ALT_MOVIE_ID_OFFSET)
-                     .otherwise(MOVIE_ID_OFFSET)).alias("movie_id"),
+                    rating_id(F.col("l_partkey"), F.when(alt, ALT_MOVIE_SLOT)
+                              .otherwise(MOVIE_SLOT)).alias("movie_id"),
                     F.ceil(F.col("l_quantity") / 5).cast("double").alias("rating"),
                     F.col("o_orderdate").alias("ts"),
                     F.col("l_orderkey").alias("order_key"),
@@ -213,18 +222,21 @@ def credits_raw(t: Tables) -> DataFrame:
 def links(t: Tables) -> DataFrame:
     """links(movieId, imdbId, tmdbId): rating id -> catalogue id.
 
-    Some links lack a tmdbId, some parts have no link at all, and some parts
-    have two rating ids."""
+    Every part has a link. Some lack a tmdbId, some point at a retired rating
+    id (so the part's ratings have no link), and some parts have a second
+    rating id, which adds a second row."""
     pk = _pk()
-    main = (t.part.select("p_partkey").filter(pk % 97 != 3)
-            .select((pk + MOVIE_ID_OFFSET).cast("int").alias("movieId"),
-                    (pk + IMDB_OFFSET).cast("int").alias("imdbId"),
-                    F.when(pk % 50 == 0, F.lit(None)).otherwise(pk).cast("int").alias("tmdbId")))
-    alt = (t.part.select("p_partkey").filter(pk % 40 == 1)
-           .select((pk + ALT_MOVIE_ID_OFFSET).cast("int").alias("movieId"),
-                   (pk + ALT_IMDB_OFFSET).cast("int").alias("imdbId"),
-                   pk.cast("int").alias("tmdbId")))
-    return main.unionByName(alt)
+
+    def link(movie_slot, imdb_slot: int, tmdb: Column) -> Column:
+        return F.struct(rating_id(pk, movie_slot).cast("int").alias("movieId"),
+                        rating_id(pk, imdb_slot).cast("int").alias("imdbId"),
+                        tmdb.cast("int").alias("tmdbId"))
+
+    main = link(F.when(pk % 97 == 3, STALE_MOVIE_SLOT).otherwise(MOVIE_SLOT), IMDB_SLOT,
+                F.when(pk % 50 == 0, F.lit(None)).otherwise(pk))
+    alt = link(ALT_MOVIE_SLOT, ALT_IMDB_SLOT, pk)
+    rows = F.when(pk % 40 == 1, F.array(main, alt)).otherwise(F.array(main))
+    return t.part.select(F.inline(rows))
 
 
 def rating_events(t: Tables) -> DataFrame:
@@ -235,7 +247,7 @@ def rating_events(t: Tables) -> DataFrame:
     """
     k = F.get_json_object("props", "$.k").cast("long")
     return t.events.select("event_id", "user_id",
-                           (k + MOVIE_ID_OFFSET).alias("movie_id"),
+                           rating_id(k, MOVIE_SLOT).alias("movie_id"),
                            (F.lit(1) + F.col("event_id") % 10).cast("double").alias("rating"),
                            F.col("ts").cast("timestamp").alias("ts"),
                            "event_type")
@@ -302,7 +314,7 @@ def recommendation_lists(t: Tables, k: int = 10) -> DataFrame:
 
 def catalogue(t: Tables) -> DataFrame:
     """Recommendation-side metadata: id (text), title, genres (crawled layout)."""
-    return t.part.select((_pk() + MOVIE_ID_OFFSET).cast("string").alias("id"),
+    return t.part.select(rating_id(_pk(), MOVIE_SLOT).cast("string").alias("id"),
                          F.col("p_name").alias("title"), F.col("p_type").alias("genres"))
 
 

@@ -16,7 +16,7 @@ CTES: dict[str, str] = {}
 
 CTES["ratings"] = """
 SELECT o.o_custkey AS user_id,
-       l.l_partkey + CASE WHEN l.l_partkey % 40 = 1 AND l.l_linenumber % 2 = 0 THEN 200000 ELSE 100000 END AS movie_id,
+       l.l_partkey * 10 + CASE WHEN l.l_partkey % 40 = 1 AND l.l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS movie_id,
        CAST(ceil(l.l_quantity / 5) AS DOUBLE) AS rating,
        o.o_orderdate AS ts, l.l_orderkey AS order_key, l.l_linenumber AS line_no
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey"""
@@ -81,12 +81,14 @@ WHERE budget <= (SELECT quantile_disc(budget, 0.99) FROM movies_dedup)
   AND revenue <= (SELECT quantile_disc(revenue, 0.99) FROM movies_dedup)"""
 
 CTES["links"] = """
-SELECT CAST(p_partkey + 100000 AS INTEGER) AS movieId, CAST(p_partkey + 500000 AS INTEGER) AS imdbId,
-       CAST(CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_partkey END AS INTEGER) AS tmdbId
-FROM part WHERE p_partkey % 97 <> 3
-UNION ALL
-SELECT CAST(p_partkey + 200000 AS INTEGER), CAST(p_partkey + 600000 AS INTEGER), CAST(p_partkey AS INTEGER)
-FROM part WHERE p_partkey % 40 = 1"""
+SELECT unnest(CASE WHEN p_partkey % 40 = 1 THEN [main, alt] ELSE [main] END, recursive := true)
+FROM (SELECT p_partkey,
+             {'movieId': CAST(p_partkey * 10 + CASE WHEN p_partkey % 97 = 3 THEN 3 ELSE 1 END AS INTEGER),
+              'imdbId': CAST(p_partkey * 10 + 5 AS INTEGER),
+              'tmdbId': CAST(CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_partkey END AS INTEGER)} AS main,
+             {'movieId': CAST(p_partkey * 10 + 2 AS INTEGER), 'imdbId': CAST(p_partkey * 10 + 6 AS INTEGER),
+              'tmdbId': CAST(p_partkey AS INTEGER)} AS alt
+      FROM part)"""
 
 CTES["crew"] = """
 SELECT c.p_partkey AS tmdb_id, c.i AS pos, s.s_name AS name,
@@ -145,7 +147,7 @@ LEFT JOIN movies_final mv ON mv.tmdb_id = ln.tmdbId
 LEFT JOIN backup bk ON bk.tmdb_id = ln.tmdbId"""
 
 CTES["rating_events"] = """
-SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) + 100000 AS movie_id,
+SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 + 1 AS movie_id,
        CAST(1 + event_id % 10 AS DOUBLE) AS rating, ts, event_type
 FROM events"""
 
@@ -159,7 +161,7 @@ SELECT user_id, movie_id, score FROM (
 WHERE rn <= 10"""
 
 CTES["catalogue"] = """
-SELECT CAST(p_partkey + 100000 AS VARCHAR) AS id, p_name AS title, p_type AS genres FROM part"""
+SELECT CAST(p_partkey * 10 + 1 AS VARCHAR) AS id, p_name AS title, p_type AS genres FROM part"""
 
 CTES["movie_roi"] = """
 SELECT tmdb_id, genre_names,
