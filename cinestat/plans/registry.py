@@ -93,6 +93,19 @@ def _credits(c: Canonical) -> DataFrame:
     return c.stored("credits_parsed", lambda: clean.clean_credits(c.credits_raw()))
 
 
+def build_silver(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Write every stored canonical and silver table for ``sf_dir`` now (the
+    bronze -> silver step); later queries in the session read them."""
+    from cinestat.plans.canonical import MATERIALIZED
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    c = Canonical(spark, sf_dir, materialize=True)
+    for name in MATERIALIZED:
+        getattr(c, name)()
+    for fn in (_movies, _dedup, _final, _credits):
+        fn(c)
+    return list(MATERIALIZED) + ["movies_silver", "movies_dedup", "movies_final", "credits_parsed"]
+
+
 def _enriched(c: Canonical) -> DataFrame:
     return ratings.enrich_ratings(ratings.rating_stats(c.ratings()), c.links(), _final(c), _movies(c))
 
