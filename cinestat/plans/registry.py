@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinestat import schemas as S
-from cinestat.functions import pseudo_json
+from cinestat.functions import casts, pseudo_json
 from cinestat.operators import clean, finance, ids, pages, people, profile, ratings, recommend, sessions
 from cinestat.plans.canonical import Canonical
 from cinestat.plans.sql import with_ctes
+from cinestat.sources import io
 from cinestat.sources.tables import Tables
 
 # Fixed parameters, chosen for the driver data: the
@@ -301,6 +302,40 @@ def q_clean_movies(c, t):
                     .cast("long"))
 
 
+@query("credits_csv", "S2 S4 V7 F7 F9 F13 D23", """
+SELECT CAST(tmdb_id AS INTEGER) AS tmdb_id, 'crew' AS kind, CAST(pos AS INTEGER) AS pos, name, job FROM crew
+UNION ALL
+SELECT CAST(tmdb_id AS INTEGER), 'cast', CAST(pos AS INTEGER), name, CAST(NULL AS VARCHAR) FROM cast_rows""")
+def q_credits_csv(c, t):
+    """Credits text written as quoted CSV to the shared folder, read back with
+    the quoted multi-line reader (rejects split off), parsed and flattened:
+    one row per credit, in list order."""
+    from cinestat.session import scratch_path
+    spark = t.spark
+    path = scratch_path(spark, "csv-credits")
+    io.write_csv(c.credits_raw(), path)
+    good, _ = io.split_rejects(io.read_quoted_csv(spark, path, S.CREDITS_RAW)
+                               .withColumn("_id", casts.try_number("id", "int")), "_id")
+    parsed = clean.clean_credits(good.drop("_id"))
+
+    def flat(col: str, kind: str, job):
+        return (parsed.select("tmdb_id", F.posexplode(col).alias("pos", "p"))
+                .select("tmdb_id", F.lit(kind).alias("kind"), "pos", F.col("p.name").alias("name"), job.alias("job")))
+
+    return flat("crew_parsed", "crew", F.col("p.job")).unionByName(
+        flat("cast_parsed", "cast", F.lit(None).cast("string")))
+
+
+@query("links_csv", "S1 S4", """SELECT movieId, imdbId, tmdbId FROM links""")
+def q_links_csv(c, t):
+    """Links written as header CSV and read back with a fixed schema (no
+    inference pass)."""
+    from cinestat.session import scratch_path
+    path = scratch_path(t.spark, "csv-links")
+    io.write_csv(c.links(), path)
+    return io.read_csv(t.spark, path, S.LINKS)
+
+
 @query("link_coverage", "V5 J1 A16", """
 SELECT 'movies_with_link' AS check_name, count(*) AS total,
        count(*) FILTER (WHERE id IN (SELECT CAST(tmdbId AS VARCHAR) FROM links)) AS matched,

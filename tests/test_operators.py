@@ -237,3 +237,22 @@ def test_integrity_and_enrichment_properties(spark):
     stats = R.rating_stats(c.ratings())
     enriched = R.enrich_ratings(stats, c.links(), clean.trim_outliers(clean.dedup_movies(movies)), movies)
     assert enriched.count() == stats.count()
+
+
+def test_links_keep_every_part_and_ids_never_collide(spark):
+    """Every part has a link row (orphans come from retired ids, not from
+    dropped rows), and rating ids stay distinct across parts far beyond the
+    test scale factors."""
+    from conftest import SF_SMALL
+    from cinestat.plans.canonical import (ALT_MOVIE_SLOT, MOVIE_SLOT, STALE_MOVIE_SLOT, Canonical,
+                                          rating_id)
+    c = Canonical(spark, SF_SMALL)
+    parts = c.t.part.select("p_partkey")
+    links = c.links()
+    assert parts.join(links, parts.p_partkey == F.coalesce(F.floor(links.movieId / 10), F.lit(-1)),
+                      "left_anti").count() == 0
+    assert links.count() == links.select("movieId").distinct().count()
+    keys = spark.range(0, 3_000_000, 7919).select(F.col("id").alias("k"))
+    ids = keys.select(F.explode(F.array(*[rating_id(F.col("k"), s)
+                                          for s in (MOVIE_SLOT, ALT_MOVIE_SLOT, STALE_MOVIE_SLOT)])).alias("i"))
+    assert ids.count() == ids.distinct().count() == 3 * keys.count()
