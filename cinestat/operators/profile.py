@@ -139,9 +139,11 @@ def orphans(rating_movie_ids: DataFrame, link_movie_ids: DataFrame) -> DataFrame
 
 
 def orphan_topk(ratings: DataFrame, orphan_ids: DataFrame, k: int = 20) -> DataFrame:
-    """Most-rated orphan ids (J3): semi join (no row multiplication), count, top-k."""
-    return (ratings.select(F.col("movie_id").alias("k")).join(orphan_ids, "k", "left_semi")
-            .groupBy("k").agg(F.count(F.lit(1)).alias("n_ratings"))
+    """Most-rated orphan ids (J3): ratings are counted per id first (map-side
+    partial aggregation), then a semi join keeps the orphans (no row
+    multiplication), then top-k."""
+    return (ratings.groupBy(F.col("movie_id").alias("k")).agg(F.count(F.lit(1)).alias("n_ratings"))
+            .join(orphan_ids, "k", "left_semi")
             .orderBy(F.desc("n_ratings"), F.asc("k")).limit(k)
             .select(F.col("k").alias("movie_id"), "n_ratings"))
 

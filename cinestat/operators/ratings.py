@@ -21,13 +21,23 @@ def rating_stats(ratings: DataFrame, key: str = "movie_id") -> DataFrame:
 def stats_by_catalogue_id(ratings: DataFrame, links: DataFrame) -> DataFrame:
     """Rating stats re-keyed to the catalogue id.
 
-    Several rating ids can map to one catalogue id; aggregating the joined
-    ratings by catalogue id gives the count-weighted mean instead of counting
-    the film twice downstream.
+    Several rating ids can map to one catalogue id; combining per catalogue
+    id gives the count-weighted mean instead of counting the film twice
+    downstream. Ratings are reduced per rating id first (count, sum, sum of
+    squares -- map-side partial aggregation, so a hot movie is one row per
+    task), and only those rows meet the links; the sums then combine exactly.
     """
     ln = links.filter(F.col("tmdbId").isNotNull()).select(F.col("movieId").alias("movie_id"),
                                                            F.col("tmdbId").alias("tmdb_id"))
-    return rating_stats(ratings.join(ln, "movie_id"), key="tmdb_id")
+    r = F.col("rating").cast("double")
+    per_id = ratings.filter(r.isNotNull()).groupBy("movie_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(r).alias("_s"), F.sum(r * r).alias("_ss"))
+    n, s_, ss = F.sum("_n"), F.sum("_s"), F.sum("_ss")
+    var = F.try_divide(ss - s_ * s_ / n, n - 1)
+    return (per_id.join(ln, "movie_id").groupBy("tmdb_id")
+            .agg(n.alias("rating_count"), (s_ / n).alias("rating_mean"),
+                 # clamp rounding below zero; NULL (one rating) stays NULL
+                 F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var)).alias("rating_std")))
 
 
 def enrich_ratings(stats: DataFrame, links: DataFrame, movies_primary: DataFrame,

@@ -256,3 +256,29 @@ def test_links_keep_every_part_and_ids_never_collide(spark):
     ids = keys.select(F.explode(F.array(*[rating_id(F.col("k"), s)
                                           for s in (MOVIE_SLOT, ALT_MOVIE_SLOT, STALE_MOVIE_SLOT)])).alias("i"))
     assert ids.count() == ids.distinct().count() == 3 * keys.count()
+
+
+def test_stats_by_catalogue_id_matches_brute_force(spark):
+    """Stats per catalogue id from per-rating-id partial sums equal the
+    stats of the joined rows, with two rating ids on one catalogue id, a
+    hot id holding a third of the rows, a single rating and an orphan."""
+    from cinestat.operators import ratings as R
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 50), 1, float(rng.randint(1, 10))) for _ in range(300)]
+    rows += [(rng.randint(1, 50), m, float(rng.randint(1, 10))) for m in range(2, 12) for _ in range(rng.randint(5, 40))]
+    rows += [(7, 20, 3.0), (8, 21, 4.0)]
+    r = spark.createDataFrame(rows, "user_id int, movie_id int, rating double")
+    links = [(m, m if m != 3 else 2) for m in range(1, 12)] + [(20, 99), (22, None)]
+    ln = spark.createDataFrame(links, "movieId int, tmdbId int")
+    got = {x.tmdb_id: x for x in R.stats_by_catalogue_id(r, ln).collect()}
+    pr = pd.DataFrame(rows, columns=["user_id", "movie_id", "rating"]).merge(
+        pd.DataFrame([x for x in links if x[1] is not None], columns=["movie_id", "tmdb_id"]), on="movie_id")
+    want = pr.groupby("tmdb_id")["rating"].agg(["count", "mean", "std"])
+    assert set(got) == set(want.index)
+    for k, w in want.iterrows():
+        g = got[k]
+        assert g.rating_count == w["count"] and g.rating_mean == pytest.approx(w["mean"], rel=1e-12)
+        if np.isnan(w["std"]):
+            assert g.rating_std is None
+        else:
+            assert g.rating_std == pytest.approx(w["std"], rel=1e-9)
