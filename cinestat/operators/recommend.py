@@ -76,6 +76,11 @@ def training_set(history: DataFrame, ingested: DataFrame | None = None) -> DataF
     tie-break column ``seq`` (later wins; the rating breaks any remaining tie).
     Ingested events win ties on ts over history. ``max_by`` pre-aggregates per map task, so a heavy user
     or movie is not sorted in one task.
+
+    The ordering is a struct because its last tie-break is a double (repeated
+    line numbers in the source give equal (ts, seq) with different ratings),
+    and no fixed-width packing orders doubles exactly; Spark therefore plans a
+    sort-based aggregate, still with a partial phase before the shuffle.
     """
     cols = ["user_id", "movie_id", "rating", "ts", "seq"]
     h = history.select(*cols, F.lit(0).alias("src"))
