@@ -740,26 +740,57 @@ def q_stream_rejects(c, t):
     return spark.read.parquet(f"{base}/rejects").agg(F.count(F.lit(1)).alias("n_rejected"))
 
 
-@query("stream_seen", "T3 S6")
-def q_stream_seen(c, t):
-    """Seen-set sessions from a streaming session_window with a watermark
-    (closed sessions only; rows-only check -- open sessions stay in state)."""
-    from cinestat.streaming.seen import ingested_stream, run_to_table, seen_session_stream
+_STREAM_SEEN_SQL = f"""
+WITH ing AS (
+  SELECT x.event_id, x.user_id, x.movie_id,
+         CASE WHEN x.event_id % 2 = 0 THEN x.ts ELSE date_trunc('day', x.ts) END AS t
+  FROM rating_events x
+  JOIN (SELECT unnest([0, 1]) AS copy) c ON c.copy = 0 OR (x.event_type = 'purchase' AND x.event_id % 5 = 0)
+  WHERE x.event_type <> 'error')
+SELECT user_id, strftime(min(t), '{TS_FMT_SQL}') AS session_start,
+       strftime(max(t) + INTERVAL 1 DAY, '{TS_FMT_SQL}') AS session_end,
+       count(*) AS n_events, count(DISTINCT movie_id) AS n_items, CAST(sum(DISTINCT movie_id) AS BIGINT) AS items_sum
+FROM (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS sno FROM (
+        SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > INTERVAL 1 DAY THEN 1 ELSE 0 END AS nw
+        FROM ing WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)))
+GROUP BY user_id, sno"""
+
+
+def _seen_stream_input(c: Canonical):
+    """The ingested events as a stream, next to a control stream holding the
+    end-of-stream marker (the event log is finished, so every set closes)."""
+    from cinestat.streaming.seen import ingested_stream, write_end_marker
     spark, base, _ = _run_stream(c)
+    write_end_marker(spark, f"{base}/control")
+    events = ingested_stream(spark, f"{base}/sink").unionByName(ingested_stream(spark, f"{base}/control"))
+    return spark, base, events
+
+
+def _seen_out(df: DataFrame) -> DataFrame:
+    return df.select("user_id", _fmt("session_start"), _fmt("session_end"), F.col("n_events").cast("long"),
+                     F.col("n_items").cast("long"), F.col("items_sum").cast("long"))
+
+
+@query("stream_seen", "T3 S6 A18", _STREAM_SEEN_SQL)
+def q_stream_seen(c, t):
+    """Seen-set sessions from a streaming session_window with a watermark over
+    the ingested events; the end-of-stream marker closes every session."""
+    from cinestat.streaming.seen import run_to_table, seen_session_stream
+    spark, base, events = _seen_stream_input(c)
     out = f"{base}/seen"
-    run_to_table(seen_session_stream(ingested_stream(spark, f"{base}/sink")), out, f"{base}/checkpoint/seen")
-    return spark.read.parquet(out)
+    run_to_table(seen_session_stream(events), out, f"{base}/checkpoint/seen")
+    return _seen_out(spark.read.parquet(out))
 
 
-@query("stream_seen_state", "T3 D14 A18")
+@query("stream_seen_state", "T3 D14 A18", _STREAM_SEEN_SQL)
 def q_stream_seen_state(c, t):
     """Seen sets kept as per-user streaming state with event-time expiry
-    (applyInPandasWithState); closed sets only, rows-only check."""
-    from cinestat.streaming.seen import ingested_stream, run_to_table, seen_set_state_stream
-    spark, base, _ = _run_stream(c)
+    (applyInPandasWithState), over the same stream and marker."""
+    from cinestat.streaming.seen import run_to_table, seen_set_state_stream
+    spark, base, events = _seen_stream_input(c)
     out = f"{base}/seen_state"
-    run_to_table(seen_set_state_stream(ingested_stream(spark, f"{base}/sink")), out, f"{base}/checkpoint/state")
-    return spark.read.parquet(out)
+    run_to_table(seen_set_state_stream(events), out, f"{base}/checkpoint/state")
+    return _seen_out(spark.read.parquet(out))
 
 
 # ---------------------------------------------------------------- pages and ids

@@ -19,13 +19,29 @@ def ingested_stream(spark, sink: str) -> DataFrame:
             .withColumn("ts", event_time(F.col("ts_text"))))
 
 
+END_OF_STREAM = "2200-01-01"
+
+
+def write_end_marker(spark, path: str, when: str = END_OF_STREAM) -> None:
+    """Write an end-of-stream marker (no user, far-future time) to a control
+    folder. Streamed next to the events, it moves the watermark past every
+    real session, so a replay of a finished event log closes and emits all
+    of them; the marker itself is never emitted."""
+    spark.createDataFrame([(None, None, None, None, when)], INGESTED).write.mode("overwrite").parquet(path)
+
+
 def seen_session_stream(events: DataFrame, gap: str = "1 day", watermark: str = "1 day") -> DataFrame:
     """user_id, session_start, session_end, n_events, n_items per closed session."""
+    # A row without a user (an end-of-stream marker) only advances the
+    # watermark: its own session ends after the watermark it sets, so it is
+    # never emitted. (A filter on user_id would be pushed below the
+    # watermark and take the marker's event time with it.)
     return (events.withWatermark("ts", watermark)
             .groupBy("user_id", F.session_window("ts", gap).alias("s"))
             .agg(F.count(F.lit(1)).alias("n_events"), F.collect_set("movie_id").alias("_items"))
             .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-                    "n_events", F.size("_items").alias("n_items")))
+                    "n_events", F.size("_items").alias("n_items"),
+                    F.aggregate("_items", F.lit(0).cast("long"), lambda a, x: a + x).alias("items_sum")))
 
 
 def latest_event_stream(events: DataFrame) -> DataFrame:
@@ -77,13 +93,18 @@ def seen_set_state_stream(events: DataFrame, gap_seconds: int = 86400, watermark
                 "n_items": len(items), "items_sum": int(sum(items))}
 
     def step(key, batches, state):
-        user = int(key[0])
         out = []
-        if state.hasTimedOut:
+        if key[0] is None or pd.isna(key[0]):
+            # end-of-stream marker: it has moved the watermark; no state
+            for _ in batches:
+                pass
+        elif state.hasTimedOut:
+            user = int(key[0])
             start, last, n, items = state.get
             out.append(closed(user, start, last, n, list(items)))
             state.remove()
         else:
+            user = int(key[0])
             if state.exists:
                 start, last, n, items = state.get
                 items = set(items)

@@ -59,6 +59,16 @@ def test_stream_sessions_equal_batch_on_closed_sessions(spark):
     batch = {(r.user_id, r.session_start, r.n_events, r.n_items)
              for r in sessions.seen_sessions(ev).collect()}
     assert streamed and streamed <= batch
+    # with the end-of-stream marker in a control stream every session closes:
+    # the streamed sessions equal the batch sessions
+    seen.write_end_marker(spark, f"{base}/control")
+    both = seen.ingested_stream(spark, f"{base}/sink").unionByName(seen.ingested_stream(spark, f"{base}/control"))
+    seen.run_to_table(seen.seen_session_stream(both), f"{base}/seen2", f"{base}/ck/seen2")
+    seen.run_to_table(seen.seen_set_state_stream(both), f"{base}/state2", f"{base}/ck/state2")
+    keys = ("user_id", "session_start", "n_events", "n_items")
+    for out in ("seen2", "state2"):
+        got = {tuple(r[k] for k in keys) for r in spark.read.parquet(f"{base}/{out}").collect()}
+        assert got == batch, out
 
 
 def test_page_extraction_fixture(spark):
