@@ -449,6 +449,13 @@ def q_genre_counts(c, t):
     return finance.genre_counts(_final(c))
 
 
+@query("type_counts", "V11 A5 O2", """
+SELECT p_type AS genres, count(*) AS n FROM part WHERE p_type IS NOT NULL GROUP BY p_type""")
+def q_type_counts(c, t):
+    """Movies per genre in the crawled catalogue layout (one genre text per movie)."""
+    return finance.text_genre_counts(c.catalogue())
+
+
 @query("country_counts", "V13 F7 F13 A5 O3", """
 SELECT n.n_name AS country, count(*) AS n FROM movies_final m JOIN nation n ON n.n_nationkey = m.nation_k
 GROUP BY n.n_name ORDER BY n DESC, country LIMIT 10""")
