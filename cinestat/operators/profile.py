@@ -183,9 +183,13 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     width = mx - mn
     raw_bin = F.when(width == 0, F.lit(0)).otherwise(F.floor((F.col("_v") - mn) * bins / width))
     b = F.least(raw_bin, F.lit(bins - 1)).cast("int")
-    return (xs.groupBy(b.alias("bin")).agg(F.first("_mm").alias("_mm"), F.count(F.lit(1)).alias("n"))
-            .select("bin", (mn + F.col("bin") * width / bins).alias("lo"),
-                    (mn + (F.col("bin") + 1) * width / bins).alias("hi"), "n"))
+    # min / max ride along as plain doubles (constant per row): fixed-width
+    # buffers keep the per-bin count a hash aggregate, with no sort of the rows
+    counted = xs.groupBy(b.alias("bin")).agg(F.min(mn).alias("_mn"), F.min(mx).alias("_mx"),
+                                             F.count(F.lit(1)).alias("n"))
+    w = F.col("_mx") - F.col("_mn")
+    return counted.select("bin", (F.col("_mn") + F.col("bin") * w / bins).alias("lo"),
+                          (F.col("_mn") + (F.col("bin") + 1) * w / bins).alias("hi"), "n")
 
 
 SUMMARY_STATS = ("count", "mean", "stddev", "min", "p25", "p50", "p75", "max")

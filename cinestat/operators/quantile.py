@@ -93,9 +93,12 @@ def _global(x: DataFrame, p: float, accuracy: int, out: str) -> DataFrame:
         F.struct(F.col("_n").alias("n"), F.col("_br")[0].alias("lo"), F.col("_br")[1].alias("hi"))).scalar()
     xs = x.withColumn("_s", sk)
     lo, hi = F.col("_s.lo"), F.col("_s.hi")
-    edge = (xs.agg(F.first("_s").alias("s"), *_edge_aggs(lo, hi))
-            .select(F.struct("s", F.col("_below").alias("below"), F.col("_pred").alias("pred"),
-                             F.col("_succ").alias("succ"))).scalar())
+    # the carried fields are constant per row: min() keeps them as fixed-width
+    # buffers (a hash aggregate) where first(struct) would force a sort-based one
+    edge = (xs.agg(F.min("_s.n").alias("n"), F.min("_s.lo").alias("lo"), F.min("_s.hi").alias("hi"),
+                   *_edge_aggs(lo, hi))
+            .select(F.struct(F.struct("n", "lo", "hi").alias("s"), F.col("_below").alias("below"),
+                             F.col("_pred").alias("pred"), F.col("_succ").alias("succ"))).scalar())
     # the bracket holds O(n / accuracy) distinct values: one small sorted task;
     # lo and hi are data values, so it is never empty when n > 0
     inside = (xs.filter(F.col("_x").between(lo, hi)).groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
@@ -104,9 +107,14 @@ def _global(x: DataFrame, p: float, accuracy: int, out: str) -> DataFrame:
     n, below = F.col("_e.s.n"), F.col("_e.below")
     h = (n - 1) * F.lit(p)
     k1, k2 = F.floor(h), F.ceil(h)
-    picked = inside.groupBy().agg(F.first("_e").alias("_e"), F.max("_cum").alias("_in"),
+    picked = inside.groupBy().agg(F.min(n).alias("_n"), F.min(below).alias("_below"),
+                                  F.min("_e.pred").alias("_pred"), F.min("_e.succ").alias("_succ"),
+                                  F.max("_cum").alias("_in"),
                                   _at_rank(k1, below).alias("_v1"), _at_rank(k2, below).alias("_v2"))
+    n2, below2 = F.col("_n"), F.col("_below")
+    h2 = (n2 - 1) * F.lit(p)
+    j1, j2 = F.floor(h2), F.ceil(h2)
     inn = F.coalesce(F.col("_in"), F.lit(0))
-    v1 = _resolve(k1, F.col("_v1"), below, inn, F.col("_e.pred"), F.col("_e.succ"))
-    v2 = _resolve(k2, F.col("_v2"), below, inn, F.col("_e.pred"), F.col("_e.succ"))
-    return picked.filter(F.col("_e").isNotNull()).select((v1 + (v2 - v1) * (h - k1)).alias(out))
+    v1 = _resolve(j1, F.col("_v1"), below2, inn, F.col("_pred"), F.col("_succ"))
+    v2 = _resolve(j2, F.col("_v2"), below2, inn, F.col("_pred"), F.col("_succ"))
+    return picked.filter(n2.isNotNull()).select((v1 + (v2 - v1) * (h2 - j1)).alias(out))

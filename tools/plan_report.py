@@ -35,7 +35,9 @@ def summarize(df) -> dict:
         "sort_merge_joins": plan.count("SortMergeJoin"),
         "nested_loop_joins": plan.count("BroadcastNestedLoopJoin") + plan.count("CartesianProduct"),
         "window_group_limits": plan.count("WindowGroupLimit"),
+        "sort_aggregates": plan.count("SortAggregate"),
         "python_udfs": plan.count("ArrowEvalPython") + plan.count("BatchEvalPython"),
+        "python_state": plan.count("FlatMapGroupsInPandasWithState"),
         "scans": [(a[:60], b[:160], c[:160]) for a, b, c in scans],
     }
 
