@@ -253,14 +253,14 @@ def rating_events(t: Tables) -> DataFrame:
                            "event_type")
 
 
-def event_lines(t: Tables) -> DataFrame:
+def event_lines(t: Tables, events: DataFrame | None = None) -> DataFrame:
     """Rating events as JSON lines, the way producers send them.
 
     Even ids use ``user_id`` + ``timestamp``, odd ids ``userId`` + ``date``.
     Error events are malformed: no user, no movie, or not JSON at all.
     Purchases with id % 5 == 0 are sent twice.
     """
-    e = rating_events(t)
+    e = rating_events(t) if events is None else events
     even = F.col("event_id") % 2 == 0
     err = F.col("event_type") == "error"
     no_user = err & (F.col("event_id") % 3 == 0)
@@ -281,7 +281,7 @@ def event_lines(t: Tables) -> DataFrame:
     return e.select(line.alias("value"), F.explode(copies).alias("copy")).drop("copy")
 
 
-def recommendations(t: Tables, k: int = 10) -> DataFrame:
+def recommendations(t: Tables, k: int = 10, rated: DataFrame | None = None) -> DataFrame:
     """recs(user_id, movie_id, score): a deterministic stand-in for the factor
     model's top-k lists, so the serving queries can be oracle-checked.
 
@@ -290,7 +290,7 @@ def recommendations(t: Tables, k: int = 10) -> DataFrame:
     engine gets the same value); top ``k`` per user, ties by movie_id.
     """
     from cinestat.operators.topk import top_k_per_group
-    r = ratings(t)
+    r = ratings(t) if rated is None else rated
     pair = r.groupBy("user_id", "movie_id").agg(F.avg("rating").alias("pair_mean"))
     movie = r.groupBy("movie_id").agg(F.avg("rating").alias("movie_mean"))
     scored = (pair.join(movie, "movie_id")
@@ -300,10 +300,10 @@ def recommendations(t: Tables, k: int = 10) -> DataFrame:
     return top_k_per_group(scored, ["user_id"], [F.desc("score"), F.asc("movie_id")], k)
 
 
-def recommendation_lists(t: Tables, k: int = 10) -> DataFrame:
+def recommendation_lists(t: Tables, k: int = 10, recs: DataFrame | None = None) -> DataFrame:
     """The same lists in the model's stored shape:
     user_id int, recommendations array<struct<movie_id:int, rating:float>>."""
-    recs = recommendations(t, k)
+    recs = recommendations(t, k) if recs is None else recs
     lst = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("movie_id").alias("m"))))
     return (recs.groupBy("user_id").agg(lst.alias("l"))
             .select(F.col("user_id").cast("int").alias("user_id"),
@@ -322,6 +322,11 @@ def catalogue(t: Tables) -> DataFrame:
 # analyses read them, and rebuilding them inside every query would repeat the
 # line-item aggregations and their shuffles.
 MATERIALIZED = ("movies_raw", "credits_raw", "ratings", "links", "rating_events", "recommendations")
+# Derived canonical tables and the stored table each one reads (as a keyword
+# argument) when materializing: the upstream join or aggregation -- e.g. the
+# line-item x order join behind ``ratings`` -- then runs once per session.
+UPSTREAM = {"recommendations": ("rated", "ratings"), "recommendation_lists": ("recs", "recommendations"),
+            "event_lines": ("events", "rating_events")}
 _STORE: dict[tuple, str] = {}
 
 
@@ -362,6 +367,13 @@ class Canonical:
     def __getattr__(self, name):
         fn = globals().get(name)
         if callable(fn) and name not in ("Canonical",):
+            if self.materialize and name in UPSTREAM:
+                # only the default form reads the stored upstream (which was
+                # built with default arguments too)
+                arg, up = UPSTREAM[name]
+                base = fn
+                fn = lambda t, *a, **kw: (base(t, **{arg: getattr(self, up)()}) if not (a or kw)
+                                          else base(t, *a, **kw))
             if self.materialize and name in MATERIALIZED:
                 return lambda *a, **kw: (self._stored(name, fn) if not (a or kw) else fn(self.t, *a, **kw))
             return lambda *a, **kw: fn(self.t, *a, **kw)

@@ -262,3 +262,14 @@ def test_indexed_als_on_64bit_keys(spark):
     assert r.n_scored > 0 and r.rmse < 0.5
     recs = m.recommend_all(3)
     assert recs.agg(F.min("user_id")).collect()[0][0] >= off and recs.count() == 40 * 3
+
+
+def test_materialized_canonical_reads_stored_upstream(spark):
+    """Derived canonical tables read the stored upstream table in their
+    default form, and recompute when called with other arguments."""
+    c = Canonical(spark, SF_SMALL, materialize=True)
+    lists = c.recommendation_lists()
+    assert lists.agg(F.max(F.size("recommendations"))).first()[0] == 10
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "silver-recommendations" in plan
+    assert c.recommendation_lists(5).agg(F.max(F.size("recommendations"))).first()[0] == 5
