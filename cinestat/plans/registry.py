@@ -800,6 +800,23 @@ def q_stream_seen_state(c, t):
     return _seen_out(spark.read.parquet(out))
 
 
+@query("stream_latest", "T4 A19 S6", f"""
+SELECT event_id, user_id, movie_id, rating, strftime(t, '{TS_FMT_SQL}') AS ts FROM (
+  SELECT event_id, user_id, movie_id, rating,
+         CASE WHEN event_id % 2 = 0 THEN ts ELSE date_trunc('day', ts) END AS t
+  FROM rating_events WHERE event_type <> 'error')
+ORDER BY t DESC, event_id DESC LIMIT 1""")
+def q_stream_latest(c, t):
+    """The latest-event register as a complete-mode streaming aggregate over
+    the ingested events (each micro-batch rewrites the one-row table)."""
+    from cinestat.streaming.seen import ingested_stream, latest_event_stream, run_to_table
+    spark, base, _ = _run_stream(c)
+    out = f"{base}/latest"
+    ev = ingested_stream(spark, f"{base}/sink").select("event_id", "user_id", "movie_id", "rating", "ts")
+    run_to_table(latest_event_stream(ev), out, f"{base}/checkpoint/latest", mode="complete")
+    return spark.read.parquet(out).withColumn("ts", _fmt("ts"))
+
+
 # ---------------------------------------------------------------- pages and ids
 
 _HOST_SQL = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)"
