@@ -282,3 +282,40 @@ def test_stats_by_catalogue_id_matches_brute_force(spark):
             assert g.rating_std is None
         else:
             assert g.rating_std == pytest.approx(w["std"], rel=1e-9)
+
+
+def test_random_split_partitions_the_rows(spark):
+    """D3s as the reference does it: randomSplit 80/20 with a seed -- the
+    parts are disjoint and together hold every row."""
+    df = spark.range(0, 5000).select(F.col("id").alias("user_id"), (F.col("id") % 97).alias("movie_id"))
+    train, test = recommend.random_split(df)
+    a = {r.user_id for r in train.collect()}
+    b = {r.user_id for r in test.collect()}
+    assert not (a & b) and len(a | b) == 5000 and 0.75 < len(a) / 5000 < 0.85
+
+
+def test_clean_links_and_ratings_from_text(spark):
+    """V7: link and rating text columns become typed; bad cells become NULL."""
+    links = spark.createDataFrame([("1", "114709", "862"), ("2", "x", "")], "movieId string, imdbId string, tmdbId string")
+    got = [tuple(r) for r in clean.clean_links(links).collect()]
+    assert got == [(1, 114709, 862), (2, None, None)]
+    rt = spark.createDataFrame([("1", "31", "2.5", "1260759144"), ("userId", "movieId", "rating", "timestamp")],
+                               "userId string, movieId string, rating string, timestamp string")
+    got = [tuple(r) for r in clean.clean_ratings(rt).collect()]
+    assert got == [(1, 31, 2.5, 1260759144), (None, None, None, None)]
+
+
+def test_active_seen_items_as_of(spark):
+    """The pairs the serving layer excludes at a moment: items of sets still
+    alive then (last event + gap after it), each pair once."""
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([
+        (1, 10, t0), (1, 11, t0 + dt.timedelta(hours=5)), (1, 10, t0 + dt.timedelta(hours=6)),
+        (2, 20, t0), (2, 21, t0 + dt.timedelta(days=3)),
+    ], "user_id long, movie_id long, ts timestamp")
+    items = {(r.user_id, r.movie_id) for r in sessions.seen_items(ev).collect()}
+    assert items == {(1, 10), (1, 11), (2, 20), (2, 21)}
+    live = {(r.user_id, r.movie_id) for r in sessions.active_seen(ev, t0 + dt.timedelta(days=1)).collect()}
+    # user 1's set lives until day 1 + 6 h; user 2's first set ended at day 1
+    assert live == {(1, 10), (1, 11)}

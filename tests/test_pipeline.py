@@ -130,6 +130,11 @@ def test_als_beats_global_mean(spark):
     assert rmse < 0.5 * base
     recs = recommend.flatten(recommend.recommend_all(model, 5))
     assert recs.groupBy("user_id").count().agg(F.max("count")).collect()[0][0] <= 5
+    # active users only: the scoring covers the given users, not all of them
+    active = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    sub = recommend.recommend_subset(model, active, 4)
+    assert sorted(r.user_id for r in sub.collect()) == [1, 2, 3]
+    assert all(len(r.recommendations) == 4 for r in sub.collect())
 
 
 ORACLE_SUBSET = ["rating_stats", "ratings_enriched", "clean_movies", "dedup_movies", "trim_outliers",
