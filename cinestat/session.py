@@ -85,7 +85,9 @@ def cluster_settings(input_bytes: float, shuffle_fraction: float = 0.3, executor
     partitions is the number of shuffle blocks; beyond ~50k reducers the block
     count, not the data, becomes the cost). AQE then coalesces small
     partitions and splits skewed ones; its advisory size stays well below
-    what one core's share of executor memory sorts without heavy spilling."""
+    what one core's share of executor memory sorts without heavy spilling.
+    Broadcast limits are checked twice: against the planner's estimate
+    (16 MB) and against AQE's measured stage size (64 MB)."""
     mb = 1024 * 1024
     partitions = int(min(max_partitions, max(200, input_bytes * shuffle_fraction / (target_partition_mb * mb))))
     per_core_mb = executor_memory_gb * 1024 // max(executor_cores, 1)
@@ -96,5 +98,9 @@ def cluster_settings(input_bytes: float, shuffle_fraction: float = 0.3, executor
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{advisory}m",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * advisory}m",
         "spark.sql.files.maxPartitionBytes": f"{min(target_partition_mb, 512)}m",
-        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        # broadcasts: a small limit for the planner's size estimates, a larger
+        # one for AQE, which decides from the measured size of a finished
+        # shuffle stage; beyond either limit the join stays sort-merge
+        "spark.sql.autoBroadcastJoinThreshold": "16m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     }

@@ -319,3 +319,15 @@ def test_active_seen_items_as_of(spark):
     live = {(r.user_id, r.movie_id) for r in sessions.active_seen(ev, t0 + dt.timedelta(days=1)).collect()}
     # user 1's set lives until day 1 + 6 h; user 2's first set ended at day 1
     assert live == {(1, 10), (1, 11)}
+
+
+def test_cluster_settings_scale_with_input():
+    """Sizing for 100 TB: capped reducer count, broadcast limits on both the
+    estimate and the measured size, AQE on."""
+    from cinestat.session import cluster_settings
+    big, small = cluster_settings(100 * 1024 ** 4), cluster_settings(10 * 1024 ** 3)
+    assert int(big["spark.sql.shuffle.partitions"]) == 50000
+    assert 200 <= int(small["spark.sql.shuffle.partitions"]) < 50000
+    assert big["spark.sql.adaptive.enabled"] == "true" and big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert big["spark.sql.autoBroadcastJoinThreshold"] == "16m"
+    assert big["spark.sql.adaptive.autoBroadcastJoinThreshold"] == "64m"
