@@ -278,3 +278,26 @@ def test_materialized_canonical_reads_stored_upstream(spark):
     plan = lists._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" not in plan and "silver-recommendations" in plan
     assert c.recommendation_lists(5).agg(F.max(F.size("recommendations"))).first()[0] == 5
+
+
+def test_cluster_runner_writes_results(spark):
+    """The cluster runner sizes SQL settings from the input bytes (keeping
+    submit-time ones) and writes each query's result as Parquet."""
+    from tools import run_queries
+    out = _tmp()
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        res = run_queries.main([SF_SMALL, out, "rating_stats", "genre_counts"], spark=spark)
+        assert set(res["queries"]) == {"silver_build", "rating_stats", "genre_counts"}
+        # set at session build time, so kept; the rest is sized by the runner
+        assert "spark.sql.shuffle.partitions" not in res["settings"]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == prev
+        assert res["settings"]["spark.sql.adaptive.autoBroadcastJoinThreshold"] == "64m"
+        assert spark.read.parquet(f"{out}/rating_stats").count() > 0
+        assert spark.read.parquet(f"{out}/genre_counts").count() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
+                  "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                  "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.files.maxPartitionBytes"):
+            spark.conf.unset(k)
