@@ -92,6 +92,24 @@ def seen_set_state_stream(events: DataFrame, gap_seconds: int = 86400, watermark
                 "session_end": pd.Timestamp(last + gap_us, unit="us"), "n_events": n,
                 "n_items": len(items), "items_sum": int(sum(items))}
 
+    def summarize(batches) -> dict:
+        """gap-wide time bucket -> [first, last, count, items], folded one
+        Arrow chunk at a time: memory grows with the buckets and distinct
+        items of this micro-batch, not with the user's event count."""
+        buckets: dict = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            us = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64")
+            df = pd.DataFrame({"b": us // gap_us, "t": us, "i": pdf["movie_id"].astype("int64")})
+            g = df.groupby("b")["t"].agg(["min", "max", "size"])
+            items = df.drop_duplicates(["b", "i"]).groupby("b")["i"].agg(list)
+            for b, (lo, hi, c) in zip(g.index.tolist(), g.itertuples(index=False)):
+                cur = buckets.setdefault(b, [lo, hi, 0, set()])
+                cur[0], cur[1], cur[2] = min(cur[0], lo), max(cur[1], hi), cur[2] + int(c)
+                cur[3].update(items[b])
+        return buckets
+
     def step(key, batches, state):
         out = []
         if key[0] is None or pd.isna(key[0]):
@@ -111,18 +129,19 @@ def seen_set_state_stream(events: DataFrame, gap_seconds: int = 86400, watermark
             else:
                 start = last = None
                 n, items = 0, set()
-            pdf = pd.concat(list(batches), ignore_index=True)
-            us = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64").to_numpy()
-            for t, item in sorted(zip(us.tolist(), pdf["movie_id"].tolist())):
-                if last is not None and t - last > gap_us:
+            # inside a bucket no two events are more than gap apart, so a set
+            # can only close between consecutive non-empty buckets
+            for _, (first, end, c, its) in sorted(summarize(batches).items()):
+                if last is not None and first - last > gap_us:
                     out.append(closed(user, start, last, n, items))
                     start, n, items = None, 0, set()
-                start = t if start is None else start
-                last = t if last is None else max(last, t)
-                n += 1
-                items.add(int(item))
-            state.update((start, last, n, sorted(items)))
-            state.setTimeoutTimestamp((last + gap_us) // 1000)
+                start = first if start is None else min(start, first)
+                last = end if last is None else max(last, end)
+                n += c
+                items |= its
+            if last is not None:
+                state.update((start, last, n, sorted(items)))
+                state.setTimeoutTimestamp((last + gap_us) // 1000)
         yield pd.DataFrame(out, columns=["user_id", "session_start", "session_end", "n_events", "n_items",
                                          "items_sum"])
 
