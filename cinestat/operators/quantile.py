@@ -83,32 +83,66 @@ def exact_percentile(df: DataFrame, col: str, p: float, group_cols: Sequence[str
     return r.select(*g, (v1 + (v2 - v1) * (h - k1)).alias(out))
 
 
-def _global(x: DataFrame, p: float, accuracy: int, out: str) -> DataFrame:
-    """The same steps for one global group, joined by scalar subqueries.
+GRID = 1000
+
 
-    Each subquery is created once and carried as a column; later steps read
-    its fields from that column, so the plan holds each phase once (no join
-    on a constant key, which the optimizer would turn into a cross join)."""
+def _global(x: DataFrame, p: float, accuracy: int, out: str) -> DataFrame:
+    """The same steps for one global group, narrowed twice, joined by scalar
+    subqueries.
+
+    Level 1 brackets the target rank with the sketch (about 6 n / accuracy
+    values). In the same pass that counts the rows below that bracket, a
+    fixed grid of GRID + 1 sketch quantiles of the bracket's own values is
+    taken; the grid cells around the target's relative rank (chosen at run
+    time), widened by the sketch's error, give level 2: about 24 n /
+    (accuracy * GRID) values at the default accuracy. Only those are
+    counted in one small sorted task. Each subquery is created once and
+    carried as a column, so the plan holds each phase once (no join on a
+    constant key, which the optimizer would turn into a cross join)."""
     sk = x.agg(*_bracket_aggs(p, accuracy)).select(
         F.struct(F.col("_n").alias("n"), F.col("_br")[0].alias("lo"), F.col("_br")[1].alias("hi"))).scalar()
     xs = x.withColumn("_s", sk)
-    lo, hi = F.col("_s.lo"), F.col("_s.hi")
+    v = F.col("_x")
+    in1 = v.between(F.col("_s.lo"), F.col("_s.hi"))
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     # the carried fields are constant per row: min() keeps them as fixed-width
-    # buffers (a hash aggregate) where first(struct) would force a sort-based one
-    edge = (xs.agg(F.min("_s.n").alias("n"), F.min("_s.lo").alias("lo"), F.min("_s.hi").alias("hi"),
-                   *_edge_aggs(lo, hi))
+    # buffers where first(struct) would force a sort-based aggregate
+    lvl1 = (xs.agg(F.min("_s.n").alias("n"), F.count_if(v < F.col("_s.lo")).alias("below"),
+                   F.count_if(in1).alias("m"), F.percentile_approx(F.when(in1, v), grid, accuracy).alias("g"))
+            .select(F.struct("n", "below", "m", "g")).scalar())
+    # carried once as a column; everything below reads its fields
+    xl = x.withColumn("_l", lvl1)
+    n1, below1, m1, g1 = F.col("_l.n"), F.col("_l.below"), F.col("_l.m"), F.col("_l.g")
+    h1 = (n1 - 1) * F.lit(p)
+    # widen by the sketch's rank error (m / accuracy, in cells of m / GRID)
+    # and two cells more
+    margin = 2 + -(-3 * GRID // accuracy)
+
+    def cell(rank: Column, step: int) -> Column:
+        # 1-based grid index holding relative rank ``rank``, widened by ``margin``
+        pos = (rank - below1) * GRID / F.greatest(m1, F.lit(1))
+        j = (F.floor(pos) - margin) if step < 0 else (F.ceil(pos) + margin)
+        return F.least(F.greatest(j, F.lit(0)), F.lit(GRID)).cast("int") + 1
+
+    xs2 = xl.withColumn("_b", F.struct(n1.alias("n"), F.element_at(g1, cell(F.floor(h1), -1)).alias("lo"),
+                                       F.element_at(g1, cell(F.ceil(h1), 1)).alias("hi")))
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    edge = (xs2.agg(F.min("_b.n").alias("n"), F.min(lo).alias("lo"), F.min(hi).alias("hi"), *_edge_aggs(lo, hi))
             .select(F.struct(F.struct("n", "lo", "hi").alias("s"), F.col("_below").alias("below"),
                              F.col("_pred").alias("pred"), F.col("_succ").alias("succ"))).scalar())
-    # the bracket holds O(n / accuracy) distinct values: one small sorted task;
-    # lo and hi are data values, so it is never empty when n > 0
-    inside = (xs.filter(F.col("_x").between(lo, hi)).groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_cum", F.sum("_c").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("_e", edge))
-    n, below = F.col("_e.s.n"), F.col("_e.below")
+    # level 2 holds O(n / (accuracy * GRID)) distinct values: one small sorted
+    # task; lo and hi are data values, so it is never empty when n > 0
+    xe = x.withColumn("_e", edge)
+    inside = (xe.filter(v.between(F.col("_e.s.lo"), F.col("_e.s.hi")))
+              .groupBy("_x").agg(F.count(F.lit(1)).alias("_c"), F.min("_e.s.n").alias("_n"),
+                                  F.min("_e.below").alias("_below"), F.min("_e.pred").alias("_pred"),
+                                  F.min("_e.succ").alias("_succ"))
+              .withColumn("_cum", F.sum("_c").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))))
+    n, below = F.col("_n"), F.col("_below")
     h = (n - 1) * F.lit(p)
     k1, k2 = F.floor(h), F.ceil(h)
     picked = inside.groupBy().agg(F.min(n).alias("_n"), F.min(below).alias("_below"),
-                                  F.min("_e.pred").alias("_pred"), F.min("_e.succ").alias("_succ"),
+                                  F.min("_pred").alias("_pred"), F.min("_succ").alias("_succ"),
                                   F.max("_cum").alias("_in"),
                                   _at_rank(k1, below).alias("_v1"), _at_rank(k2, below).alias("_v2"))
     n2, below2 = F.col("_n"), F.col("_below")

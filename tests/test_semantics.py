@@ -87,3 +87,18 @@ def test_d18_corr_drops_pairs_with_a_null(spark):
     # counting a NULL as 0 (what a driver-side stat.corr on filled values gives) differs
     filled = pd.DataFrame(rows, columns=["a", "b"]).fillna(0.0)
     assert not math.isclose(got.corr, float(np.corrcoef(filled.a, filled.b)[0, 1]), rel_tol=1e-3)
+
+
+def test_exact_global_percentile_edge_cases(spark):
+    """A9 global path (two narrowing levels): two values, heavy duplicates,
+    a value holding a third of the rows, extreme p, a coarse sketch."""
+    import random
+    rng = random.Random(11)
+    cases = [[1.0, 2.0], [float(rng.randint(0, 5)) for _ in range(2000)],
+             [7.0] * 700 + [rng.gauss(0, 100) for _ in range(1400)]]
+    for vals in cases:
+        df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(3)
+        for acc in (50,):  # a coarse sketch has the widest margins
+            for p in (0.0, 0.37, 1.0):
+                got = quantile.exact_percentile(df, "v", p, accuracy=acc).first().percentile
+                assert got == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12), (len(vals), acc, p)
