@@ -43,11 +43,15 @@ def local_session(cpus: int | str = 8, app: str = "cinestat", shuffle_partitions
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the deployment and is read as is. Only
-    when it is unset (local tests) do we pick a fresh scratch folder.
+    On a cluster the folder is set by the deployment and is read as is; a
+    cluster session without it is an error. Only a local session (tests)
+    without it gets a fresh scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # executors on other machines could not read a driver-local folder
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         d = tempfile.mkdtemp(prefix="cinestat-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

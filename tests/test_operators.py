@@ -331,3 +331,16 @@ def test_cluster_settings_scale_with_input():
     assert big["spark.sql.adaptive.enabled"] == "true" and big["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert big["spark.sql.autoBroadcastJoinThreshold"] == "16m"
     assert big["spark.sql.adaptive.autoBroadcastJoinThreshold"] == "64m"
+
+
+def test_cluster_session_without_shared_checkpoint_folder_fails():
+    """On a cluster the library never falls back to a machine-local folder."""
+    from types import SimpleNamespace
+    from cinestat.session import ensure_checkpoint_dir
+    stub = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d),
+                           sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(stub)
+    shared = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: "hdfs://nn/ckpt"),
+                             sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: "hdfs://nn/ckpt"))
+    assert ensure_checkpoint_dir(shared) == "hdfs://nn/ckpt"
