@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinestat.llm import exact_dedup, line_rules, packing, sharding, simhash
+from cinestat.llm import exact_dedup, lexicon, line_rules, packing, sharding, simhash, token_counts
 from cinestat.llm.common import read_table
 from cinestat.session import scratch_path
 
@@ -21,12 +21,26 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_bpe() -> str:
+    """The word-level vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), byte_bpe())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset", "window")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    done = lexicon.encode_decode(docs, word_bpe(), lexicon.build_lexicon(docs, word_bpe()))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rows = sharding.shard_documents(docs, SHARDS, scratch_path(spark, "slot-map"))
@@ -50,12 +64,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document's source, language and lines of text."""
+    return token_counts.attribute_tokens(read_table(spark, sf_dir, "documents"), byte_bpe(), ["source", "lang", "text"],
+                                         split={"text": "\n"}, rule="most")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_counts": op10_token_counts,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
