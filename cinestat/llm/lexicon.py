@@ -49,13 +49,13 @@ from tokenizers import Regex as LibraryRegex
 from cinestat.llm.bytebpe import byte_of_character
 from cinestat.llm.common import arrow_map, named, prepare
 
-LEXICON_WORDS = 60_000
+LEXICON_WORDS = 120_000
 LOCAL_WORDS = 40_000
-CACHE_LIMIT = 250_000
+CACHE_LIMIT = 400_000
 # bytes of words that are merged side by side, and words in one such block
 SHORT = 32
 MERGE_ROWS = 20_000
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 # Unicode's White_Space characters
 SPACES = "\t-\r \x85\xa0  -     　"
 # str.split() also cuts at these separators, which are no white space here
@@ -91,14 +91,15 @@ class WordBPE:
         for t, i in [*vocab.items(), *self.specials.items()]:
             self.tokens[i] = t
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.word = regex.compile(pattern.replace(r"\s", SPACES))
+        # words, and line feeds as marks between runs of visible characters
+        self.word = regex.compile(pattern.replace(r"\s", SPACES) + "|\n")
         self.library_words = pre_tokenizers.Split(LibraryRegex(pattern), "removed", invert=True)
         self.library_normal = Tokenizer.from_file(path).normalizer
         end = model["end_of_word_suffix"]
         written = {b: c for c, b in byte_of_character().items()}
         self.inner = [vocab[written[b]] for b in range(256)]
         self.last = [vocab[written[b] + end] for b in range(256)]
-        self.inner_ids, self.last_ids = np.array(self.inner), np.array(self.last)
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int32), np.array(self.last, np.int32)
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -106,10 +107,9 @@ class WordBPE:
         # the same pairs as sorted arrays, with a last entry that no pair reaches
         keys = np.array([a * len(self.tokens) + b for a, b in self.pairs], np.int64)
         order = np.argsort(keys)
-        end = np.iinfo(np.int64).max
-        self.pair_key = np.append(keys[order], end)
-        self.pair_rank = np.append(np.array([r for r, _ in self.pairs.values()], np.int64)[order], _NONE)
-        self.pair_new = np.append(np.array([x for _, x in self.pairs.values()], np.int64)[order], 0)
+        self.pair_key = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_rank = np.append(np.array([r for r, _ in self.pairs.values()], np.int32)[order], np.int32(_NONE))
+        self.pair_new = np.append(np.array([x for _, x in self.pairs.values()], np.int32)[order], np.int32(0))
 
     def normalise(self, text: str) -> str:
         """NFC, white space as blanks, every character's own lower case."""
@@ -121,19 +121,23 @@ class WordBPE:
             return [c for c in _SPACE_RUN.split(text) if c]
         return text.split()
 
-    def words(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk]
-        if _latin(chunk):
-            return self.word.findall(chunk)
-        return [w for w, _ in self.library_words.pre_tokenize_str(chunk)]
+    def words(self, chunks: list[str]) -> list[str]:
+        """The chunks' words in order, with a line feed after each chunk."""
+        text = "\n".join([*chunks, ""])
+        if _latin(text):
+            return self.word.findall(text)
+        out = []
+        for c in chunks:
+            out += self.word.findall(c) if _latin(c) else [w for w, _ in self.library_words.pre_tokenize_str(c)]
+            out.append("\n")
+        return out
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Exact merges of many words: the pair of lowest rank first, the
         leftmost of equals. Words of up to ``SHORT`` bytes are merged together,
         one merge of each word a step."""
         out: list = [None] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        short = sorted((i for i, w in enumerate(words) if len(w) <= SHORT), key=lambda i: len(words[i]))  # tight blocks
         for at in range(0, len(short), MERGE_ROWS):
             rows = short[at:at + MERGE_ROWS]
             for i, ids in zip(rows, self._merge_short([words[i] for i in rows]), strict=True):
@@ -145,7 +149,7 @@ class WordBPE:
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs; ``_NONE`` without one (-1 is no symbol)."""
-        key = np.where((a >= 0) & (b >= 0), a * len(self.tokens) + b, -1)
+        key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * len(self.tokens) + b, -1)
         at = np.searchsorted(self.pair_key, key)
         return np.where(self.pair_key[at] == key, self.pair_rank[at], _NONE)
 
@@ -154,9 +158,9 @@ class WordBPE:
         size = np.fromiter(map(len, words), np.int64, n)
         raw = np.frombuffer(b"".join(w.ljust(width + 1, b"\0") for w in words), np.uint8).reshape(n, width + 1)
         column = np.arange(width + 1)
-        s = np.where(column < size[:, None] - 1, self.inner_ids[raw], np.where(column == size[:, None] - 1, self.last_ids[raw], -1))
+        s = np.where(column < size[:, None] - 1, self.inner_ids[raw], np.where(column == size[:, None] - 1, self.last_ids[raw], np.int32(-1)))
         rank = self._ranks(s[:, :-1], s[:, 1:])  # of the pairs at i, i + 1
-        row, done = np.arange(n), np.full((n, width + 1), -1, np.int64)
+        row, done = np.arange(n), np.full((n, width + 1), -1, np.int32)
         while len(row):
             at = rank.argmin(1)
             open_ = rank[np.arange(len(row)), at] < _NONE
@@ -165,7 +169,7 @@ class WordBPE:
             if not len(row):
                 break
             k = np.arange(len(row))
-            new = self.pair_new[np.searchsorted(self.pair_key, s[k, at] * len(self.tokens) + s[k, at + 1])]
+            new = self.pair_new[np.searchsorted(self.pair_key, s[k, at].astype(np.int64) * len(self.tokens) + s[k, at + 1])]
             s = np.take_along_axis(s, np.minimum(column + (column > at[:, None]), width), 1)
             s[:, -1] = -1
             s[k, at] = new
@@ -332,24 +336,41 @@ class Encoder:
 
     def __init__(self, bpe: WordBPE, lexicon: Lexicon, cache_limit: int = CACHE_LIMIT):
         self.bpe, self.lexicon, self.limit = bpe, lexicon, cache_limit
-        self.known: dict[str, bytes] = {}
+        self.lexicon_ids = lexicon.ids.tobytes()
+        # two generations: what is still in use moves from the older to the younger
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
+    def _words(self, words: list[str]) -> list[bytes]:
         raw = [w.encode() for w in words]
         number = self.lexicon.numbers(raw)
-        out = {}
-        for i in np.flatnonzero(number >= 0).tolist():
-            out[words[i]] = self.lexicon.ids_of(int(number[i])).tobytes()
-        new = np.flatnonzero(number < 0).tolist()
+        out = [b""] * len(words)
+        hit = np.flatnonzero(number >= 0)
+        lo, hi = 4 * self.lexicon.offsets[number[hit]], 4 * self.lexicon.offsets[number[hit] + 1]
+        for i, a, b in zip(hit.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            out[i] = self.lexicon_ids[a:b]
+        new = []
+        for i in np.flatnonzero(number < 0).tolist():
+            w = words[i]
+            out[i] = self.known.get(w) or self.older.get(w) or b""
+            if not out[i]:
+                new.append(i)
         for i, ids in zip(new, self.bpe.merge([raw[i] for i in new]), strict=True):
-            out[words[i]] = np.array(ids, "<i4").tobytes()
+            out[i] = self.known[words[i]] = np.array(ids, "<i4").tobytes()
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        parts = {c: self.bpe.words(c) for c in chunks}
-        ids = self._words(list({w for ws in parts.values() for w in ws}))
-        for c, ws in parts.items():
-            self.known[c] = ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws))
+    def _learn(self, chunks: list[str]) -> None:
+        place = {"\n": 0}
+        order = [place.setdefault(w, len(place)) for w in self.bpe.words(chunks)]
+        ids = [b"", *self._words(list(place)[1:])]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = np.array(order, np.int64)
+        ends = np.cumsum(sizes[at])[at == 0].tolist()
+        flat = b"".join(map(ids.__getitem__, order))
+        a = 0
+        for c, b in zip(chunks, ends, strict=True):
+            self.known[c] = flat[a:b]
+            a = b
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         bpe = self.bpe
@@ -361,13 +382,20 @@ class Encoder:
             else:
                 pieces.append([bpe.chunks(bpe.normalise(t))])
         if len(self.known) > self.limit:
-            self.known.clear()
-        new: set[str] = set()
+            self.known, self.older = {"": b""}, self.known
+        found: set[str] = set()
         for p in pieces:
             for x in p:
                 if not isinstance(x, int):
-                    new.update(x)
-        self._learn(new.difference(self.known))
+                    found.update(x)
+        new = []
+        for c in found.difference(self.known):
+            ids = self.older.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                self.known[c] = ids
+        self._learn(new)
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(np.array([x], "<i4").tobytes() if isinstance(x, int) else b"".join(map(get, x)) for x in p), "<i4")
                 for p in pieces]
@@ -399,8 +427,12 @@ def _count_words(path: str, keep: int):
         bpe, chunks, counts = loaded(path), Counter(), Counter()
 
         def fold() -> None:
-            for c, n in chunks.items():
-                for w in bpe.words(c):
+            each = iter(chunks.values())
+            n = next(each, 0)
+            for w in bpe.words(list(chunks)):
+                if w == "\n":
+                    n = next(each, 0)
+                else:
                     counts[w] += n
             chunks.clear()
             if len(counts) > 8 * keep:
