@@ -59,7 +59,7 @@ _NONE = np.iinfo(np.int32).max
 # Unicode's White_Space characters
 SPACES = "\t-\r \x85\xa0  -     　"
 # str.split() also cuts at these separators, which are no white space here
-_OTHER = re.compile("[\x1c-\x1f]")
+_OTHER = "\x1c\x1d\x1e\x1f"
 _SPACE_RUN = re.compile(f"[{SPACES}]+")
 
 
@@ -117,7 +117,7 @@ class WordBPE:
 
     def chunks(self, text: str) -> list[str]:
         """The normalised text's runs of visible characters; no word spans two."""
-        if _OTHER.search(text):
+        if any(c in text for c in _OTHER):
             return [c for c in _SPACE_RUN.split(text) if c]
         return text.split()
 
@@ -442,7 +442,7 @@ def _count_words(path: str, keep: int):
         for b in batches:
             for t in b.column("text").to_pylist():
                 chunks.update(bpe.chunks((t or "").lower()))
-            if len(chunks) > 4 * keep:
+            if len(chunks) > 16 * keep:
                 fold()
         fold()
         top = counts.most_common(keep)

@@ -8,11 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinestat.llm import exact_dedup, lexicon, line_rules, packing, sharding, simhash, token_counts
-from cinestat.llm.common import read_table
+from cinestat.llm import (
+    exact_dedup, lexicon, licenses, line_rules, packing, quality, sharding, simhash, token_counts, toxicity,
+)
+from cinestat.llm.common import held_out, read_table
 from cinestat.session import scratch_path
 
 SHARDS = 40
+GOOD = 0.3
+TOXIC = 0.5
 
 
 def byte_bpe() -> str:
@@ -27,12 +31,24 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(read_table(spark, sf_dir, "documents"), byte_bpe())
+def _scored(scores: DataFrame, limit: float) -> DataFrame:
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= limit).cast("int").alias("predicted"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), GOOD)
+
+
+def piece_rows(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset", "window")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_rows(packing.pack(read_table(spark, sf_dir, "documents"), byte_bpe()))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     done = lexicon.encode_decode(docs, word_bpe(), lexicon.build_lexicon(docs, word_bpe()))
@@ -49,6 +65,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "virtual_slot")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a source is a top directory, a language one in it."""
+    docs = read_table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), TOXIC)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -71,9 +98,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
+    "op5_license_scan": op5_license_scan,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
