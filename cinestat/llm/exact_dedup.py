@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinestat.llm.common import arrow_map, ascii_lower, fresh, named, prepare, written
+from cinestat.llm.membership import split_by_list
 
 COUNTERS = 1024
 # partitions whose summaries one merge task reads
@@ -149,15 +150,22 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       counters: int = COUNTERS) -> DataFrame:
     """``docs`` without the rows ``exact_groups`` drops, all columns as they are."""
     groups = written(exact_groups(docs, id_col, text_col, counters), "dedup-groups")
-    dig, one = fresh(docs, "digest", "one")
-    key = [F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")]
+    dig, key = fresh(docs, "digest", "key")
     per_key = groups.groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("copies"))
-    odd = written(per_key.where(~F.col("stays") | (F.col("copies") > 1)), "dedup-decisions")
-    rows = docs.withColumn(dig, text_digest(named(text_col)))
+    odd = written(per_key.where(~F.col("stays") | (F.col("copies") > 1))
+                  .withColumn("key", _id_key(F.col("doc_id"))), "dedup-decisions")
+    sure, rest = split_by_list(docs.withColumn(key, _id_key(named(id_col))), key, odd, "key")
+    # few rows: the decided ones and the filter's false positives
+    rest = rest.withColumn(dig, text_digest(named(text_col)))
     match = named(id_col).eqNullSafe(F.col("k_id")) & (named(dig) == F.col("k_digest"))
-    left = rows.join(odd.select(*key), match, "left_anti")
+    pairs = odd.select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"), "stays")
+    left = sure.unionByName(rest.join(pairs, match, "left_anti").drop(dig))
     if odd.where("stays").isEmpty():
-        return left.drop(dig)
+        return left.drop(key)
     # repeated rows of a kept document: one of each stays
-    again = rows.join(odd.where("stays").select(*key), match, "left_semi").dropDuplicates([id_col, dig])
-    return left.drop(dig).unionByName(again.drop(dig))
+    again = rest.join(pairs.where("stays"), match, "left_semi").dropDuplicates([id_col, dig])
+    return left.unionByName(again.drop(dig)).drop(key)
+
+
+def _id_key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit(""))

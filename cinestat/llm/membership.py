@@ -1,0 +1,69 @@
+"""Taking a written list of keys out of a table of long rows.
+
+An anti join moves every row of the table, texts included, to find the few that
+go. A Bloom filter of the list settles most rows where they lie: a key that the
+filter lacks is surely not in the list, so only the listed rows and a few false
+positives reach the join. The filter is built by a partially aggregated bit-or
+over its words and has at most ``MAX_BITS`` bits (32 MB), the bound of what is
+collected and broadcast; a list too long for it makes more rows join, and the
+result stays the same.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cinestat.llm.common import fresh, named
+
+HASHES = 4
+BITS_PER_KEY = 12
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
+
+
+def _places(key: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+
+
+def bloom_words(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """The filter's 64-bit words: at most bits / 64 rows reach the driver."""
+    at = keys.select(F.explode(F.array(*_places(named(key), bits))).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def maybe_in(docs: DataFrame, key: str, keys: DataFrame, keys_col: str) -> Column:
+    """False where ``key`` is surely none of ``keys``."""
+    bits = MIN_BITS
+    while bits < min(keys.count() * BITS_PER_KEY, MAX_BITS):
+        bits *= 2
+    words = docs.sparkSession.sparkContext.broadcast(bloom_words(keys, keys_col, bits))
+
+    @F.pandas_udf("boolean")
+    def known(*places: pd.Series) -> pd.Series:
+        w, out = words.value, None
+        for p in places:
+            at = p.to_numpy()
+            bit = (w[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            out = bit if out is None else out & bit
+        return pd.Series(out)
+
+    return known(*_places(named(key), bits))
+
+
+def split_by_list(docs: DataFrame, key: str, keys: DataFrame, keys_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that are surely not listed, all other rows)."""
+    (mark,) = fresh(docs, "maybe")
+    marked = docs.withColumn(mark, maybe_in(docs, key, keys, keys_col))
+    return marked.where(~named(mark)).drop(mark), marked.where(named(mark)).drop(mark)
+
+
+def without_listed(docs: DataFrame, key: str, keys: DataFrame, keys_col: str) -> DataFrame:
+    """``docs`` without the rows whose key (not null) is one of ``keys``."""
+    sure, rest = split_by_list(docs, key, keys, keys_col)
+    return sure.unionByName(rest.join(keys.select(named(keys_col).alias("k")), named(key) == F.col("k"), "left_anti"))

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinestat.llm.common import arrow_map, fresh, held_out, named, prepare, row_key, written
+from cinestat.llm.membership import without_listed
 
 POOL_SHRINKAGE = 0.5
 DIAGONAL_SHRINKAGE = 0.1
@@ -225,11 +226,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, limit: float, id_col: str = "d
     """``docs`` without documents that score below ``limit``, all columns as
     they are. The score depends on the text alone, so rows with one key (id, or
     text where the id is null) are judged by their worst."""
-    key, plain = fresh(docs, "key", "text")
+    (key,) = fresh(docs, "key")
     rows = docs.withColumn(key, row_key(named(id_col), named(text_col)))
     prepare(docs.sparkSession)
     stats = written(document_statistics(rows, key, text_col), "quality-stats")
     train = written(training_rows(stats, labels, label_col), "quality-training")
-    poor = written(score(stats, fit(train)).where(F.col("score") < limit).select(F.col("doc_id").alias(plain)).distinct(),
-                   "quality-poor")
-    return rows.join(poor, named(key) == named(plain), "left_anti").drop(key)
+    poor = written(score(stats, fit(train)).where(F.col("score") < limit).select("doc_id").distinct(), "quality-poor")
+    return without_listed(rows, key, poor, "doc_id").drop(key)

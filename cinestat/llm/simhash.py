@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinestat.llm.common import UPPER, arrow_map, fresh, named, prepare, row_key, written
+from cinestat.llm.membership import split_by_list
 
 SHINGLE = 3
 RADIUS = 3
@@ -234,9 +235,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     odd = written(per_key.where(~F.col("stays") | (F.col("copies") > 1)).withColumnRenamed("row_key", "k"), "simhash-drops")
     (key,) = fresh(docs, "key")
     rows = docs.withColumn(key, row_key(named(id_col), named(text_col)))
-    left = rows.join(odd.select("k"), named(key) == F.col("k"), "left_anti")
+    sure, rest = split_by_list(rows, key, odd, "k")
+    left = sure.unionByName(rest.join(odd.select("k"), named(key) == F.col("k"), "left_anti"))
     again = odd.where("stays")
     if again.isEmpty():
         return left.drop(key)
-    kept = rows.join(again.select("k"), named(key) == F.col("k"), "left_semi").dropDuplicates([key])
+    kept = rest.join(again.select("k"), named(key) == F.col("k"), "left_semi").dropDuplicates([key])
     return left.drop(key).unionByName(kept.drop(key))
