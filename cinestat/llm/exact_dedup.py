@@ -150,15 +150,15 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       counters: int = COUNTERS) -> DataFrame:
     """``docs`` without the rows ``exact_groups`` drops, all columns as they are."""
     groups = written(exact_groups(docs, id_col, text_col, counters), "dedup-groups")
-    dig, key = fresh(docs, "digest", "key")
+    dig, key, k_id, k_digest = fresh(docs, "digest", "key", "listed_id", "listed_digest")
     per_key = groups.groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("copies"))
     odd = written(per_key.where(~F.col("stays") | (F.col("copies") > 1))
                   .withColumn("key", _id_key(F.col("doc_id"))), "dedup-decisions")
     sure, rest = split_by_list(docs.withColumn(key, _id_key(named(id_col))), key, odd, "key")
     # few rows: the decided ones and the filter's false positives
     rest = rest.withColumn(dig, text_digest(named(text_col)))
-    match = named(id_col).eqNullSafe(F.col("k_id")) & (named(dig) == F.col("k_digest"))
-    pairs = odd.select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"), "stays")
+    match = named(id_col).eqNullSafe(named(k_id)) & (named(dig) == named(k_digest))
+    pairs = odd.select(F.col("doc_id").alias(k_id), F.col("digest").alias(k_digest), "stays")
     left = sure.unionByName(rest.join(pairs, match, "left_anti").drop(dig))
     if odd.where("stays").isEmpty():
         return left.drop(key)

@@ -66,4 +66,5 @@ def split_by_list(docs: DataFrame, key: str, keys: DataFrame, keys_col: str) ->
 def without_listed(docs: DataFrame, key: str, keys: DataFrame, keys_col: str) -> DataFrame:
     """``docs`` without the rows whose key (not null) is one of ``keys``."""
     sure, rest = split_by_list(docs, key, keys, keys_col)
-    return sure.unionByName(rest.join(keys.select(named(keys_col).alias("k")), named(key) == F.col("k"), "left_anti"))
+    (k,) = fresh(docs, "listed")
+    return sure.unionByName(rest.join(keys.select(named(keys_col).alias(k)), named(key) == named(k), "left_anti"))

@@ -43,6 +43,8 @@ RADIUS = 3
 LIMIT = 1024
 SEED = 42
 BITS = 64
+# levels of splitting; the last one leaves at most 8 free bits at radius 3
+DEPTH = 3
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _CHUNK = 1 << 16
 
@@ -167,11 +169,13 @@ def near_links(fps: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> Data
     """(a, b): links between the representatives of distinct fingerprints
     (``fps``: fp, rep), enough of them to connect every group."""
     spark = fps.sparkSession
-    if limit < 1 << 7:
-        raise ValueError("limit must be at least 128: a bucket with 7 free bits may hold as many fingerprints")
+    levels = mask_tree(DEPTH, radius)
+    most = 1 << max(BITS - (m % (1 << BITS)).bit_count() for _, _, m in levels[-1])
+    if limit < most:
+        raise ValueError(f"limit must be at least {most}: the last level's buckets may hold as many fingerprints")
     links = None
     rows = fps.select(F.lit(0).alias("parent"), "fp", "rep")
-    for level in mask_tree(3, radius):
+    for level in levels:
         masks = spark.createDataFrame([(p, t, _signed(m)) for p, t, m in level], "parent int, table int, mask long")
         # 15, 225 or 3375 masks: a fixed bound
         keyed = (rows.join(F.broadcast(masks), "parent")
@@ -232,13 +236,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = written(near_groups(docs, id_col, text_col, shingle, radius, limit), "simhash-decisions")
     per_key = groups.groupBy("row_key").agg((F.min("component") == F.first("row_key")).alias("stays"),
                                             F.count(F.lit(1)).alias("copies"))
-    odd = written(per_key.where(~F.col("stays") | (F.col("copies") > 1)).withColumnRenamed("row_key", "k"), "simhash-drops")
-    (key,) = fresh(docs, "key")
+    key, k = fresh(docs, "key", "listed")
+    odd = written(per_key.where(~F.col("stays") | (F.col("copies") > 1)).withColumnRenamed("row_key", k), "simhash-drops")
     rows = docs.withColumn(key, row_key(named(id_col), named(text_col)))
-    sure, rest = split_by_list(rows, key, odd, "k")
-    left = sure.unionByName(rest.join(odd.select("k"), named(key) == F.col("k"), "left_anti"))
+    sure, rest = split_by_list(rows, key, odd, k)
+    left = sure.unionByName(rest.join(odd.select(k), named(key) == named(k), "left_anti"))
     again = odd.where("stays")
     if again.isEmpty():
         return left.drop(key)
-    kept = rest.join(again.select("k"), named(key) == F.col("k"), "left_semi").dropDuplicates([key])
+    kept = rest.join(again.select(k), named(key) == named(k), "left_semi").dropDuplicates([key])
     return left.drop(key).unionByName(kept.drop(key))

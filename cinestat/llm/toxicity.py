@@ -54,7 +54,7 @@ def ngram_buckets(text: str, sizes: tuple[int, ...] = SIZES, buckets: int = BUCK
     for a in range(0, len(codes), _CHUNK):
         c = codes[a:a + _CHUNK + max(sizes) - 1]
         for n in sizes:
-            if len(c) < n or a and len(c) <= max(sizes) - 1:
+            if len(c) < n:
                 continue
             m = min(len(c) - n + 1, _CHUNK)
             h = np.full(m, n, np.uint64)
