@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cinestat import schemas as S
 from cinestat.functions import pseudo_json
 from cinestat.functions.casts import parse_date, text_bool, try_number, zero_to_null
+from cinestat.operators.quantile import exact_quantiles
 from cinestat.operators.topk import latest_per_key
 
 DATE_FORMAT = "yyyy-MM-dd"
@@ -83,7 +84,7 @@ def dedup_movies(movies: DataFrame, keys=("title", "release_year"), rank_col: st
     return best.select(*cols).unionByName(movies.filter(F.col(keys[0]).isNull()))
 
 
-def trim_outliers(movies: DataFrame, cols=("budget", "revenue"), q: float = 0.99, accuracy: int = 10000,
+def trim_outliers(movies: DataFrame, cols=("budget", "revenue"), q: float = 0.99,
                   drop_null: bool = True) -> DataFrame:
     """Drop rows above the q-quantile of each column (V8).
 
@@ -91,8 +92,9 @@ def trim_outliers(movies: DataFrame, cols=("budget", "revenue"), q: float = 0.99
     in the same query -- no driver round trip). ``drop_null=True`` keeps the
     reference's behaviour of also dropping rows where a column is NULL.
     """
-    # one aggregate pass and one scalar subquery for all caps
-    caps = movies.agg(F.struct(*[F.percentile_approx(c, q, accuracy).alias(c) for c in cols])).scalar()
+    # exact at any size; one scalar subquery for all caps
+    found = exact_quantiles(movies, list(cols), [q])
+    caps = found.agg(F.struct(*[F.max(F.when(F.col("column_name") == c, F.col("value"))).alias(c) for c in cols])).scalar()
     cond = F.lit(True)
     for c in cols:
         ok = F.col(c) <= caps[c]

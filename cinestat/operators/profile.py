@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinestat.functions.casts import parse_grouped_int, year_flags
+from cinestat.operators.quantile import quantile_row
 
 
 def _null_or_empty(c: str) -> Column:
@@ -94,24 +95,16 @@ PROFILE_QUANTILES = (0.0, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
 
 
 def quantile_profile(movies_raw: DataFrame, cols: Sequence[str] = ("budget", "revenue", "vote_count"),
-                     qs: Sequence[float] = PROFILE_QUANTILES, accuracy: int = 10000) -> DataFrame:
-    """Non-null count and quantiles of '1,234'-style number columns.
-
-    One pass computes every column's sketch; ``stack`` turns the one wide row
-    into one row per column. ``percentile_approx`` is the in-plan form of
-    ``approxQuantile`` (which would be an eager driver action).
-    """
+                     qs: Sequence[float] = PROFILE_QUANTILES) -> DataFrame:
+    """Non-null count and exact discrete quantiles of '1,234'-style number
+    columns (V4, F2, A11), one row per column."""
     parsed = movies_raw.select(*[parse_grouped_int(c).alias(c) for c in cols])
-    arr = F.array(*[F.lit(q) for q in qs])
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"{c}__n"), F.percentile_approx(c, arr, accuracy).alias(f"{c}__q")]
-    wide = parsed.agg(*aggs)
-    stack = "stack({n}, {args}) as (column_name, n_non_null, q)".format(
-        n=len(cols), args=", ".join(f"'{c}', `{c}__n`, `{c}__q`" for c in cols))
+    counts = parsed.agg(*[F.count(c).alias(c) for c in cols]).selectExpr(
+        f"stack({len(cols)}, {', '.join(f"'{c}', `{c}`" for c in cols)}) as (column_name, n_non_null)")
+    found = quantile_row(parsed, cols, qs)
     names = [f"q{int(round(q * 100)):03d}" for q in qs]
-    return wide.selectExpr(stack).select("column_name", "n_non_null",
-                                         *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    return counts.join(F.broadcast(found), "column_name", "left").select(
+        "column_name", "n_non_null", *[F.col("q")[i].cast("long").alias(n) for i, n in enumerate(names)])
 
 
 def link_coverage(movie_ids: DataFrame, link_tmdb_ids: DataFrame, rating_movie_ids: DataFrame,
@@ -195,22 +188,19 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 SUMMARY_STATS = ("count", "mean", "stddev", "min", "p25", "p50", "p75", "max")
 
 
-def typed_summary(df: DataFrame, cols: Sequence[str], accuracy: int = 10000) -> DataFrame:
-    """``df.summary()`` with typed columns (A13): one row per input column.
-
-    One aggregate pass for all columns, then ``stack``."""
+def typed_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``df.summary()`` with typed columns and exact quartiles (A13): one row
+    per input column."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev(x).alias(f"{c}__stddev"), F.min(x).alias(f"{c}__min"),
-                 F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy).alias(f"{c}__q"),
-                 F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    fields = ["count", "mean", "stddev", "min", "q", "max"]
-    stack = "stack({n}, {args}) as (column_name, count, mean, stddev, min, q, max)".format(
+                 F.stddev(x).alias(f"{c}__stddev"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+    fields = ["count", "mean", "stddev", "min", "max"]
+    stack = "stack({n}, {args}) as (column_name, count, mean, stddev, min, max)".format(
         n=len(cols), args=", ".join(", ".join([f"'{c}'"] + [f"`{c}__{f}`" for f in fields]) for c in cols))
-    return wide.selectExpr(stack).select(
+    quartiles = quantile_row(df, cols, [0.25, 0.5, 0.75])
+    return df.agg(*aggs).selectExpr(stack).join(F.broadcast(quartiles), "column_name", "left").select(
         "column_name", "count", "mean", "stddev", "min",
         F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 

@@ -49,7 +49,50 @@ def _at_rank(k: Column, below: Column) -> Column:
 
 
 def _resolve(k: Column, v: Column, below: Column, inside: Column, pred: Column, succ: Column) -> Column:
-    return F.when(k < below, pred).when(k >= below + inside, succ).otherwise(v)
+    """The value at rank k; a neighbour stands for the next rank outside the
+    bracket only, anything further out is an error and never a wrong value."""
+    far = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
+    return (F.when(k == below - 1, pred).when(k == below + inside, succ)
+            .when((k < below) | (k > below + inside), far).otherwise(v))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], accuracy: int = 100000) -> DataFrame:
+    """(column_name, p, value): the discrete quantiles of several columns,
+    exact at any size (NULLs ignored; a column without values has NULLs).
+
+    One sketch per column brackets all ranks; one row per column and rank, a
+    fixed number, is broadcast to the values. Rows below each bracket are
+    counted map-side, and only the bracket's distinct values (about
+    6 n / accuracy a rank) are numbered."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_x")) for c in cols]))
+    x = df.select(pairs.alias("_p")).select("_p.*").where(F.col("_x").isNotNull())
+    eps = 3.0 / accuracy
+    marks = [m for p in ps for m in (max(p - eps, 0.0), min(p + eps, 1.0))]
+    sketch = x.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"),
+                                          F.percentile_approx("_x", F.array(*map(F.lit, marks)), accuracy).alias("_q"))
+    per_rank = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col("_q")[2 * i].alias("lo"),
+                                            F.col("_q")[2 * i + 1].alias("hi")) for i, p in enumerate(ps)]))
+    ranks = (sketch.select("column_name", "_n", per_rank.alias("_r")).select("column_name", "_n", "_r.*")
+             .withColumn("_k", F.greatest(F.col("_n") - F.floor(F.col("_n") - F.col("p") * F.col("_n")) - 1, F.lit(0))))
+    inside = (x.join(F.broadcast(ranks), "column_name").where(F.col("_x") <= F.col("hi"))
+              # values below a bracket count as one entry, before the shuffle
+              .withColumn("_v", F.when(F.col("_x") >= F.col("lo"), F.col("_x")))
+              .groupBy("column_name", "i", "p", "_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    upto = Window.partitionBy("column_name", "i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    run = inside.withColumn("_cum", F.sum("_c").over(upto))
+    hit = F.min(F.when((F.col("_cum") > F.col("_k")) & F.col("_v").isNotNull(), F.col("_v")))
+    missed = F.max((F.col("_v").isNull()) & (F.col("_cum") > F.col("_k"))) | hit.isNull()
+    found = run.groupBy("column_name", "i", "p").agg(
+        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(hit).alias("value"))
+    return found.select("column_name", "p", "value")
+
+
+def quantile_row(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> DataFrame:
+    """(column_name, q): per column the list of its exact quantiles in the order of ``ps``."""
+    q = exact_quantiles(df, cols, ps)
+    by_p = F.map_from_entries(F.collect_list(F.struct("p", "value")))
+    return q.groupBy("column_name").agg(by_p.alias("_m")).select(
+        "column_name", F.array(*[F.col("_m")[float(p)] for p in ps]).alias("q"))
 
 
 def exact_percentile(df: DataFrame, col: str, p: float, group_cols: Sequence[str] = (),

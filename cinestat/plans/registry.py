@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from cinestat import schemas as S
 from cinestat.functions import casts, pseudo_json
 from cinestat.operators import clean, finance, ids, pages, people, profile, ratings, recommend, sessions
+from cinestat.operators.report import middle
 from cinestat.plans.canonical import Canonical
 from cinestat.plans.sql import with_ctes
 from cinestat.sources import io
@@ -492,7 +493,7 @@ def q_roi_stats(c, t):
 
 
 def _movie_genre(c):
-    return finance.movie_genre(_final(c), ratings.stats_by_catalogue_id(c.ratings(), c.links()))
+    return finance.genre_facts(_final(c), ratings.stats_by_catalogue_id(c.ratings(), c.links()))
 
 
 @query("genre_roi", "V26 F12 F13 F18 J4 A10 P13", f"""
@@ -519,21 +520,34 @@ def q_genre_roi_w(c, t):
 # ---------------------------------------------------------------- people
 
 def _people(c, rule="strict"):
-    return people.people_table(_dedup(c), _credits(c), rule)
+    return people.film_people(_credits(c), rule)
+
+
+def _films(c):
+    return _dedup(c).select("tmdb_id", "revenue", "vote_average")
+
+
+@query("people_profit", "V14 F10 F11 J4 P4", """
+SELECT m.tmdb_id, m.revenue - m.budget AS profit, coalesce(d.n, 0) AS n_directors, coalesce(a.n, 0) AS n_cast
+FROM movies_dedup m LEFT JOIN (SELECT tmdb_id, count(*) AS n FROM dir_strict GROUP BY tmdb_id) d USING (tmdb_id)
+LEFT JOIN (SELECT tmdb_id, count(*) AS n FROM main_cast GROUP BY tmdb_id) a USING (tmdb_id)""")
+def q_people_profit(c, t):
+    return people.people_profit(_dedup(c), _people(c)).select(
+        "tmdb_id", "profit", F.size("directors").cast("long").alias("n_directors"), F.size("cast").cast("long").alias("n_cast"))
 
 
 @query("director_counts_loose", "V14 V15 F10 F13 A5 P9", """
 SELECT d.name AS director, count(*) AS num_movies FROM movies_dedup m JOIN dir_loose d USING (tmdb_id)
 GROUP BY d.name""")
 def q_dir_loose(c, t):
-    return people.films_per_person(_people(c, "loose"), "directors_arr", "director")
+    return people.person_report(_films(c), _people(c, "loose"), "director", count_as="num_movies")
 
 
 @query("director_counts_strict", "V14 V15 F10 F20 A5", """
 SELECT d.name AS director, count(*) AS num_movies FROM movies_dedup m JOIN dir_strict d USING (tmdb_id)
 GROUP BY d.name""")
 def q_dir_strict(c, t):
-    return people.films_per_person(_people(c), "directors_arr", "director")
+    return people.person_report(_films(c), _people(c), "director", count_as="num_movies")
 
 
 @query("director_revenue", "V16 A6 P13", f"""
@@ -542,7 +556,9 @@ SELECT d.name AS director, count(*) AS num_movies, round(avg(m.revenue), 6) AS a
 FROM movies_dedup m JOIN dir_strict d USING (tmdb_id) WHERE m.revenue > 0
 GROUP BY d.name HAVING count(*) >= {MIN_PERSON_FILMS}""")
 def q_dir_revenue(c, t):
-    return people.director_revenue(_people(c), MIN_PERSON_FILMS)
+    return people.person_report(_films(c).where("revenue > 0"), _people(c), "director",
+                                {"avg_revenue": F.avg("revenue"), "avg_rating": F.avg("vote_average")}, MIN_PERSON_FILMS,
+                                "num_movies")
 
 
 @query("director_rating", "V16 A6 P13", f"""
@@ -550,21 +566,30 @@ SELECT d.name AS director, count(*) AS num_movies, round(avg(m.vote_average), 6)
 FROM movies_dedup m JOIN dir_strict d USING (tmdb_id) WHERE m.vote_average > 0
 GROUP BY d.name HAVING count(*) >= {MIN_PERSON_FILMS}""")
 def q_dir_rating(c, t):
-    return people.director_rating(_people(c), MIN_PERSON_FILMS)
+    return people.person_report(_films(c).where("vote_average > 0"), _people(c), "director",
+                                {"avg_rating": F.avg("vote_average")}, MIN_PERSON_FILMS, "num_movies")
 
 
 @query("actor_counts", "V17 F11 F13 A5", """
 SELECT a.name AS actor, count(*) AS num_movies FROM movies_dedup m JOIN main_cast a USING (tmdb_id)
 GROUP BY a.name""")
 def q_actor_counts(c, t):
-    return people.films_per_person(_people(c), "main_cast", "actor")
+    return people.person_report(_films(c), _people(c), "actor", count_as="num_movies")
 
 
 @query("actor_success", "V17 P6 F11", f"""
 SELECT a.name AS actor, count(*) AS num_success FROM movies_dedup m JOIN main_cast a USING (tmdb_id)
 WHERE m.revenue > {SUCCESS_REVENUE} OR m.vote_average > {SUCCESS_RATING} GROUP BY a.name""")
 def q_actor_success(c, t):
-    return people.actor_success(_people(c), SUCCESS_REVENUE, SUCCESS_RATING)
+    return people.person_report(
+        _films(c).where((F.col("revenue") > SUCCESS_REVENUE) | (F.col("vote_average") > SUCCESS_RATING)),
+        _people(c), "actor", count_as="num_success")
+
+
+def _roi_report(c, role):
+    films = finance.with_roi(_final(c)).select("tmdb_id", "roi").where(F.col("roi").isNotNull())
+    return people.person_report(films, _people(c), role, {"avg_roi": F.avg("roi"), "med_roi": middle("roi")},
+                                MIN_PERSON_FILMS, directed_only=True)
 
 
 @query("director_roi", "V28 F10 J4 F13 A10 P13", f"""
@@ -572,7 +597,7 @@ SELECT d.name AS director, count(*) AS n, round(avg(r.roi), 6) AS avg_roi, round
 FROM dir_strict d JOIN movie_roi r USING (tmdb_id) WHERE r.roi IS NOT NULL
 GROUP BY d.name HAVING count(*) >= {MIN_PERSON_FILMS}""")
 def q_dir_roi(c, t):
-    return people.person_roi(_credits(c), finance.movie_roi(_final(c)), "director", MIN_PERSON_FILMS)
+    return _roi_report(c, "director")
 
 
 @query("actor_roi", "V28 F11 J4 F13 A10 P13", f"""
@@ -581,7 +606,7 @@ FROM main_cast a JOIN movie_roi r USING (tmdb_id)
 WHERE r.roi IS NOT NULL AND a.tmdb_id IN (SELECT tmdb_id FROM dir_strict)
 GROUP BY a.name HAVING count(*) >= {MIN_PERSON_FILMS}""")
 def q_actor_roi(c, t):
-    return people.person_roi(_credits(c), finance.movie_roi(_final(c)), "actor", MIN_PERSON_FILMS)
+    return _roi_report(c, "actor")
 
 
 # ---------------------------------------------------------------- recommendations

@@ -49,26 +49,35 @@ def parse_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """value text -> event fields + ``_valid``.
 
     ``user_id`` falls back to ``userId``, the time text to ``date``. An event
-    is valid when it is JSON and has a user and a movie."""
+    is valid when it is JSON, has a user and a movie, and its time, if it has
+    one, can be read: an unreadable time goes to the rejects, where it is seen,
+    and not into the sink, where later steps could only drop it."""
     p = F.from_json(F.col(value_col).cast("string"), EVENT_SCHEMA)
     parsed = raw.select(F.col(value_col).cast("string").alias("value"), p.alias("e"))
     e = F.col("e")
     user = F.coalesce(e["user_id"], e["userId"])
-    valid = e.isNotNull() & user.isNotNull() & e["movieId"].isNotNull()
+    when = F.coalesce(e["timestamp"], e["date"])
+    valid = (e.isNotNull() & user.isNotNull() & e["movieId"].isNotNull()
+             & (when.isNull() | event_time(when).isNotNull()))
     return parsed.select(
         "value",
         e["event_id"].alias("event_id"),
         user.alias("user_id"),
         e["movieId"].alias("movie_id"),
         e["rating"].alias("rating"),
-        F.coalesce(e["timestamp"], e["date"]).alias("ts_text"),
+        when.alias("ts_text"),
         F.coalesce(valid, F.lit(False)).alias("_valid"))
 
 
+# ISO forms of an event time: with and without seconds, zone and fraction
+_ISO = r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:?\d\d)?)?$"
+
+
 def event_time(ts_text: Column) -> Column:
-    """Event time from ISO text or a bare date (NULL when neither parses)."""
-    return F.coalesce(F.try_to_timestamp(ts_text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
-                      F.try_to_timestamp(ts_text, F.lit("yyyy-MM-dd")))
+    """Event time from ISO text, with or without a fraction of a second, or a
+    bare date (midnight); NULL for anything else. Text without a zone is UTC,
+    the session's zone."""
+    return F.when(ts_text.rlike(_ISO), ts_text.try_cast("timestamp"))
 
 
 def start_ingest(raw: DataFrame, sink: str, rejects: str, checkpoint: str, available_now: bool = True,

@@ -47,9 +47,10 @@ def test_director_rules_and_main_cast(spark):
     df = spark.createDataFrame([(1, cast, crew)], spark.createDataFrame(
         [], f"tmdb_id int, cast_parsed {S.CAST_LIST.simpleString()}, crew_parsed {S.CREW_LIST.simpleString()}"
     ).schema)
-    loose = people.directors(df, "loose").collect()[0].directors_arr
-    strict = people.directors(df, "strict").collect()[0].directors_arr
-    mc = people.main_cast(df).collect()[0].main_cast
+    # two credits rows of one film count once
+    loose = people.film_people(df.union(df), "loose").collect()[0].directors
+    strict, = people.film_people(df.union(df), "strict").collect()
+    mc, strict = strict["cast"], strict.directors
     assert loose == ["Ann", "Bob", "Cy", "Di", "Ed"]
     assert strict == ["Ann", "Ed"]
     assert mc == ["A0", "A1", "A4"]
@@ -344,3 +345,34 @@ def test_cluster_session_without_shared_checkpoint_folder_fails():
     shared = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: "hdfs://nn/ckpt"),
                              sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: "hdfs://nn/ckpt"))
     assert ensure_checkpoint_dir(shared) == "hdfs://nn/ckpt"
+
+
+def test_exact_quantiles_at_any_size(spark):
+    """Far more distinct values than the sketch holds: still the exact rank."""
+    from cinestat.operators.quantile import exact_quantiles
+    from cinestat.operators.clean import trim_outliers
+    n = 2_000_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("a"),
+                               F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id")).cast("double").alias("b"))
+    got = {(r.column_name, r.p): r.value for r in exact_quantiles(df, ["a", "b"], [0.0, 0.25, 0.99, 1.0], accuracy=2000).collect()}
+    a = np.sort((np.arange(n) * 7919) % n)
+    b = np.sort(np.where(np.arange(n) % 3 == 0, 5, np.arange(n)))
+    for name, v in (("a", a), ("b", b)):
+        for p in (0.0, 0.25, 0.99, 1.0):
+            assert got[name, p] == v[max(int(n - np.floor(n - p * n)) - 1, 0)]
+    kept = trim_outliers(df.select(F.col("a").alias("budget"), F.lit(1.0).alias("revenue"))).count()
+    assert kept == (a <= got["a", 0.99]).sum()
+    none = exact_quantiles(df.where("false"), ["a"], [0.5])
+    assert none.count() == 0
+
+
+def test_event_times_in_all_iso_forms(spark):
+    from cinestat.streaming.ingest import event_time, parse_events
+    texts = ["2026-01-01T10:00:00.123456", "2026-01-01T10:00:00", "2026-01-01 10:00:00.5", "2026-01-01T10:00:00Z", "2026-01-01",
+             "yesterday", "2026", "10:00", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.x for r in df.select(event_time(F.col("t")).isNotNull().alias("x")).collect()]
+    assert got == [True] * 5 + [False] * 4
+    ev = spark.createDataFrame([('{"user_id": 1, "movieId": 2, "rating": 3.0, "timestamp": "%s"}' % t,) for t in ("2026-01-01T10:00:00", "soon")],
+                               "value string")
+    assert [r._valid for r in parse_events(ev).collect()] == [True, False]

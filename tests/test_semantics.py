@@ -50,12 +50,12 @@ def test_d7_ansi_stays_on_and_bad_text_becomes_null(spark):
 def test_d12_explode_drops_empty_and_counts_repeats(spark):
     """Films without directors vanish; a person credited twice on one film
     counts twice unless names are made distinct first."""
-    pt = spark.createDataFrame([(1, ["x", "x"]), (2, ["x", "y"]), (3, []), (4, None)],
-                               "tmdb_id int, directors_arr array<string>")
-    got = {r.director: r.num_movies for r in people.films_per_person(pt).collect()}
-    assert got == {"x": 3, "y": 1}
-    distinct = people._explode(pt, "directors_arr", "director", distinct=True)
-    assert distinct.filter("director = 'x'").count() == 2
+    pt = spark.createDataFrame([(1, ["x", "x"], ["a"]), (2, ["x", "y"], []), (3, [], ["a"]), (4, None, None)],
+                               "tmdb_id int, directors array<string>, cast array<string>")
+    films = pt.select("tmdb_id")
+    assert {r.director: r.n for r in people.person_report(films, pt, "director").collect()} == {"x": 3, "y": 1}
+    assert {r.actor: r.n for r in people.person_report(films, pt, "actor").collect()} == {"a": 2}
+    assert {r.actor: r.n for r in people.person_report(films, pt, "actor", directed_only=True).collect()} == {"a": 1}
 
 
 def test_d13_exact_median_interpolates_approx_does_not(spark):
