@@ -16,8 +16,12 @@ def _c(col) -> Column:
 
 
 def try_number(col, to: str = "double") -> Column:
-    """Cast text to a number; NULL when the text is not a number (F1)."""
-    return F.trim(_c(col)).try_cast(to)
+    """Cast text to a number; NULL when the text is not a number (F1). Integer
+    targets drop the fraction of decimal text ('123.0' is 123)."""
+    text = F.trim(_c(col))
+    if to in ("int", "long", "bigint"):
+        return F.coalesce(text.try_cast(to), F.when(text.rlike(r"^[+-]?[0-9]+\.[0-9]*$"), F.split_part(text, F.lit("."), F.lit(1)).try_cast(to)))
+    return text.try_cast(to)
 
 
 def parse_grouped_int(col) -> Column:
@@ -74,7 +78,7 @@ def score_text(col) -> Column:
 def after_label(col, label: str) -> Column:
     """Text after a fixed label, e.g. 'Genre: Drama' -> 'Drama' (F23); NULL if absent."""
     c = _c(col)
-    return F.when(F.startswith(c, F.lit(label)), F.substring(c, len(label) + 1, 1 << 30))
+    return F.when(F.startswith(c, F.lit(label)), c.substr(F.lit(len(label) + 1), F.length(c)))
 
 
 def rescale(col, factor: float) -> Column:

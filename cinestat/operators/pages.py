@@ -98,6 +98,7 @@ def prefix_cutoff(df: DataFrame, key: str, order_cols: list[str], missing: Colum
     miss = df.filter(missing).select(key, *order_cols)
     firsts = top_k_per_group(miss, [key], [F.asc(c) for c in order_cols], limit + 1, rank_col="_r")
     cut = (firsts.filter(F.col("_r") == limit + 1)
-           .select(key, F.struct(*order_cols).alias("_cut")))
-    j = df.join(cut, key, "left")
+           .select(F.col(key).alias("_key"), F.struct(*order_cols).alias("_cut")))
+    # null-safe: the rows without a key are one key's rows
+    j = df.join(cut, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     return j.filter(F.col("_cut").isNull() | (F.struct(*order_cols) <= F.col("_cut"))).drop("_cut")

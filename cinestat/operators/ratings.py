@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinestat.operators.recommend import key_digit
+
 from cinestat.operators.topk import latest_per_key, top_k
 
 
@@ -116,3 +118,9 @@ def ratings_by_year(enriched: DataFrame) -> DataFrame:
 def sample_ratings(ratings: DataFrame, fraction: float, seed: int | None = 42) -> DataFrame:
     """Bernoulli sample without replacement (D4s); per-partition, no shuffle."""
     return ratings.sample(withReplacement=False, fraction=fraction, seed=seed)
+
+
+def hash_sample(rows: DataFrame, keys: list[str], per_mille: int, seed: int = 42) -> DataFrame:
+    """The rows whose keys hash into the first ``per_mille`` of 1000 buckets
+    (D4s): the same rows at every partitioning, no shuffle."""
+    return rows.where(key_digit(keys, seed, 1000) < per_mille)

@@ -4,7 +4,7 @@ V29-V31, D3s, D17, D22)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinestat.operators.topk import latest_per_key, top_k_per_group
@@ -92,13 +92,19 @@ def training_set(history: DataFrame, ingested: DataFrame | None = None) -> DataF
                           F.col("_b.ts").alias("ts"), "n_obs")
 
 
+def key_digit(keys: list[str], seed: int, buckets: int) -> Column:
+    """A bucket from the first 32 bits of md5('key|key|...|seed'): it depends on
+    the keys alone, and any engine with md5 gives the same one."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % buckets
+
+
 def hash_split(ratings: DataFrame, train_pct: int = 80, seed: int = 42) -> DataFrame:
     """Adds ``is_train`` from a hash of (user, movie, seed) (D3s).
 
     Unlike ``randomSplit`` the assignment depends only on the row's key, so
     it is stable under repartitioning, retries and lost executors."""
-    h = F.pmod(F.xxhash64("user_id", "movie_id", F.lit(seed)), F.lit(100))
-    return ratings.withColumn("is_train", h < train_pct)
+    return ratings.withColumn("is_train", key_digit(["user_id", "movie_id"], seed, 100) < train_pct)
 
 
 def random_split(ratings: DataFrame, weights=(0.8, 0.2), seed: int = 42):
@@ -160,8 +166,14 @@ class IndexedALS:
 
     def recommend_all(self, k: int = 10) -> DataFrame:
         """user_id, movie_id, score for the top k items of every user."""
-        recs = self.model.recommendForAllUsers(k).select(
-            "u_idx", F.explode("recommendations").alias("r"))
+        return self._named(self.model.recommendForAllUsers(k))
+
+    def recommend_for(self, users: DataFrame, k: int = 10) -> DataFrame:
+        """The same for the given users (user_id) that the model knows."""
+        return self._named(self.model.recommendForUserSubset(self.users.join(users.select("user_id").distinct(), "user_id"), k))
+
+    def _named(self, lists: DataFrame) -> DataFrame:
+        recs = lists.select("u_idx", F.explode("recommendations").alias("r"))
         return (recs.select("u_idx", F.col("r.i_idx").alias("i_idx"), F.col("r.rating").alias("score"))
                 .join(self.users, "u_idx").join(self.items, "i_idx")
                 .select("user_id", "movie_id", "score"))
@@ -184,7 +196,9 @@ def fit_als_indexed(train: DataFrame, seed: int = 42, **overrides) -> IndexedALS
 
 
 def holdout_rmse_indexed(model: IndexedALS, test: DataFrame) -> DataFrame:
-    """n_scored, rmse for an indexed model (M2, M3)."""
+    """n_scored, rmse, and the rmse of always predicting the hold-out's own
+    mean, for an indexed model (M2, M3)."""
     pred = model.transform(test).filter(~F.isnan("prediction"))
     return pred.agg(F.count(F.lit(1)).alias("n_scored"),
-                    F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2))).alias("rmse"))
+                    F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2))).alias("rmse"),
+                    F.stddev_pop("rating").alias("rmse_of_mean"))

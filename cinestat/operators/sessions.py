@@ -16,7 +16,7 @@ by the user's event count), and the events join back to their bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,7 +80,7 @@ def active_seen(events: DataFrame, as_of, user: str = "user_id", item: str = "mo
     """(user, item) pairs whose set is still alive at ``as_of`` -- what the
     serving layer excludes."""
     gap = gap_seconds * 1_000_000
-    as_of_us = F.unix_micros(F.lit(as_of).cast("timestamp")) if not hasattr(as_of, "_jc") else F.unix_micros(as_of)
+    as_of_us = F.unix_micros(as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp"))
     sessions, _ = sessionize(events, user, ts, gap_seconds)
     live = sessions.filter((F.col("last_us") + gap > as_of_us) & (F.col("start_us") <= as_of_us))
     items = seen_items(events, user, item, ts, gap_seconds)

@@ -669,36 +669,58 @@ def q_training(c, t):
     return recommend.training_set(h, e).withColumn("ts", _fmt("ts"))
 
 
-@query("hash_split", "D3s")
+_DIGIT_SQL = "CAST('0x' || substr(md5(concat_ws('|', {keys}, '42')), 1, 8) AS BIGINT)"
+_SPLIT_SQL = _DIGIT_SQL.format(keys="user_id, movie_id") + " % 100 < 80"
+_PAIRS_SQL = """SELECT DISTINCT user_id, movie_id FROM (
+  SELECT user_id, movie_id FROM ratings UNION ALL SELECT user_id, movie_id FROM rating_events)"""
+
+
+@query("hash_split", "D3s", f"SELECT user_id, movie_id, rating, {_SPLIT_SQL} AS is_train FROM ratings")
 def q_hash_split(c, t):
-    """Ratings with a stable train / test flag (oracle lacks xxhash64: rows only)."""
     return recommend.hash_split(c.ratings().select("user_id", "movie_id", "rating"))
 
 
-@query("sampled_ratings", "D4s")
+@query("sampled_ratings", "D4s", f"""
+SELECT user_id, movie_id, rating FROM ratings
+WHERE {_DIGIT_SQL.format(keys="user_id, movie_id, order_key, line_no")} % 1000 < 10""")
 def q_sampled(c, t):
-    return ratings.sample_ratings(c.ratings().select("user_id", "movie_id", "rating"), 0.01, 42)
+    rows = ratings.hash_sample(c.ratings(), ["user_id", "movie_id", "order_key", "line_no"], 10)
+    return rows.select("user_id", "movie_id", "rating")
 
 
-def _als_split(c):
+def _observations(c):
+    """One rating per pair from the history and the events."""
     h = c.ratings().select("user_id", "movie_id", "rating", "ts",
                            (F.col("order_key") * 8 + F.col("line_no")).alias("seq"))
-    return recommend.hash_split(recommend.training_set(h))
+    e = c.rating_events().select("user_id", "movie_id", "rating", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                                 F.col("event_id").alias("seq"))
+    return c.stored("als_observations", lambda: recommend.training_set(h, e))
 
 
-@query("als_rmse", "M1 M2 M3 A17")
+@query("als_rmse", "M1 M2 M3 A17", f"""
+WITH p AS (SELECT *, {_SPLIT_SQL} AS is_train FROM ({_PAIRS_SQL}))
+SELECT count(*) AS n_scored, TRUE AS plausible FROM p WHERE NOT is_train
+  AND user_id IN (SELECT user_id FROM p WHERE is_train) AND movie_id IN (SELECT movie_id FROM p WHERE is_train)""")
 def q_als_rmse(c, t):
-    """Fit ALS (reference settings) on the hash-split train part; RMSE on the rest."""
-    data = _als_split(c)
+    """Fit ALS (reference settings) on the hash-split train part; the hold-out
+    pairs of known users and items are scored. ``plausible``: the error is
+    positive and below twice that of predicting the mean."""
+    data = recommend.hash_split(_observations(c))
     model = recommend.fit_als_indexed(data.filter("is_train"))
-    return recommend.holdout_rmse_indexed(model, data.filter(~F.col("is_train")))
+    got = recommend.holdout_rmse_indexed(model, data.filter(~F.col("is_train")))
+    return got.select("n_scored", ((F.col("rmse") > 0) & (F.col("rmse") < 2 * F.col("rmse_of_mean"))).alias("plausible"))
 
 
-@query("als_topk", "M1 M4 M5")
+@query("als_topk", "M1 M4 M5", f"""
+SELECT user_id, least({TOP_K}, (SELECT count(DISTINCT movie_id) FROM ({_PAIRS_SQL}))) AS n_items, TRUE AS all_distinct
+FROM (SELECT DISTINCT user_id FROM rating_events WHERE user_id IS NOT NULL)""")
 def q_als_topk(c, t):
-    data = _als_split(c)
-    model = recommend.fit_als_indexed(data.filter("is_train"))
-    return model.recommend_all(TOP_K)
+    """Top-k lists for the active users, those with an event; the model is
+    fitted on all observations."""
+    model = recommend.fit_als_indexed(_observations(c))
+    lists = model.recommend_for(c.rating_events().select("user_id"), TOP_K)
+    return lists.groupBy("user_id").agg(F.count_distinct("movie_id").alias("n_items"),
+                                        (F.count(F.lit(1)) == F.count_distinct("movie_id")).alias("all_distinct"))
 
 
 # ---------------------------------------------------------------- events / streaming
@@ -716,6 +738,40 @@ def q_seen_sets(c, t):
     return s.select("user_id", _fmt("session_start"), _fmt("session_end"), "n_events", "n_items", "items_sum")
 
 
+_SESSION_SQL = """SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sno FROM (
+  SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 1 DAY THEN 1 ELSE 0 END AS nw
+  FROM rating_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+
+@query("seen_items", "T3 A18 D14", f"""
+SELECT DISTINCT user_id, strftime(min(ts) OVER (PARTITION BY user_id, sno), '{TS_FMT_SQL}') AS session_start, movie_id
+FROM ({_SESSION_SQL})""")
+def q_seen_items(c, t):
+    """The seen sets themselves: one row per set and item."""
+    return sessions.seen_items(c.rating_events(), gap_seconds=SEEN_GAP_SECONDS).select(
+        "user_id", _fmt("session_start"), "movie_id")
+
+
+@query("unseen_topk_live", "V29 T3 J8 W2 D15 D16", f"""
+WITH s AS ({_SESSION_SQL}),
+     live AS (SELECT user_id, sno FROM s GROUP BY user_id, sno
+              HAVING max(ts) + INTERVAL 1 DAY > (SELECT max(ts) FROM rating_events)),
+     seen AS (SELECT DISTINCT user_id, movie_id FROM s JOIN live USING (user_id, sno)),
+     cand AS (SELECT r.*, EXISTS (SELECT 1 FROM seen e WHERE e.user_id = r.user_id AND e.movie_id = r.movie_id) AS hit FROM recs r),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, hit ORDER BY score DESC, movie_id) AS rk FROM cand)
+SELECT user_id, coalesce(string_agg(CAST(movie_id AS VARCHAR), ',' ORDER BY rk) FILTER (WHERE NOT hit AND rk <= {UNSEEN_K}), '') AS recommendations,
+       count(*) AS n_candidates, count(*) FILTER (WHERE hit) AS n_seen,
+       count(*) - count(*) FILTER (WHERE NOT hit AND rk <= {UNSEEN_K}) AS filtered_count
+FROM ranked GROUP BY user_id""")
+def q_unseen_live(c, t):
+    """What the service returns: only the set that is alive at the time of the
+    last event is masked."""
+    ev = c.rating_events()
+    now = ev.agg(F.max("ts").alias("now")).scalar()
+    live = sessions.active_seen(ev, now, gap_seconds=SEEN_GAP_SECONDS)
+    return recommend.unseen_top_k(c.recommendations(), live, None, UNSEEN_K)
+
+
 @query("latest_event", "T4 A19", f"""
 SELECT event_id, user_id, movie_id, rating, strftime(ts, '{TS_FMT_SQL}') AS ts FROM rating_events
 ORDER BY ts DESC, event_id DESC LIMIT 1""")

@@ -376,3 +376,17 @@ def test_event_times_in_all_iso_forms(spark):
     ev = spark.createDataFrame([('{"user_id": 1, "movieId": 2, "rating": 3.0, "timestamp": "%s"}' % t,) for t in ("2026-01-01T10:00:00", "soon")],
                                "value string")
     assert [r._valid for r in parse_events(ev).collect()] == [True, False]
+
+
+def test_prefix_cutoff_treats_rows_without_a_key_as_one_key(spark):
+    df = spark.createDataFrame([(k, i, i % 2 == 0) for k in ("a", None) for i in range(6)], "k string, i int, miss boolean")
+    got = pages.prefix_cutoff(df, "k", ["i"], F.col("miss"), 1)
+    assert sorted((r.k or "", r.i) for r in got.collect()) == [("", 0), ("", 1), ("", 2), ("a", 0), ("a", 1), ("a", 2)]
+
+
+def test_integer_text_with_a_fraction_and_labels(spark):
+    from cinestat.functions.casts import after_label, try_number
+    df = spark.createDataFrame([("123.0",), ("-7.9",), ("12",), ("1.x",), ("99999999999",)], "v string")
+    assert [r.x for r in df.select(try_number("v", "int").alias("x")).collect()] == [123, -7, 12, None, None]
+    one = spark.createDataFrame([("Genre: Drama",), ("Drama",)], "v string")
+    assert [r.x for r in one.select(after_label("v", "Genre: ").alias("x")).collect()] == ["Drama", None]
