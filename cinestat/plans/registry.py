@@ -844,14 +844,15 @@ FROM (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNB
 GROUP BY user_id, sno"""
 
 
-def _seen_stream_input(c: Canonical):
-    """The ingested events as a stream, next to a control stream holding the
-    end-of-stream marker (the event log is finished, so every set closes)."""
-    from cinestat.streaming.seen import ingested_stream, write_end_marker
+def _replayed(c: Canonical, name: str, closed_sets) -> DataFrame:
+    """The ingested events replayed as a stream, every set closed at the end
+    (the event log is finished)."""
+    from cinestat.streaming.seen import ingested_stream, replay
     spark, base, _ = _run_stream(c)
-    write_end_marker(spark, f"{base}/control")
-    events = ingested_stream(spark, f"{base}/sink").unionByName(ingested_stream(spark, f"{base}/control"))
-    return spark, base, events
+    out = f"{base}/{name}"
+    replay(spark, closed_sets, lambda: ingested_stream(spark, f"{base}/sink"), f"{base}/control-{name}", out,
+           f"{base}/checkpoint/{name}")
+    return _seen_out(spark.read.parquet(out))
 
 
 def _seen_out(df: DataFrame) -> DataFrame:
@@ -863,22 +864,16 @@ def _seen_out(df: DataFrame) -> DataFrame:
 def q_stream_seen(c, t):
     """Seen-set sessions from a streaming session_window with a watermark over
     the ingested events; the end-of-stream marker closes every session."""
-    from cinestat.streaming.seen import run_to_table, seen_session_stream
-    spark, base, events = _seen_stream_input(c)
-    out = f"{base}/seen"
-    run_to_table(seen_session_stream(events), out, f"{base}/checkpoint/seen")
-    return _seen_out(spark.read.parquet(out))
+    from cinestat.streaming.seen import seen_session_stream
+    return _replayed(c, "seen", seen_session_stream)
 
 
 @query("stream_seen_state", "T3 D14 A18", _STREAM_SEEN_SQL)
 def q_stream_seen_state(c, t):
     """Seen sets kept as per-user streaming state with event-time expiry
     (applyInPandasWithState), over the same stream and marker."""
-    from cinestat.streaming.seen import run_to_table, seen_set_state_stream
-    spark, base, events = _seen_stream_input(c)
-    out = f"{base}/seen_state"
-    run_to_table(seen_set_state_stream(events), out, f"{base}/checkpoint/state")
-    return _seen_out(spark.read.parquet(out))
+    from cinestat.streaming.seen import seen_set_state_stream
+    return _replayed(c, "seen_state", seen_set_state_stream)
 
 
 @query("stream_latest", "T4 A19 S6", f"""

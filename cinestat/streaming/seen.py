@@ -13,21 +13,43 @@ from pyspark.sql import functions as F
 from cinestat.streaming.ingest import INGESTED, event_time
 
 
-def ingested_stream(spark, sink: str) -> DataFrame:
-    """The ingest sink read back as a stream with event time."""
-    return (spark.readStream.schema(INGESTED).parquet(sink)
+def ingested_stream(spark, sink: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The ingest sink read back as a stream with event time. With a bound on
+    the files of a batch, files must come in time order, or the watermark must
+    be as wide as their disorder: what lies behind it is late and left out."""
+    reader = spark.readStream.schema(INGESTED)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return (reader.parquet(sink)
             .withColumn("ts", event_time(F.col("ts_text"))))
 
 
 END_OF_STREAM = "2200-01-01"
 
 
+def open_control(spark, path: str) -> None:
+    """An empty control folder, so that a stream over it can start."""
+    spark.createDataFrame([], INGESTED).write.mode("overwrite").parquet(path)
+
+
 def write_end_marker(spark, path: str, when: str = END_OF_STREAM) -> None:
-    """Write an end-of-stream marker (no user, far-future time) to a control
-    folder. Streamed next to the events, it moves the watermark past every
-    real session, so a replay of a finished event log closes and emits all
-    of them; the marker itself is never emitted."""
-    spark.createDataFrame([(None, None, None, None, when)], INGESTED).write.mode("overwrite").parquet(path)
+    """Add an end-of-stream marker (no user, far-future time) to a control
+    folder. Streamed next to the events once these have been drained, it moves
+    the watermark past every real session, so a replay of a finished event log
+    closes and emits all of them; the marker itself is never emitted."""
+    spark.createDataFrame([(None, None, None, None, when)], INGESTED).write.mode("append").parquet(path)
+
+
+def replay(spark, closed_sets, events, control: str, out: str, checkpoint: str) -> None:
+    """Drain ``events()`` into ``out`` in as many batches as it takes, and only
+    then let the marker through: a marker in an early batch would make every
+    later event late. ``closed_sets`` maps a stream to its closed sets."""
+    open_control(spark, control)
+    for last in (False, True):
+        if last:
+            write_end_marker(spark, control)
+        both = events().unionByName(ingested_stream(spark, control))
+        run_to_table(closed_sets(both), out, checkpoint)
 
 
 def seen_session_stream(events: DataFrame, gap: str = "1 day", watermark: str = "1 day") -> DataFrame:
@@ -98,6 +120,7 @@ def seen_set_state_stream(events: DataFrame, gap_seconds: int = 86400, watermark
         items of this micro-batch, not with the user's event count."""
         buckets: dict = {}
         for pdf in batches:
+            pdf = pdf[pdf["ts"].notna()]  # an event without a time belongs to no set
             if pdf.empty:
                 continue
             us = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64")
@@ -141,7 +164,8 @@ def seen_set_state_stream(events: DataFrame, gap_seconds: int = 86400, watermark
                 items |= its
             if last is not None:
                 state.update((start, last, n, sorted(items)))
-                state.setTimeoutTimestamp((last + gap_us) // 1000)
+                # a set that the watermark has passed already closes at the next chance
+                state.setTimeoutTimestamp(max((last + gap_us) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "session_start", "session_end", "n_events", "n_items",
                                          "items_sum"])
 

@@ -346,3 +346,26 @@ def test_hash_split_query_matches_brute_force(spark):
     rows = Canonical(spark, SF_SMALL).ratings().select("user_id", "movie_id").collect()
     want = Counter((r.user_id, r.movie_id, train(r.user_id, r.movie_id)) for r in rows)
     assert got == want and 0.7 < sum(v for k, v in want.items() if k[2]) / len(rows) < 0.9
+
+
+@pytest.mark.parametrize("form", ["session", "state"])
+def test_replay_in_single_file_batches_equals_the_batch_form(spark, tmp_path, form):
+    """Many time-ordered batches, times without a fraction, and no time at all."""
+    import datetime as dt
+    import time
+    from cinestat.streaming.ingest import INGESTED
+    from cinestat.streaming.seen import ingested_stream, replay, seen_session_stream, seen_set_state_stream
+    start, sink = dt.datetime(2026, 1, 1), str(tmp_path / "sink")
+    made = [(i, i % 3, i % 7, 3.0, (start + dt.timedelta(hours=9 * i)).isoformat()) for i in range(24)]
+    made += [(100 + i, 1, 5, 3.0, (start + dt.timedelta(hours=300 + 30 * i)).isoformat()) for i in range(4)]
+    for at in range(0, len(made), 7):
+        spark.createDataFrame(made[at:at + 7], INGESTED).coalesce(1).write.mode("append").parquet(sink)
+        time.sleep(1.1)  # files are taken in the order of their times
+    spark.createDataFrame([(900, 2, 5, 3.0, None)], INGESTED).coalesce(1).write.mode("append").parquet(sink)
+    out = str(tmp_path / "out")
+    replay(spark, seen_session_stream if form == "session" else seen_set_state_stream,
+           lambda: ingested_stream(spark, sink, 1), str(tmp_path / "control"), out, str(tmp_path / "ckpt"))
+    keys = ["user_id", "session_start", "session_end", "n_events", "n_items", "items_sum"]
+    got = sorted(tuple(r[k] for k in keys) for r in spark.read.parquet(out).collect())
+    ev = spark.read.parquet(sink).withColumn("ts", ingest.event_time(F.col("ts_text")))
+    assert got == sorted(tuple(r[k] for k in keys) for r in sessions.seen_sessions(ev).collect())
