@@ -40,7 +40,7 @@ POOL_SHRINKAGE = 0.5
 DIAGONAL_SHRINKAGE = 0.1
 RIDGE = 1e-3
 # of the link's slope, per training row: keeps it finite when the classes are separable
-LINK_PENALTY = 1e-3
+LINK_PENALTY = 1e-5
 SYMBOLS = "#*$%&|<>{}[]=+~^\\_@/"
 STATS = ("log_words", "word_length", "word_length_dev", "log_distinct", "distinct_share", "top_word_share", "again_share",
          "window_repeat_share", "upper_share", "shout_share", "symbol_share", "bang_share", "digit_share", "punct_share",
@@ -178,7 +178,7 @@ def _added(rows: DataFrame, fn) -> dict[int, np.ndarray]:
 
 
 def fit(rows: DataFrame, pool: float = POOL_SHRINKAGE, diagonal: float = DIAGONAL_SHRINKAGE,
-        steps: int = 4) -> Discriminant | float:
+        steps: int = 6) -> Discriminant | float:
     """The model of all training rows (label, x); a share of label 1 if a
     class is missing."""
     dim = len(STATS)
