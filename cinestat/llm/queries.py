@@ -111,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD, _SPACES = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]+"
 
 SQL: dict[str, str] = {
     "op8_exact_dedup": f"""
@@ -118,4 +119,39 @@ WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UP}', '{_LOW}'
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    # words do not span lines, so what is left is what the removed lines do not hold
+    "op9_quality_rules": f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text IS NULL AS no_text,
+         coalesce(text, '') AS t, md5(text) AS doc, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws
+  FROM documents),
+w AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS pos FROM d),
+w3 AS (SELECT rid, pos, a, lead(a, 1) OVER r AS b, lead(a, 2) OVER r AS c FROM w WINDOW r AS (PARTITION BY rid ORDER BY pos)),
+again AS (SELECT rid, pos FROM w3 WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS p FROM again) GROUP BY rid),
+x AS (SELECT rid, host, doc_id, doc, unnest(string_split(t, chr(10))) AS line FROM d WHERE NOT no_text),
+l AS (SELECT rid, host, doc_id, doc, lower(trim(regexp_replace(line, '{_SPACES}', ' ', 'g'), ' ')) AS nl,
+             len(regexp_extract_all(line, '{_WORD}')) AS n FROM x),
+hosts AS (SELECT host, count(DISTINCT doc) AS host_docs FROM d WHERE NOT no_text GROUP BY host),
+common AS (
+  SELECT host, nl, min(id) AS first_id, count(*) AS n_docs FROM (
+    SELECT host, nl, doc, min(doc_id) AS id FROM l WHERE nl <> '' GROUP BY host, nl, doc)
+  JOIN hosts USING (host) GROUP BY host, nl, host_docs
+  HAVING count(*) > greatest({line_rules.MIN_DOCS}::DOUBLE, {line_rules.DOC_SHARE}::DOUBLE * host_docs)),
+gone AS (SELECT l.rid, sum(l.n) AS n FROM l JOIN common c ON c.host = l.host AND c.nl = l.nl
+         WHERE c.first_id IS DISTINCT FROM l.doc_id GROUP BY l.rid),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, length(t) - length(regexp_replace(t, '{_WORD}', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '{_WORD}')))
+           - len(list_distinct(list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '{_WORD}')))) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words, len(ws) - coalesce(gone.n, 0) AS left_words
+  FROM d LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid)),
+v AS (SELECT *, n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PCT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       left_words::BIGINT AS left_words,
+       NOT base_failed AND NOT (left_words < n_words AND (left_words < {line_rules.MIN_LEFT_WORDS}
+                                                          OR left_words < {line_rules.MIN_LEFT_SHARE}::DOUBLE * n_words)) AS kept
+FROM v""",
 }

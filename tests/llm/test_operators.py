@@ -145,6 +145,25 @@ def test_measures_equal_brute_force(spark, odd, empty):
     assert line_rules.judge(empty).count() == 0
 
 
+def test_sql_of_the_quality_rules_and_of_exact_groups_on_odd_rows(spark, odd, tmp_path):
+    import duckdb
+    from cinestat.llm import queries
+    rng = random.Random(9)
+    lines = ["Home  About", "HOME about ", "a b c d", " \t", "terms | of use", "x " * 60]
+    data = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6))) + f"\nown {i % 30}", None, rng.choice(["p", "q", None]), 1)
+            for i in range(90)]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").unionByName(
+        spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name, sql in queries.SQL.items():
+        got = rows(queries.QUERIES[name](spark, str(tmp_path)))
+        cur = con.execute(sql)
+        cols = [c[0] for c in cur.description]
+        assert Counter(tuple(r[c] for c in cols) for r in got) == Counter(cur.fetchall()), name
+
+
 def test_packed_and_exact_window_repeats_agree(spark):
     df = spark.createDataFrame([("a b c d a b c x a b c",), ("p q r s t",), ("z " * 9,)], "t string")
     w = line_rules.words_of(F.col("t"))
