@@ -49,7 +49,8 @@ def clean_credits(raw: DataFrame) -> DataFrame:
 
 
 def clean_keywords(raw: DataFrame) -> DataFrame:
-    return raw.select(F.col("id").cast("int").alias("tmdb_id"),
+    """keywords text -> tmdb_id, keywords_parsed (V7)."""
+    return raw.select(try_number("id", "int").alias("tmdb_id"),
                       pseudo_json.parse("keywords", S.ID_NAME_LIST).alias("keywords_parsed"))
 
 

@@ -14,14 +14,15 @@ from cinestat.operators.topk import top_k_per_group
 
 # Fixed patterns for the stored page layout.
 HOST_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)"
+SCHEME_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*:)//"
 SCHEME_HOST_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/:?#]+)"
 TITLE_RE = r"(?s)<title>(.*?)</title>"
 H1_RE = r"(?s)<h1>(.*?)</h1>"
 LANG_RE = r"<html lang=\"([^\"]*)\""
 AD_RE = r"(?s)<div class=\"ad\">(.*?)</div>"
 FOOTER_RE = r"(?s)<footer>(.*?)</footer>"
-HREF_RE = r"<a href=\"([^\"]*)\""
-LI_RE = r"(?s)<li>(.*?)</li>"
+HREF_RE = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']([^\"']*)[\"']"
+LI_RE = r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"
 TAG_RE = r"<[^>]*>"
 
 
@@ -55,11 +56,12 @@ def page_rejects(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id, pos, href, url: every link of every page in order (H1).
-    Relative links are resolved against the page's scheme and host."""
+    Links from the root are resolved against the page's scheme and host, links
+    that name a host alone (``//host/x``) against its scheme."""
     base = F.regexp_extract("url", SCHEME_HOST_RE, 1)
-    exploded = pages.select("page_id", base.alias("_base"),
+    exploded = pages.select("page_id", base.alias("_base"), F.regexp_extract("url", SCHEME_RE, 1).alias("_scheme"),
                             F.posexplode(F.regexp_extract_all("html", F.lit(HREF_RE), F.lit(1))).alias("pos", "href"))
-    absolute = F.when(F.col("href").startswith("/"), F.concat("_base", "href")).otherwise(F.col("href"))
+    absolute = F.when(F.col("href").startswith("//"), F.concat("_scheme", "href")).when(F.col("href").startswith("/"), F.concat("_base", "href")).otherwise(F.col("href"))
     return exploded.select("page_id", (F.col("pos") + 1).alias("pos"), "href", absolute.alias("url"))
 
 

@@ -113,12 +113,13 @@ def link_coverage(movie_ids: DataFrame, link_tmdb_ids: DataFrame, rating_movie_i
     check, total, matched, unmatched, pct_matched.
 
     ``movie_ids``/``link_tmdb_ids`` have one column ``k``; the others too.
-    Matching is a semi join (duplicate keys on the other side do not multiply rows).
+    The other side's keys are made distinct, so duplicates there do not multiply rows.
     """
     def one(name, left, right):
-        m = left.join(right, "k", "left_semi").agg(F.count(F.lit(1)).alias("c")).scalar()
-        return (left.agg(F.count(F.lit(1)).alias("total"))
-                .select(F.lit(name).alias("check_name"), "total", m.alias("matched"))
+        # one pass over the left side: a flag from the right side's distinct keys
+        flagged = left.select("k").join(right.select("k").distinct().withColumn("_hit", F.lit(1)), "k", "left")
+        return (flagged.agg(F.count(F.lit(1)).alias("total"), F.count("_hit").alias("matched"))
+                .select(F.lit(name).alias("check_name"), "total", "matched")
                 .withColumn("unmatched", F.col("total") - F.col("matched"))
                 .withColumn("pct_matched", F.round(F.try_divide(F.col("matched") * 100.0, F.col("total")), 4)))
 
@@ -147,20 +148,21 @@ def null_report(df: DataFrame) -> DataFrame:
     return df.agg(*[F.try_divide(F.count_if(F.col(f"`{c}`").isNull()) * 100.0, n).alias(c) for c in df.columns])
 
 
-def fixed_histogram(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame:
+def fixed_histogram(df: DataFrame, col: str, edges: Sequence[float], outside: bool = False) -> DataFrame:
     """bin, lo, hi, n over fixed edges (A14); value v falls in [e_i, e_i+1),
-    the last bin is closed. Values outside the edges are not counted."""
+    the last bin is closed. Values outside the edges are not counted, or with
+    ``outside`` in two open bins: -1 below (lo NULL), the next number above
+    (hi NULL)."""
     v = F.col(col)
-    b = None
+    b = F.when(v < edges[0], F.lit(-1)).when(v > edges[-1], F.lit(len(edges) - 1)) if outside else None
     for i in range(len(edges) - 1):
         lo, hi = edges[i], edges[i + 1]
         cond = (v >= lo) & ((v < hi) if i < len(edges) - 2 else (v <= hi))
         b = F.when(cond, F.lit(i)) if b is None else b.when(cond, F.lit(i))
-    lo_arr = F.array(*[F.lit(float(e)) for e in edges[:-1]])
-    hi_arr = F.array(*[F.lit(float(e)) for e in edges[1:]])
+    bounds = F.array(*[F.lit(float(e)) for e in edges])
     return (df.select(b.alias("bin")).filter(F.col("bin").isNotNull())
             .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-            .select("bin", lo_arr[F.col("bin")].alias("lo"), hi_arr[F.col("bin")].alias("hi"), "n"))
+            .select("bin", F.get(bounds, F.col("bin")).alias("lo"), F.get(bounds, F.col("bin") + 1).alias("hi"), "n"))
 
 
 def equal_width_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
@@ -207,11 +209,17 @@ def typed_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def value_histograms(df: DataFrame, bins: dict[str, int]) -> DataFrame:
     """column_name, bin, lo, hi, n for several columns (V10): rows with a
-    NULL in any of the columns are dropped first, as the distribution plots do."""
-    cols = list(bins)
-    clean = df.select(*cols).dropna()
-    parts = [equal_width_histogram(clean, c, b).select(F.lit(c).alias("column_name"), "*") for c, b in bins.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    NULL in any of the columns are dropped first, as the distribution plots do.
+
+    One aggregate finds all ranges, one counts (column, bin) of all columns."""
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in bins]).dropna()
+    ranges = x.agg(F.struct(*[F.struct(F.min(c).alias("mn"), F.max(c).alias("mx")).alias(c) for c in bins])).scalar()
+    rows = x.withColumn("_r", ranges).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v"), F.col("_r")[c]["mn"].alias("mn"),
+                 F.col("_r")[c]["mx"].alias("mx"), F.lit(n).alias("n_bins")) for c, n in bins.items()])))
+    width = F.col("mx") - F.col("mn")
+    at = F.when(width == 0, F.lit(0)).otherwise(F.floor((F.col("v") - F.col("mn")) * F.col("n_bins") / width))
+    counted = rows.groupBy("column_name", F.least(at, F.col("n_bins") - 1).cast("int").alias("bin")).agg(
+        F.min("mn").alias("mn"), F.min("mx").alias("mx"), F.min("n_bins").alias("n_bins"), F.count(F.lit(1)).alias("n"))
+    edge = lambda b: F.col("mn") + b * width / F.col("n_bins")
+    return counted.select("column_name", "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinestat.operators.recommend import key_digit
@@ -25,21 +25,27 @@ def stats_by_catalogue_id(ratings: DataFrame, links: DataFrame) -> DataFrame:
 
     Several rating ids can map to one catalogue id; combining per catalogue
     id gives the count-weighted mean instead of counting the film twice
-    downstream. Ratings are reduced per rating id first (count, sum, sum of
-    squares -- map-side partial aggregation, so a hot movie is one row per
-    task), and only those rows meet the links; the sums then combine exactly.
+    downstream. Ratings are reduced per rating id first (count, mean, variance --
+    map-side partial aggregation, so a hot movie is one row per task), and only
+    those rows meet the links. The squared deviations from the combined mean
+    add up without the cancellation that a sum of squares would suffer.
     """
     ln = links.filter(F.col("tmdbId").isNotNull()).select(F.col("movieId").alias("movie_id"),
                                                            F.col("tmdbId").alias("tmdb_id"))
     r = F.col("rating").cast("double")
     per_id = ratings.filter(r.isNotNull()).groupBy("movie_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(r).alias("_s"), F.sum(r * r).alias("_ss"))
-    n, s_, ss = F.sum("_n"), F.sum("_s"), F.sum("_ss")
-    var = F.try_divide(ss - s_ * s_ / n, n - 1)
-    return (per_id.join(ln, "movie_id").groupBy("tmdb_id")
-            .agg(n.alias("rating_count"), (s_ / n).alias("rating_mean"),
-                 # clamp rounding below zero; NULL (one rating) stays NULL
-                 F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var)).alias("rating_std")))
+        F.count(F.lit(1)).alias("_n"), F.avg(r).alias("_m"), F.var_pop(r).alias("_v"))
+    film = Window.partitionBy("tmdb_id")
+    rows = per_id.join(ln, "movie_id").withColumn("_n_all", F.sum("_n").over(film)).withColumn(
+        "_mean", F.sum(F.col("_n") * F.col("_m")).over(film) / F.col("_n_all"))
+    away = F.col("_m") - F.col("_mean")
+    # the aggregate keeps the window's partitioning: no further shuffle
+    return (rows.groupBy("tmdb_id")
+            .agg(F.max("_n_all").alias("rating_count"), F.max("_mean").alias("rating_mean"),
+                 F.sum(F.col("_n") * (F.col("_v") + away * away)).alias("_m2"))
+            # NULL for one rating
+            .select("tmdb_id", "rating_count", "rating_mean",
+                    F.sqrt(F.try_divide("_m2", F.col("rating_count") - 1)).alias("rating_std")))
 
 
 def enrich_ratings(stats: DataFrame, links: DataFrame, movies_primary: DataFrame,

@@ -34,20 +34,20 @@ def unseen_top_k(recs: DataFrame, seen: DataFrame, users: DataFrame | None = Non
     service reported it).
     """
     pairs = recs.select("user_id", "movie_id", "score")
-    # anti / semi joins ignore duplicate keys on the right: no distinct needed
-    seen_pairs = seen.select("user_id", "movie_id")
-    unseen = pairs.join(seen_pairs, ["user_id", "movie_id"], "left_anti")
+    # one join flags the seen candidates; counts and lists both read it
+    seen_pairs = seen.select("user_id", "movie_id").distinct().withColumn("_hit", F.lit(1))
+    flagged = pairs.join(seen_pairs, ["user_id", "movie_id"], "left")
+    unseen = flagged.filter(F.col("_hit").isNull()).drop("_hit")
     top = top_k_per_group(unseen, ["user_id"], [F.desc("score"), F.asc("movie_id")], k, rank_col="rank")
     listed = (top.groupBy("user_id")
               .agg(F.sort_array(F.collect_list(F.struct("rank", "movie_id"))).alias("_l"))
               .select("user_id", F.array_join(F.transform("_l", lambda x: x["movie_id"].cast("string")), ",")
                       .alias("recommendations"),
                       F.size("_l").alias("_n_final")))
-    counts = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_candidates"))
-    n_seen = (pairs.join(seen_pairs, ["user_id", "movie_id"], "left_semi")
-              .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen")))
-    base = users.select("user_id").distinct() if users is not None else counts.select("user_id")
-    out = base.join(counts, "user_id", "left").join(n_seen, "user_id", "left").join(listed, "user_id", "left")
+    out = flagged.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.count("_hit").alias("n_seen"))
+    if users is not None:
+        out = users.select("user_id").distinct().join(out, "user_id", "left")
+    out = out.join(listed, "user_id", "left")
     n_cand = F.coalesce(F.col("n_candidates"), F.lit(0))
     return out.select("user_id",
                       F.coalesce(F.col("recommendations"), F.lit("")).alias("recommendations"),

@@ -82,7 +82,8 @@ def _genre_text() -> Column:
     tokens = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
     items = F.transform(tokens, lambda tok, i: F.format_string("{'id': %d, 'name': '%s'}", i + 1, tok))
     close = F.when(_pk() % 101 == 0, F.lit("")).otherwise(F.lit("]"))
-    return F.concat(F.lit("["), F.array_join(items, ", "), close)
+    text = F.concat(F.lit("["), F.array_join(items, ", "), close)
+    return F.when(_pk() % 107 == 9, F.lit(None)).when(_pk() % 103 == 9, F.lit("")).otherwise(text)
 
 
 def _list_json(key_name: str, code: Column, name: Column) -> Column:
@@ -92,7 +93,7 @@ def _list_json(key_name: str, code: Column, name: Column) -> Column:
 def movies_raw(t: Tables) -> DataFrame:
     """The raw movie table: every column text, with the defects cleaning must
     handle (zero and non-numeric budgets, '1,234' numbers, bad dates, years out
-    of range, unknown booleans, unterminated list text, NULL titles)."""
+    of range, unknown booleans, unterminated, empty or missing list text, NULL titles)."""
     pk = _pk()
     b = F.round(F.col("p_retailprice") * BUDGET_FACTOR).cast("long")
     budget = (F.when(pk % 7 == 0, F.lit("0"))
@@ -219,6 +220,48 @@ def credits_raw(t: Tables) -> DataFrame:
                           text("crew_items", F.col("tmdb_id") % 101 == 0).alias("crew"))
 
 
+def keywords_raw(t: Tables) -> DataFrame:
+    """keywords(id, keywords): list text of the part type's words; some
+    unterminated, some missing."""
+    words = F.split("p_type", " ")
+    items = F.transform(words, lambda w, i: F.concat(F.lit("{'id': "), (i + 1).cast("string"), F.lit(", 'name': "), _py(w), F.lit("}")))
+    text = F.concat(F.lit("["), F.array_join(items, ", "), F.when(_pk() % 61 == 7, F.lit("")).otherwise(F.lit("]")))
+    return t.part.select(_pk().cast("string").alias("id"),
+                         F.when(_pk() % 67 == 5, F.lit(None)).otherwise(text).alias("keywords"))
+
+
+def links_text(t: Tables) -> DataFrame:
+    """``links`` as text cells: ids with a fraction ('862.0'), some unreadable."""
+    imdb = F.when(F.col("imdbId") % 31 == 0, F.lit("n/a")).otherwise(F.col("imdbId").cast("string"))
+    return links(t).select(F.col("movieId").cast("string").alias("movieId"), imdb.alias("imdbId"),
+                           F.concat(F.col("tmdbId").cast("string"), F.lit(".0")).alias("tmdbId"))
+
+
+def ratings_text(t: Tables, rated: DataFrame | None = None) -> DataFrame:
+    """``ratings`` as text cells, some scores unreadable."""
+    r = ratings(t) if rated is None else rated
+    score = F.when(F.col("order_key") % 41 == 0, F.lit("good")).otherwise(F.col("rating").cast("string"))
+    return r.select(F.col("user_id").cast("string").alias("userId"), F.col("movie_id").cast("string").alias("movieId"),
+                    score.alias("rating"), F.unix_timestamp("ts").cast("string").alias("timestamp"))
+
+
+def crawled_lines(t: Tables) -> DataFrame:
+    """Labelled text lines of a film page: ``Genre: ...``, ``Year: ...`` and a
+    score out of ten; some lines carry another label, some scores no number."""
+    label = F.when(_pk() % 37 == 3, F.lit("Kind: ")).otherwise(F.lit("Genre: "))
+    score = F.when(_pk() % 43 == 2, F.lit("n/a")).otherwise(F.concat((F.col("p_size") % 11).cast("string"), F.lit("/10")))
+    return t.part.select(F.col("p_partkey").cast("long").alias("film_id"), F.concat(label, "p_type").alias("genre_line"),
+                         F.concat(F.lit("Year: "), (F.col("p_size") + 1970).cast("string")).alias("year_line"),
+                         score.alias("score_line"))
+
+
+def damaged_pages(t: Tables) -> DataFrame:
+    """``pages`` with some titles and headings lost."""
+    lost = F.when(F.col("page_id") % 50 == 7, F.regexp_replace("html", r"(?s)<title>.*?</title>", "")) \
+        .when(F.col("page_id") % 50 == 8, F.regexp_replace("html", r"(?s)<h1>.*?</h1>", "")).otherwise(F.col("html"))
+    return t.pages.select("page_id", "url", lost.alias("html"))
+
+
 def links(t: Tables) -> DataFrame:
     """links(movieId, imdbId, tmdbId): rating id -> catalogue id.
 
@@ -326,7 +369,7 @@ MATERIALIZED = ("movies_raw", "credits_raw", "ratings", "links", "rating_events"
 # argument) when materializing: the upstream join or aggregation -- e.g. the
 # line-item x order join behind ``ratings`` -- then runs once per session.
 UPSTREAM = {"recommendations": ("rated", "ratings"), "recommendation_lists": ("recs", "recommendations"),
-            "event_lines": ("events", "rating_events")}
+            "event_lines": ("events", "rating_events"), "ratings_text": ("rated", "ratings")}
 _STORE: dict[tuple, str] = {}
 
 

@@ -18,6 +18,7 @@ from cinestat import schemas as S
 from cinestat.functions import casts, pseudo_json
 from cinestat.operators import clean, finance, ids, pages, people, profile, ratings, recommend, sessions
 from cinestat.operators.report import middle
+from cinestat.operators.topk import top_k
 from cinestat.plans.canonical import Canonical
 from cinestat.plans.sql import with_ctes
 from cinestat.sources import io
@@ -179,11 +180,12 @@ def q_rating_summary(c, t):
 
 
 @query("rating_histogram", "A14", """
-SELECT CAST(floor(rating - 0.5) AS INTEGER) AS bin, floor(rating - 0.5) + 0.5 AS lo,
-       floor(rating - 0.5) + 1.5 AS hi, count(*) AS n
-FROM ratings WHERE rating >= 0.5 AND rating <= 10.5 GROUP BY 1, 2, 3""")
+SELECT bin, CASE WHEN bin >= 0 THEN bin + 0.5::DOUBLE END AS lo, CASE WHEN bin < 10 THEN bin + 1.5::DOUBLE END AS hi, n FROM (
+  SELECT CAST(CASE WHEN rating < 0.5 THEN -1 WHEN rating > 10.5 THEN 10 ELSE least(floor(rating - 0.5), 9) END AS INTEGER)
+           AS bin, count(*) AS n
+  FROM ratings WHERE rating IS NOT NULL GROUP BY 1)""")
 def q_rating_histogram(c, t):
-    return profile.fixed_histogram(c.ratings(), "rating", RATING_EDGES)
+    return profile.fixed_histogram(c.ratings(), "rating", RATING_EDGES, outside=True)
 
 
 @query("source_correlation", "V22 A12 P4", """
@@ -228,15 +230,15 @@ SELECT count(*) AS n, count(DISTINCT id) AS n_distinct_id,
        count(*) FILTER (WHERE revenue IS NULL OR revenue IN ('', '0')) AS revenue_zero_or_null,
        count(*) FILTER (WHERE runtime IS NULL OR runtime IN ('', '0')) AS runtime_zero_or_null,
        count(*) FILTER (WHERE release_date IS NULL OR release_date = '') AS release_date_null_or_empty,
-       0::BIGINT AS genres_null_or_empty
+       count(*) FILTER (WHERE p_partkey % 103 = 9 OR p_partkey % 107 = 9) AS genres_null_or_empty
 FROM movies_raw""")
 def q_quality(c, t):
     return profile.quality_counters(c.movies_raw())
 
 
 @query("parse_failures", "V2 F7 F9 A4", """
-SELECT 'genres' AS column_name, count(*) AS n, 0::BIGINT AS n_null,
-       count(*) FILTER (WHERE p_partkey % 101 = 0) AS n_failed FROM part
+SELECT 'genres' AS column_name, count(*) AS n, count(*) FILTER (WHERE p_partkey % 107 = 9) AS n_null,
+       count(*) FILTER (WHERE p_partkey % 107 <> 9 AND (p_partkey % 101 = 0 OR p_partkey % 103 = 9)) AS n_failed FROM part
 UNION ALL SELECT 'cast', count(*), 0::BIGINT, 0::BIGINT FROM part
 UNION ALL SELECT 'crew', count(*), 0::BIGINT, count(*) FILTER (WHERE p_partkey % 101 = 0) FROM part""")
 def q_parse_failures(c, t):
@@ -327,6 +329,47 @@ def q_credits_csv(c, t):
         flat("cast_parsed", "cast", F.lit(None).cast("string")))
 
 
+@query("keywords_clean", "V7 F7 F13", """
+SELECT tmdb_id, CAST(unnest(range(1, len(ws) + 1)) AS INTEGER) AS keyword_id, unnest(ws) AS name FROM (
+  SELECT CAST(p_partkey AS INTEGER) AS tmdb_id, string_split(p_type, ' ') AS ws FROM part
+  WHERE p_partkey % 61 <> 7 AND p_partkey % 67 <> 5)""")
+def q_keywords(c, t):
+    """Keyword lists parsed from text, one row per keyword."""
+    return clean.clean_keywords(c.keywords_raw()).select("tmdb_id", F.inline("keywords_parsed")).select(
+        "tmdb_id", F.col("id").cast("int").alias("keyword_id"), "name")
+
+
+@query("links_clean", "V7 F1", """
+SELECT movieId, CASE WHEN imdbId % 31 <> 0 THEN imdbId END AS imdbId, tmdbId FROM links""")
+def q_links_clean(c, t):
+    return clean.clean_links(c.links_text())
+
+
+@query("ratings_clean", "V7 F1", """
+SELECT CAST(user_id AS INTEGER) AS userId, CAST(movie_id AS INTEGER) AS movieId,
+       CASE WHEN order_key % 41 <> 0 THEN rating END AS rating, CAST(epoch(ts) AS BIGINT) AS timestamp FROM ratings""")
+def q_ratings_clean(c, t):
+    return clean.clean_ratings(c.ratings_text())
+
+
+@query("movies_head", "S10 O4", """
+SELECT id, title, release_date, budget FROM movies_raw ORDER BY id, p_partkey LIMIT 5""")
+def q_movies_head(c, t):
+    """A peek at the first rows by id."""
+    return top_k(c.movies_raw(), [F.asc("id")], 5).select("id", "title", "release_date", "budget")
+
+
+@query("crawled_labels", "F22 F23 H2", """
+SELECT CAST(p_partkey AS BIGINT) AS film_id, CASE WHEN p_partkey % 37 <> 3 THEN p_type END AS genre,
+       CAST(p_size + 1970 AS INTEGER) AS year, CASE WHEN p_partkey % 43 <> 2 THEN CAST(p_size % 11 AS DOUBLE) END AS score
+FROM part""")
+def q_crawled_labels(c, t):
+    """Genre, year and score out of the labelled lines of a film page."""
+    return c.crawled_lines().select("film_id", casts.after_label("genre_line", "Genre: ").alias("genre"),
+                                    casts.try_number(casts.after_label("year_line", "Year: "), "int").alias("year"),
+                                    casts.score_text("score_line").alias("score"))
+
+
 @query("links_csv", "S1 S4", """SELECT movieId, imdbId, tmdbId FROM links""")
 def q_links_csv(c, t):
     """Links written as header CSV and read back with a fixed schema (no
@@ -625,6 +668,17 @@ def q_rec_ids(c, t):
     return recommend.rec_ids(c.recommendations())
 
 
+@query("exported_ids", "V31 S9 D1s", """
+SELECT DISTINCT 'user' AS kind, user_id AS id FROM recs
+UNION ALL SELECT DISTINCT 'movie', movie_id FROM recs""")
+def q_exported_ids(c, t):
+    """The id export written to the shared folder and read back."""
+    from cinestat.session import scratch_path
+    path = scratch_path(t.spark, "exported-ids")
+    io.export_ids(c.recommendations(), path)
+    return t.spark.read.schema("id long, kind string").parquet(path).select("kind", "id")
+
+
 @query("unseen_topk", "V29 J8 W2 D15 D16 D24", """
 SELECT u.user_id, coalesce(l.recommendations, '') AS recommendations, coalesce(c.n_candidates, 0) AS n_candidates,
        coalesce(s.n_seen, 0) AS n_seen, coalesce(c.n_candidates, 0) - coalesce(l.n_final, 0) AS filtered_count
@@ -793,6 +847,18 @@ def q_event_json(c, t):
         F.col("j.rating").alias("rating"), F.col("j.timestamp").alias("ts_text"))
 
 
+@query("published_events", "S8 F24", """
+SELECT user_id, movie_id, rating, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts_text FROM rating_events""")
+def q_published_events(c, t):
+    """Rating events published as a batch of JSON lines and read back."""
+    from cinestat.session import scratch_path
+    from cinestat.streaming.ingest import EVENT_SCHEMA, publish_events
+    path = scratch_path(t.spark, "published-events")
+    publish_events(c.rating_events(), path)
+    back = t.spark.read.schema(EVENT_SCHEMA).json(path)
+    return back.select("user_id", F.col("movieId").alias("movie_id"), "rating", F.col("timestamp").alias("ts_text"))
+
+
 _INGEST_SQL = """
 SELECT x.event_id, x.user_id, x.movie_id, x.rating, x.ts_text FROM (
   SELECT event_id, user_id, movie_id, rating, event_type,
@@ -918,6 +984,16 @@ def q_page_fields(c, t):
     return pages.page_fields(t.pages)
 
 
+@query("page_rejects", "H4", """
+SELECT page_id, CASE WHEN page_id % 50 = 7 OR title = '' THEN 'missing_title' ELSE 'missing_heading' END AS status FROM (
+  SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
+         regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading FROM pages)
+WHERE page_id % 50 IN (7, 8) OR title = '' OR heading = ''""")
+def q_page_rejects(c, t):
+    """Pages whose title or heading cannot be read, with the reason."""
+    return pages.page_rejects(c.damaged_pages())
+
+
 @query("page_links", "H1", f"""
 SELECT page_id, CAST(pos AS INTEGER) AS pos, href,
        CASE WHEN starts_with(href, '/') THEN base || href ELSE href END AS url FROM (

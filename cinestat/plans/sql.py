@@ -47,7 +47,7 @@ SELECT
   s.avg_x100 / CAST(100 AS DOUBLE) AS vote_average_num,
   CAST(s.n_lines AS VARCHAR) AS vote_count,
   s.sum_qty / CAST(10 AS DOUBLE) AS popularity_num,
-  CASE WHEN p.p_partkey % 101 = 0 THEN NULL ELSE string_split(p.p_name || ' ' || p.p_type, ' ') END AS genre_names,
+  CASE WHEN p.p_partkey % 101 = 0 OR p.p_partkey % 103 = 9 OR p.p_partkey % 107 = 9 THEN NULL ELSE string_split(p.p_name || ' ' || p.p_type, ' ') END AS genre_names,
   p.p_partkey % (SELECT count(*) FROM nation) AS nation_k,
   p.p_partkey
 FROM (SELECT *, CAST(round(p_retailprice * 400) AS BIGINT) AS b FROM part) p

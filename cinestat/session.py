@@ -18,6 +18,9 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # streaming state on disk, not in the executors' heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -30,7 +33,9 @@ def local_session(cpus: int | str = 8, app: str = "cinestat", shuffle_partitions
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf["spark.driver.memory"] = "16g"
+    # a single JVM does all the work: half of the machine, at most 16 GB
+    ram = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 30
+    conf["spark.driver.memory"] = f"{max(1, min(16, ram // 2))}g"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

@@ -111,6 +111,14 @@ def run_ingest(spark: SparkSession, source_dir: str, sink: str, rejects: str, ch
             raise q.exception()
 
 
+def publish_events(events: DataFrame, path: str) -> None:
+    """Rating events (user_id, movie_id, rating, ts) as files of JSON lines,
+    the batch counterpart of producers sending one message each (S8)."""
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    events.select(event_json(F.col("user_id"), F.col("movie_id"), F.col("rating"), when).alias("value")) \
+        .write.mode("append").text(path)
+
+
 def event_json(user_id: Column, movie_id: Column, rating: Column, when: Column) -> Column:
     """A rating event as JSON text."""
     return F.to_json(F.named_struct(F.lit("user_id"), user_id, F.lit("movieId"), movie_id,

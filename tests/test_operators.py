@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cinestat.operators import clean, ids, pages, people, profile, quantile, recommend, sessions, topk
+from cinestat.operators import clean, ids, pages, people, profile, quantile, ratings, recommend, sessions, topk
 
 
 def test_dedup_tie_break_and_null_titles(spark):
@@ -185,6 +185,11 @@ def test_histograms(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 1, 2, 10, 10.5, 11]], "v double")
     fixed = {r.bin: r.n for r in profile.fixed_histogram(df, "v", [0.5 + i for i in range(11)]).collect()}
     assert fixed == {0: 2, 1: 1, 9: 2}
+    wide = [tuple(r) for r in profile.fixed_histogram(df, "v", [1.5, 3.5, 10.5], outside=True).orderBy("bin").collect()]
+    assert wide == [(-1, None, 1.5, 2), (0, 1.5, 3.5, 1), (1, 3.5, 10.5, 2), (2, 10.5, None, 1)]
+    two = df.selectExpr("v as a", "if(v < 2, null, 7.0D) as b")
+    got = {(r.column_name, r.bin): (r.lo, r.hi, r.n) for r in profile.value_histograms(two, {"a": 3, "b": 2}).collect()}
+    assert got == {("a", 0): (2.0, 5.0, 1), ("a", 2): (8.0, 11.0, 3), ("b", 0): (7.0, 7.0, 4)}
     eq = {r.bin: r.n for r in profile.equal_width_histogram(df, "v", 5).collect()}
     assert sum(eq.values()) == 6 and eq[4] == 3      # the maximum falls in the last bin
 
@@ -390,3 +395,19 @@ def test_integer_text_with_a_fraction_and_labels(spark):
     assert [r.x for r in df.select(try_number("v", "int").alias("x")).collect()] == [123, -7, 12, None, None]
     one = spark.createDataFrame([("Genre: Drama",), ("Drama",)], "v string")
     assert [r.x for r in one.select(after_label("v", "Genre: ").alias("x")).collect()] == ["Drama", None]
+
+
+def test_links_in_other_spellings(spark):
+    html = ('<A class="x" HREF=\'/a\'>1</a><a href="//other.org/b">2</a><a  data-href="no" href = "https://t.net/c">3</a>'
+            '<ul><LI class="y">one <b>x</b></LI><li>two</li></ul>')
+    df = spark.createDataFrame([(1, "http://site.com/p?q", html)], "page_id long, url string, html string")
+    assert [r.url for r in pages.page_links(df).orderBy("pos").collect()] == ["http://site.com/a", "http://other.org/b", "https://t.net/c"]
+    assert [r.item_text for r in pages.page_items(df).orderBy("pos").collect()] == ["one x", "two"]
+
+
+def test_spread_of_ratings_far_from_zero(spark):
+    """Sums of squares would lose every digit of the deviation here."""
+    r = spark.createDataFrame([(i % 2, 1e9 + i) for i in range(4)], "movie_id long, rating double")
+    ln = spark.createDataFrame([(0, 7), (1, 7)], "movieId int, tmdbId int")
+    got = ratings.stats_by_catalogue_id(r, ln).collect()[0]
+    assert got.rating_count == 4 and got.rating_mean == 1e9 + 1.5 and abs(got.rating_std - 1.2909944487358056) < 1e-9

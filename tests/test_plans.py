@@ -39,6 +39,11 @@ def test_fact_side_aggregates_are_hash_based(plans):
         assert plans[name]["sort_aggregates"] == 0, name
 
 
+def test_reports_of_several_columns_share_their_passes(plans):
+    # ranges and counts: one scan each, whatever the number of columns
+    assert len(plans["value_histograms"]["scans"]) <= 2
+
+
 def test_scans_read_only_needed_columns(plans):
     scans = dict((src.split("-")[1] if src.startswith("silver-") else src, schema)
                  for src, _, schema in plans["rating_stats"]["scans"])
