@@ -34,7 +34,7 @@ def unseen_top_k(recs: DataFrame, seen: DataFrame, users: DataFrame | None = Non
     service reported it).
     """
     pairs = recs.select("user_id", "movie_id", "score")
-    # one join flags the seen candidates; counts and lists both read it
+    # a flag for seen candidates; the planner prunes it apart for the counts and for the lists
     seen_pairs = seen.select("user_id", "movie_id").distinct().withColumn("_hit", F.lit(1))
     flagged = pairs.join(seen_pairs, ["user_id", "movie_id"], "left")
     unseen = flagged.filter(F.col("_hit").isNull()).drop("_hit")
