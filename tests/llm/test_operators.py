@@ -507,6 +507,21 @@ def test_anchors_lose_no_run_above_the_threshold():
             assert m.run_score(run)[1] == pytest.approx(want[1])
 
 
+def test_notices_in_long_lines_and_narrow_wraps_are_found():
+    import textwrap
+    m = licenses.Matcher(licenses.TEMPLATES, {"the": 990, "of": 980, "and": 970, "this": 700, "all": 600}, 1000, 0.8)
+    gpl = licenses.TEMPLATES["GPL-3.0"][2]
+    footer = "Imprint | Contact | About the people behind these pages | Released under the MIT License | Terms | Archive of older news"
+    for text, want in (
+            ("The parser and all of its bundled example data are Released under the MIT License.", "MIT"),
+            ("Unless noted otherwise all pages of this site are Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+            (footer, "MIT"), *((textwrap.fill(gpl, n, initial_indent="# ", subsequent_indent="# "), "GPL-3.0") for n in (16, 30, 79))):
+        name, score, a, b = m.header(text)
+        assert name == want and score > 0.99, text
+        assert text[a:b].split()[0] in ("Released", "Licensed", "This", "#")
+    assert m.header("The release of the parser is described on all pages of this site.")[0] is None
+
+
 # --- lists -------------------------------------------------------------------
 
 def test_without_listed_equals_an_anti_join(spark):
