@@ -522,6 +522,26 @@ def test_notices_in_long_lines_and_narrow_wraps_are_found():
     assert m.header("The release of the parser is described on all pages of this site.")[0] is None
 
 
+def test_siblings_are_told_apart_and_licence_files_are_templates():
+    m = licenses.Matcher(licenses.TEMPLATES, {"the": 990, "of": 980, "and": 970, "this": 700, "all": 600, "to": 900, "a": 900}, 1000, 0.8)
+    std = licenses.TEMPLATES["GPL-3.0"][2]
+    for text, want in (
+            (std, "GPL-3.0"), (std.replace("version 3", "version 2"), "GPL-2.0"), (std.replace("GNU General", "GNU Affero General"), "AGPL-3.0"),
+            (std.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), "LGPL-2.1"),
+            ("Licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+            ("This work is licensed under the GNU General Public License.", "GPL-1.0-or-later"),
+            ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"),
+            ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+            ("Licensed under the Apache License, Version 1.1.", None)):
+        assert m.header(text)[0] == want, text
+    for name, forms in licenses.TEMPLATES.items():
+        for form in forms:
+            if len(form) < 2000:
+                assert m.header(form)[0] == name, form[:80]
+            if len(form) > 500:
+                assert m.whole(f"Copyright (c) 2020 Someone Else\n\n{form}")[0] == name, form[:80]
+
+
 # --- lists -------------------------------------------------------------------
 
 def test_without_listed_equals_an_anti_join(spark):
