@@ -18,8 +18,10 @@ holds the corpus mixture; other targets are given as ``{source: weight}``.
 
 Spark passes: tokenise and write packed ids with each partition's running count
 per queue; add up counts per (queue, partition) for the queues' offsets; cut.
-Only one row per queue reaches the driver (``max_queues`` at most; with more
-distinct sources, sources share queues by hash).
+Only one row per queue reaches the driver. With more than ``max_queues`` distinct
+sources, every source with a target and the ``max_queues / 2`` largest by bytes
+stay queues of their own; only the rest, without targets, share queues by hash.
+A target whose source is not in the table is an error.
 
 Defined results: a null text is empty (its separator alone); a null source is
 the queue of the empty name; repeated rows are packed as often as they occur; an
@@ -43,6 +45,7 @@ LENGTH = 1024
 WINDOW = 64 * LENGTH
 SEPARATOR = 0
 MAX_QUEUES = 1024
+SHARED = "\0shared "  # before the number of a queue that small sources share
 
 TOKEN_SCHEMA = "part long, doc_id long, queue string, ids binary, n long, before long"
 PIECE_SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -180,11 +183,18 @@ def _cut(rotation: Rotation):
 
 
 def queue_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                 separator: int = SEPARATOR, max_queues: int = MAX_QUEUES) -> DataFrame:
+                 separator: int = SEPARATOR, max_queues: int = MAX_QUEUES, targets: dict[str, float] | None = None) -> DataFrame:
     """Tokenised documents with their place in their partition's part of a queue."""
     source = F.coalesce(named(source_col).cast("string"), F.lit(""))
     if docs.select(source.alias("s")).distinct().limit(max_queues + 1).count() > max_queues:
-        source = F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string")
+        sizes = (docs.select(source.alias("s"), F.coalesce(F.octet_length(named(text_col)), F.lit(0)).cast("long").alias("n"))
+                 .groupBy("s").agg(F.sum("n").alias("n")))
+        # at most max_queues / 2 rows
+        large = {r["s"] for r in sizes.orderBy(F.desc("n"), "s").limit(max(max_queues // 2, 1)).collect()}
+        own = sorted(large | set(targets or ()))
+        shared = max(max_queues - len(own), max_queues // 2, 1)
+        source = F.when(source.isin(own), source).otherwise(
+            F.concat(F.lit(SHARED), F.pmod(F.xxhash64(source), F.lit(shared)).cast("string")))
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), named(id_col).cast("long").alias("doc_id"),
                        source.alias("queue"), named(text_col).alias("text"))
     return written(arrow_map(rows, _tokenise(path, separator), TOKEN_SCHEMA), "pack-tokens")
@@ -196,12 +206,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """One row per piece: (doc_id, start, length, doc_tokens, sequence_id,
     offset, window, queue, ids), ``ids`` as little-endian unsigned 32-bit."""
     prepare(docs.sparkSession)
-    tokens = queue_tokens(docs, path, id_col, text_col, source_col, separator, max_queues)
+    tokens = queue_tokens(docs, path, id_col, text_col, source_col, separator, max_queues, targets)
     parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("part_tokens"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(parts.withColumn("base", F.coalesce(F.sum("part_tokens").over(earlier), F.lit(0))), "pack-offsets")
     # one row per queue, max_queues at most
     totals = {r["queue"]: r["t"] for r in offsets.groupBy("queue").agg(F.sum("part_tokens").alias("t")).collect()}
+    if totals and (missing := sorted(set(targets or ()) - set(totals))):
+        raise ValueError(f"targets without documents: {missing[:10]}")
     rotation = Rotation(totals, targets, window, length)
     rows = (tokens.join(offsets.select("queue", "part", "base"), ["queue", "part"])
             .select("doc_id", "queue", "ids", "n", (F.col("base") + F.col("before")).alias("at")))

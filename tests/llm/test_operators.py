@@ -318,6 +318,25 @@ def test_rotation_keeps_targets_and_carries_deficits():
     assert packing.Rotation({}, None).tokens == 0
 
 
+def test_targets_hold_with_more_sources_than_queues(spark, empty):
+    path = queries.byte_bpe()
+    data = [(i, "one two three four five six seven " * 3, f"s{i % 40}") for i in range(400)]
+    data += [(1000 + i, "many more words in one large source " * 20, "large") for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = rows(packing.pack(df, path, targets={"s0": 1, "s1": 3}, length=16, window=64, max_queues=8))
+    assert {"s0", "s1", "large"} <= {r["queue"] for r in got} and len({r["queue"] for r in got}) <= 8
+    first = Counter()
+    for r in got:
+        if r["window"] < 3:
+            first[r["queue"]] += r["length"]
+    assert first == {"s0": 48, "s1": 144}
+    source = {i: s for i, _, s in data}
+    assert all(source[r["doc_id"]] == r["queue"] for r in got if not r["queue"].startswith(packing.SHARED))
+    with pytest.raises(ValueError, match="targets without documents"):
+        packing.pack(df, path, targets={"s0": 1, "elsewhere": 1}, max_queues=8)
+    assert packing.pack(empty, path, targets={"s0": 1}).count() == 0
+
+
 # --- BPE ---------------------------------------------------------------------
 
 ALPHABET = ["a", "Z", " ", "  ", "\n", "\t", "é", "ß", "'s", "'LL", "1", "22", "!", "…", "　", " ", "\x85", "\x1c", "\x1f",
