@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinestat.llm import (
-    exact_dedup, lexicon, licenses, line_rules, packing, quality, sharding, simhash, token_counts, toxicity,
+    exact_dedup, lexicon, licenses, line_rules, packing, periodic_runs, quality, sharding, simhash, token_counts, toxicity,
 )
 from cinestat.llm.common import held_out, read_table
 from cinestat.session import scratch_path
@@ -97,6 +97,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          split={"text": "\n"}, rule="most")
 
 
+def looped_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth document by crc32(doc_id) a tail repeats
+    with a fixed period; the others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def looped(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        tail = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, tail(i))), " "))
+
+    words = F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda w: w != "")
+    # the words are computed once a row and bound to the lambda's name
+    tailed = F.get(F.transform(F.array(words), looped), F.lit(0))
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), tailed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(looped_tails(read_table(spark, sf_dir, "documents")))
+    # greatest length, then smallest start, then smallest period: the runs come by start and period
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] > b["length"], r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
@@ -108,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
