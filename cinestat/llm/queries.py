@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinestat.llm import (
-    exact_dedup, lexicon, licenses, line_rules, packing, periodic_runs, quality, sharding, simhash, token_counts, toxicity,
+    collocations, exact_dedup, lexicon, licenses, line_rules, packing, periodic_runs, quality, sharding, simhash,
+    token_counts, toxicity,
 )
 from cinestat.llm.common import held_out, read_table
 from cinestat.session import scratch_path
@@ -129,6 +130,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
@@ -141,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -187,4 +193,32 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        NOT base_failed AND NOT (left_words < n_words AND (left_words < {line_rules.MIN_LEFT_WORDS}
                                                           OR left_words < {line_rules.MIN_LEFT_SHARE}::DOUBLE * n_words)) AS kept
 FROM v""",
+    "op13_collocations": f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+x AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+u AS (SELECT pid, lang, unnest(ws) AS w1, generate_subscripts(ws, 1) AS pos FROM x),
+g AS (SELECT lang, w1, lead(w1, 1) OVER r AS w2, lead(w1, 2) OVER r AS w3 FROM u WINDOW r AS (PARTITION BY pid ORDER BY pos)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY lang, w1),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= {collocations.MIN_COUNT}),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3
+       HAVING count(*) >= {collocations.MIN_COUNT}),
+total AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+cover AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY lang, w1, w2),
+cuts AS (
+  SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, p.f AS l, q.f AS r, 1 AS k
+  FROM f2 JOIN f1 p ON p.lang = f2.lang AND p.w1 = f2.w1 JOIN f1 q ON q.lang = f2.lang AND q.w1 = f2.w2
+  LEFT JOIN cover c ON c.lang = f2.lang AND c.w1 = f2.w1 AND c.w2 = f2.w2
+  WHERE 100 * coalesce(c.f, 0) < {collocations.COVER_PCT} * f2.f
+  UNION ALL
+  SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, p.f, q.f, 1
+  FROM f3 JOIN f1 p ON p.lang = f3.lang AND p.w1 = f3.w1 JOIN f2 q ON q.lang = f3.lang AND q.w1 = f3.w2 AND q.w2 = f3.w3
+  UNION ALL
+  SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, p.f, q.f, 2
+  FROM f3 JOIN f2 p ON p.lang = f3.lang AND p.w1 = f3.w1 AND p.w2 = f3.w2 JOIN f1 q ON q.lang = f3.lang AND q.w1 = f3.w3),
+scored AS (SELECT *, {collocations.SCALE}::HUGEINT * a * a // (l::HUGEINT * r) AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= {collocations.TOP}""",
 }
