@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinestat.llm import (
-    collocations, exact_dedup, lexicon, licenses, line_rules, packing, periodic_runs, quality, sharding, simhash,
-    token_counts, toxicity,
+    collocations, exact_dedup, lexicon, licenses, line_rules, packing, periodic_runs, quality, secret_scan, sharding,
+    simhash, token_counts, toxicity,
 )
 from cinestat.llm.common import held_out, read_table
 from cinestat.session import scratch_path
@@ -130,6 +130,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(read_table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.KINDS[:3]))
+    return found.select("doc_id", *(of(k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]),
+                        F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -146,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scan": op12_secret_scan,
     "op13_collocations": op13_collocations,
 }
 
