@@ -4,10 +4,12 @@ V29-V31, D3s, D17, D22)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinestat.operators.topk import latest_per_key, top_k_per_group
+from cinestat.operators.inner_product import top_inner_products
+from cinestat.operators.topk import top_k_per_group
+from cinestat.sources.io import load_als, save_model
 
 
 def flatten(rec_lists: DataFrame) -> DataFrame:
@@ -159,25 +161,32 @@ class IndexedALS:
     def __init__(self, model, users: DataFrame, items: DataFrame):
         self.model, self.users, self.items = model, users, items
 
+    def save(self, path: str) -> None:
+        """The model and both dictionaries below ``path``."""
+        save_model(self.model, f"{path}/model")
+        self.users.write.mode("overwrite").parquet(f"{path}/users")
+        self.items.write.mode("overwrite").parquet(f"{path}/items")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IndexedALS:
+        return cls(load_als(f"{path}/model"), spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items"))
+
+    def factors(self) -> tuple[DataFrame, DataFrame]:
+        """(user_id, features) and (item_id, features) under the original keys."""
+        u = self.model.userFactors.select(F.col("id").alias("u_idx"), "features").join(self.users, "u_idx")
+        i = self.model.itemFactors.select(F.col("id").alias("i_idx"), "features").join(self.items, "i_idx")
+        return u.select("user_id", "features"), i.select(F.col("movie_id").alias("item_id"), "features")
+
+    def top_lists(self, k: int = 10) -> DataFrame:
+        """user_id, rank, movie_id, score: the exact top k of every user (M4)."""
+        users, items = self.factors()
+        return top_inner_products(users, items, k).withColumnRenamed("item_id", "movie_id")
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Predictions for (user_id, movie_id) rows; unknown keys drop out (inner joins)."""
         j = df.join(self.users, "user_id").join(self.items, "movie_id")
         return self.model.transform(j.withColumn("rating", F.col("rating").cast("float")))
 
-    def recommend_all(self, k: int = 10) -> DataFrame:
-        """user_id, movie_id, score for the top k items of every user."""
-        return self._named(self.model.recommendForAllUsers(k))
-
-    def recommend_for(self, users: DataFrame, k: int = 10) -> DataFrame:
-        """The same for the given users (user_id) that the model knows."""
-        return self._named(self.model.recommendForUserSubset(self.users.join(users.select("user_id").distinct(), "user_id"), k))
-
-    def _named(self, lists: DataFrame) -> DataFrame:
-        recs = lists.select("u_idx", F.explode("recommendations").alias("r"))
-        return (recs.select("u_idx", F.col("r.i_idx").alias("i_idx"), F.col("r.rating").alias("score"))
-                .join(self.users, "u_idx").join(self.items, "i_idx")
-                .select("user_id", "movie_id", "score"))
-
 
 def fit_als_indexed(train: DataFrame, seed: int = 42, **overrides) -> IndexedALS:
     """ALS (M1) on any integral key range: keys are indexed first."""

@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from cinestat import schemas as S
 from cinestat.functions import casts, pseudo_json
-from cinestat.operators import clean, finance, ids, pages, people, profile, ratings, recommend, sessions
+from cinestat.operators import (
+    clean, finance, fold_in, ids, inner_product, pages, people, profile, ratings, recommend, sessions,
+)
 from cinestat.operators.report import middle
 from cinestat.operators.topk import top_k
 from cinestat.plans.canonical import Canonical
@@ -751,30 +753,115 @@ def _observations(c):
     return c.stored("als_observations", lambda: recommend.training_set(h, e))
 
 
-@query("als_rmse", "M1 M2 M3 A17", f"""
+def _split(c):
+    return recommend.hash_split(_observations(c))
+
+
+def _model(c) -> recommend.IndexedALS:
+    """ALS (reference settings) fitted on the train part once a session and
+    folder, saved, and loaded by every query that needs it (S7)."""
+    path = c.kept("als-model", lambda at: recommend.fit_als_indexed(_split(c).filter("is_train")).save(at))
+    return recommend.IndexedALS.load(c.t.spark, path)
+
+
+def _errors(c) -> DataFrame:
+    return recommend.holdout_rmse_indexed(_model(c), _split(c).filter(~F.col("is_train")))
+
+
+@query("als_rmse", "M1 M2 M3 A17 S7", f"""
 WITH p AS (SELECT *, {_SPLIT_SQL} AS is_train FROM ({_PAIRS_SQL}))
 SELECT count(*) AS n_scored, TRUE AS plausible FROM p WHERE NOT is_train
   AND user_id IN (SELECT user_id FROM p WHERE is_train) AND movie_id IN (SELECT movie_id FROM p WHERE is_train)""")
 def q_als_rmse(c, t):
-    """Fit ALS (reference settings) on the hash-split train part; the hold-out
-    pairs of known users and items are scored. ``plausible``: the error is
-    positive and below twice that of predicting the mean."""
-    data = recommend.hash_split(_observations(c))
-    model = recommend.fit_als_indexed(data.filter("is_train"))
-    got = recommend.holdout_rmse_indexed(model, data.filter(~F.col("is_train")))
-    return got.select("n_scored", ((F.col("rmse") > 0) & (F.col("rmse") < 2 * F.col("rmse_of_mean"))).alias("plausible"))
-
-
-@query("als_topk", "M1 M4 M5", f"""
-SELECT user_id, least({TOP_K}, (SELECT count(DISTINCT movie_id) FROM ({_PAIRS_SQL}))) AS n_items, TRUE AS all_distinct
-FROM (SELECT DISTINCT user_id FROM rating_events WHERE user_id IS NOT NULL)""")
+    """The hold-out pairs of known users and items are scored by the saved
+    model. ``plausible``: the error is positive and below twice that of
+    predicting the mean."""
+    return _errors(c).select("n_scored", ((F.col("rmse") > 0) & (F.col("rmse") < 2 * F.col("rmse_of_mean"))).alias("plausible"))
+
+
+@query("als_metrics", "M2 M3 A17 S7")
+def q_als_metrics(c, t):
+    """n_scored, rmse, rmse_of_mean on the hold-out (the fit is no SQL)."""
+    return _errors(c)
+
+
+def _lists(c) -> DataFrame:
+    return c.stored("als_lists", lambda: _model(c).top_lists(TOP_K))
+
+
+@query("als_topk", "M1 M4 M5 S7", f"""
+WITH p AS (SELECT *, {_SPLIT_SQL} AS is_train FROM ({_PAIRS_SQL}))
+SELECT user_id, least({TOP_K}, (SELECT count(DISTINCT movie_id) FROM p WHERE is_train)) AS n_items, TRUE AS all_distinct
+FROM (SELECT DISTINCT user_id FROM p WHERE is_train)""")
 def q_als_topk(c, t):
-    """Top-k lists for the active users, those with an event; the model is
-    fitted on all observations."""
-    model = recommend.fit_als_indexed(_observations(c))
-    lists = model.recommend_for(c.rating_events().select("user_id"), TOP_K)
-    return lists.groupBy("user_id").agg(F.count_distinct("movie_id").alias("n_items"),
-                                        (F.count(F.lit(1)) == F.count_distinct("movie_id")).alias("all_distinct"))
+    """Of the lists of all users the model knows: their length, and that no
+    item repeats."""
+    return _lists(c).groupBy("user_id").agg(F.count_distinct("movie_id").alias("n_items"),
+                                            (F.count(F.lit(1)) == F.count_distinct("movie_id")).alias("all_distinct"))
+
+
+@query("als_lists", "M4 M5 W2 S7")
+def q_als_lists(c, t):
+    """The lists themselves: user_id, rank, movie_id, score for all users."""
+    return _lists(c)
+
+
+_TOUCHED_SQL = "user_id IN (SELECT user_id FROM rating_events)"
+
+
+def _touched(c) -> DataFrame:
+    """All observations of the users with an event."""
+    users = c.rating_events().select("user_id").distinct()
+    return _observations(c).join(users, "user_id", "left_semi").select(
+        "user_id", F.col("movie_id").alias("item_id"), "rating")
+
+
+def _folded(c) -> DataFrame:
+    params = recommend.ALS_PARAMS
+    return c.stored("als_folded", lambda: fold_in.user_factors(_touched(c), _model(c).factors()[1], params["rank"], params["regParam"]))
+
+
+@query("als_fold_in", "M1 D17 S7", f"""
+WITH p AS (SELECT *, {_SPLIT_SQL} AS is_train FROM ({_PAIRS_SQL}))
+SELECT user_id, count(*) AS n_used, {recommend.ALS_PARAMS["rank"]} AS n_factors FROM p
+WHERE {_TOUCHED_SQL} AND movie_id IN (SELECT movie_id FROM p WHERE is_train) GROUP BY user_id""")
+def q_als_fold_in(c, t):
+    """Users with events get factors from all their ratings, the events
+    included, against the saved model's items: no refit."""
+    return _folded(c).select("user_id", "n_used", F.size("features").alias("n_factors"))
+
+
+@query("als_live_lists", "M4 M1 D17 V29 S7")
+def q_als_live_lists(c, t):
+    """Top lists of the users with events from their folded-in factors."""
+    return inner_product.top_inner_products(_folded(c), _model(c).factors()[1], TOP_K).withColumnRenamed("item_id", "movie_id")
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_BY_PRIORITY_SQL = ", ".join(f"sum(CASE WHEN o_orderpriority = '{p}' THEN {{v}} ELSE 0 END) AS d{i}" for i, p in enumerate(_PRIORITIES))
+
+
+@query("affinity_topk", "M4 W2", f"""
+WITH r AS (SELECT r.user_id, r.movie_id, CAST(r.rating AS BIGINT) AS rating, o.o_orderpriority
+           FROM ratings r JOIN orders o ON o.o_orderkey = r.order_key),
+u AS (SELECT user_id, {_BY_PRIORITY_SQL.format(v="rating - 5")} FROM r GROUP BY user_id),
+i AS (SELECT movie_id, {_BY_PRIORITY_SQL.format(v="rating")} FROM r GROUP BY movie_id),
+s AS (SELECT user_id, movie_id, {" + ".join(f"u.d{k} * i.d{k}" for k in range(len(_PRIORITIES)))} AS score FROM u, i)
+SELECT user_id, rank, movie_id, CAST(score AS DOUBLE) AS score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, movie_id) AS INTEGER) AS rank FROM s) WHERE rank <= {TOP_K}""")
+def q_affinity_topk(c, t):
+    """Top items of every user by whole-number factors, one an order priority:
+    how far the user's ratings there lie above 5, and the item's summed ratings
+    there. The same exact search as the model's lists, with factors that SQL
+    can make too."""
+    r = c.ratings().join(t.orders.select(F.col("o_orderkey").alias("order_key"), "o_orderpriority"), "order_key")
+
+    def vector(key: str, name: str, value) -> DataFrame:
+        dims = [F.sum(F.when(F.col("o_orderpriority") == p, value).otherwise(0.0)) for p in _PRIORITIES]
+        return r.groupBy(F.col(key).alias(name)).agg(F.array(*dims).alias("features"))
+
+    users, items = vector("user_id", "user_id", F.col("rating") - 5), vector("movie_id", "item_id", F.col("rating"))
+    return inner_product.top_inner_products(users, items, TOP_K).withColumnRenamed("item_id", "movie_id")
 
 
 # ---------------------------------------------------------------- events / streaming

@@ -265,7 +265,7 @@ def test_indexed_als_on_64bit_keys(spark):
     m = recommend.fit_als_indexed(df.filter("is_train"), rank=2, maxIter=10, regParam=0.01)
     r = recommend.holdout_rmse_indexed(m, df.filter(~F.col("is_train"))).collect()[0]
     assert r.n_scored > 0 and r.rmse < 0.5
-    recs = m.recommend_all(3)
+    recs = m.top_lists(3)
     assert recs.agg(F.min("user_id")).collect()[0][0] >= off and recs.count() == 40 * 3
 
 
