@@ -956,31 +956,50 @@ JOIN (SELECT unnest([0, 1]) AS copy) c ON c.copy = 0 OR (x.event_type = 'purchas
 WHERE x.event_type <> 'error'"""
 
 
-def _run_stream(c: Canonical):
-    from cinestat.session import scratch_path
-    from cinestat.streaming.ingest import INGESTED, run_ingest
+def _ingest(c: Canonical):
+    """The event lines written as files and ingested once a session."""
+    from cinestat.streaming import ingest
     spark = c.t.spark
-    base = scratch_path(spark, "ingest")
-    c.event_lines().write.mode("overwrite").text(f"{base}/source")
-    run_ingest(spark, f"{base}/source", f"{base}/sink", f"{base}/rejects", f"{base}/checkpoint")
-    return spark, base, INGESTED
+
+    def run(base: str) -> None:
+        c.event_lines().write.mode("overwrite").text(f"{base}/source")
+        ingest.atomic_ingest(ingest.file_source(spark, f"{base}/source"), ingest.AtomicSink(spark, f"{base}/sink"), f"{base}/checkpoint")
+
+    return ingest.AtomicSink(spark, f"{c.kept('ingest', run)}/sink")
 
 
 @query("stream_ingest", "S5 S6 T1 T2 T5 D8", _INGEST_SQL)
 def q_stream_ingest(c, t):
     """Events written as JSON lines, ingested by a Structured Streaming query
-    (availableNow) into a checkpointed Parquet sink, then read back."""
-    spark, base, schema = _run_stream(c)
-    return spark.read.schema(schema).parquet(f"{base}/sink")
+    (availableNow) into a table with a commit a batch, then read back."""
+    return _ingest(c).events().drop("event_date")
 
 
 @query("stream_rejects", "T5", """
 SELECT count(*) AS n_rejected FROM events WHERE event_type = 'error'""")
 def q_stream_rejects(c, t):
-    spark, base, _ = _run_stream(c)
-    return spark.read.parquet(f"{base}/rejects").agg(F.count(F.lit(1)).alias("n_rejected"))
-
-
+    return _ingest(c).rejects().agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
+@query("reject_rows", "T5 F25", """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'no_user' WHEN 1 THEN 'no_movie' ELSE 'not_json' END AS reason, TRUE AS timed
+FROM events WHERE event_type = 'error'""")
+def q_reject_rows(c, t):
+    """The rejected events: their number as the text gives it, the reason, and
+    whether the time of rejection was kept."""
+    told = F.coalesce(F.get_json_object("value", "$.event_id"), F.regexp_extract("value", "([0-9]+)$", 1))
+    return _ingest(c).rejects().select(told.cast("long").alias("event_id"), "reason",
+                                       (F.col("rejected_at") <= F.current_timestamp()).alias("timed"))
+
+
+_STREAM_SESSIONS_SQL = """
+SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS sno FROM (
+  SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > INTERVAL 1 DAY THEN 1 ELSE 0 END AS nw FROM (
+    SELECT x.event_id, x.user_id, x.movie_id, CASE WHEN x.event_id % 2 = 0 THEN x.ts ELSE date_trunc('day', x.ts) END AS t
+    FROM rating_events x
+    JOIN (SELECT unnest([0, 1]) AS copy) c ON c.copy = 0 OR (x.event_type = 'purchase' AND x.event_id % 5 = 0)
+    WHERE x.event_type <> 'error')
+  WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))"""
 _STREAM_SEEN_SQL = f"""
 WITH ing AS (
   SELECT x.event_id, x.user_id, x.movie_id,
@@ -1000,12 +1019,12 @@ GROUP BY user_id, sno"""
 def _replayed(c: Canonical, name: str, closed_sets) -> DataFrame:
     """The ingested events replayed as a stream, every set closed at the end
     (the event log is finished)."""
-    from cinestat.streaming.seen import ingested_stream, replay
-    spark, base, _ = _run_stream(c)
-    out = f"{base}/{name}"
-    replay(spark, closed_sets, lambda: ingested_stream(spark, f"{base}/sink"), f"{base}/control-{name}", out,
-           f"{base}/checkpoint/{name}")
-    return _seen_out(spark.read.parquet(out))
+    from cinestat.session import scratch_path
+    from cinestat.streaming.seen import committed_stream, replay
+    spark, sink = c.t.spark, _ingest(c)
+    base = scratch_path(spark, name)
+    replay(spark, closed_sets, lambda: committed_stream(sink), f"{base}/control", f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
 
 
 def _seen_out(df: DataFrame) -> DataFrame:
@@ -1018,7 +1037,7 @@ def q_stream_seen(c, t):
     """Seen-set sessions from a streaming session_window with a watermark over
     the ingested events; the end-of-stream marker closes every session."""
     from cinestat.streaming.seen import seen_session_stream
-    return _replayed(c, "seen", seen_session_stream)
+    return _seen_out(_replayed(c, "seen", seen_session_stream))
 
 
 @query("stream_seen_state", "T3 D14 A18", _STREAM_SEEN_SQL)
@@ -1026,7 +1045,18 @@ def q_stream_seen_state(c, t):
     """Seen sets kept as per-user streaming state with event-time expiry
     (applyInPandasWithState), over the same stream and marker."""
     from cinestat.streaming.seen import seen_set_state_stream
-    return _replayed(c, "seen_state", seen_set_state_stream)
+    return _seen_out(_replayed(c, "seen_state", seen_set_state_stream))
+
+
+@query("stream_seen_items", "T3 D14 A18", f"""
+SELECT DISTINCT user_id, strftime(min(t) OVER (PARTITION BY user_id, sno), '{TS_FMT_SQL}') AS session_start,
+       count(*) OVER (PARTITION BY user_id, sno) AS n_events, movie_id
+FROM ({_STREAM_SESSIONS_SQL})""")
+def q_stream_seen_items(c, t):
+    """The seen sets themselves, one row per set and item, from state with an
+    entry an item (transformWithState), over the same stream and marker."""
+    from cinestat.streaming.online_sets import seen_items_stream
+    return _replayed(c, "seen_items", seen_items_stream).select("user_id", _fmt("session_start"), "n_events", "movie_id")
 
 
 @query("stream_latest", "T4 A19 S6", f"""
@@ -1038,12 +1068,13 @@ ORDER BY t DESC, event_id DESC LIMIT 1""")
 def q_stream_latest(c, t):
     """The latest-event register as a complete-mode streaming aggregate over
     the ingested events (each micro-batch rewrites the one-row table)."""
-    from cinestat.streaming.seen import ingested_stream, latest_event_stream, run_to_table
-    spark, base, _ = _run_stream(c)
-    out = f"{base}/latest"
-    ev = ingested_stream(spark, f"{base}/sink").select("event_id", "user_id", "movie_id", "rating", "ts")
-    run_to_table(latest_event_stream(ev), out, f"{base}/checkpoint/latest", mode="complete")
-    return spark.read.parquet(out).withColumn("ts", _fmt("ts"))
+    from cinestat.session import scratch_path
+    from cinestat.streaming.seen import committed_stream, latest_event_stream, run_to_table
+    spark, sink = t.spark, _ingest(c)
+    base = scratch_path(spark, "latest")
+    ev = committed_stream(sink).select("event_id", "user_id", "movie_id", "rating", "ts")
+    run_to_table(latest_event_stream(ev), f"{base}/out", f"{base}/checkpoint", mode="complete")
+    return spark.read.parquet(f"{base}/out").withColumn("ts", _fmt("ts"))
 
 
 # ---------------------------------------------------------------- pages and ids

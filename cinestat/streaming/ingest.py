@@ -111,6 +111,88 @@ def run_ingest(spark: SparkSession, source_dir: str, sink: str, rejects: str, ch
             raise q.exception()
 
 
+BATCHES = "batch_id long, n_rows long"
+
+
+def reject_reason(value: Column, parsed: Column) -> Column:
+    """Why a malformed event was turned away."""
+    user = F.coalesce(parsed["user_id"], parsed["userId"])
+    return (F.when(value.isNull() | parsed.isNull() | ~F.ltrim(value).startswith("{"), "not_json").when(user.isNull(), "no_user")
+            .when(parsed["movieId"].isNull(), "no_movie").otherwise("bad_time"))
+
+
+class AtomicSink:
+    """Valid and rejected events of a stream in one table, written batch by batch.
+
+    A batch is parsed once and written by one job to a folder of its own, parted
+    by validity and event date; then its number is added to the table of commits.
+    Readers take committed batches only. A batch that is repeated after a failure
+    overwrites its folder, or does nothing if it had been committed: no row is
+    lost, doubled or seen without the others of its batch, valid or rejected."""
+
+    ROWS = T.StructType([*INGESTED.fields, T.StructField("value", T.StringType()), T.StructField("reason", T.StringType()),
+                         T.StructField("rejected_at", T.TimestampType())])
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.data, self.commits = spark, f"{path}/data", f"{path}/commits"
+
+    def open(self) -> None:
+        """An empty table of commits, if there is none."""
+        self.spark.createDataFrame([], BATCHES).write.mode("ignore").parquet(self.commits)
+
+    def committed(self) -> DataFrame:
+        return self.spark.read.schema(BATCHES).parquet(self.commits)
+
+    def write(self, raw: DataFrame, batch_id: int) -> None:
+        """One batch (``foreachBatch``)."""
+        if not self.committed().where(F.col("batch_id") == batch_id).isEmpty():
+            return
+        rows = parse_events(raw)
+        out = rows.withColumn("reason", F.when(~F.col("_valid"), reject_reason(F.col("value"), F.from_json("value", EVENT_SCHEMA)))) \
+            .select(*[f.name for f in INGESTED.fields], F.when(~F.col("_valid"), F.col("value")).alias("value"), "reason",
+                    F.when(~F.col("_valid"), F.current_timestamp()).alias("rejected_at"), F.col("_valid").alias("valid"),
+                    F.to_date(event_time(F.col("ts_text"))).alias("event_date"))
+        out.write.mode("overwrite").partitionBy("valid", "event_date").parquet(f"{self.data}/batch_id={batch_id}")
+        self.commit(batch_id)
+
+    def commit(self, batch_id: int) -> None:
+        n = self._table().where(F.col("batch_id") == batch_id).agg(F.lit(batch_id).cast("long").alias("batch_id"),
+                                                                   F.count(F.lit(1)).alias("n_rows"))
+        n.write.mode("append").parquet(self.commits)
+
+    def _table(self) -> DataFrame:
+        full = T.StructType([*self.ROWS.fields, T.StructField("batch_id", T.LongType()), T.StructField("valid", T.BooleanType()),
+                             T.StructField("event_date", T.DateType())])
+        return self.spark.read.schema(full).option("basePath", self.data).parquet(self.data)
+
+    def _read(self, valid: bool) -> DataFrame:
+        if self.committed().isEmpty():
+            return self.spark.createDataFrame([], T.StructType([*self.ROWS.fields, T.StructField("event_date", T.DateType())]))
+        return self._table().where(F.col("valid") == valid).join(self.committed().select("batch_id"), "batch_id", "left_semi") \
+            .drop("batch_id", "valid")
+
+    def events(self) -> DataFrame:
+        """Valid events, with their date."""
+        return self._read(True).drop("value", "reason", "rejected_at")
+
+    def rejects(self) -> DataFrame:
+        """value, reason, rejected_at of the events turned away."""
+        return self._read(False).select("value", "reason", "rejected_at")
+
+    def files(self) -> str:
+        """The valid events' folders, for a stream over a finished ingest."""
+        return f"{self.data}/batch_id=*/valid=true"
+
+
+def atomic_ingest(raw: DataFrame, sink: AtomicSink, checkpoint: str) -> None:
+    """Everything there is (availableNow) through one query and one sink."""
+    sink.open()
+    q = (raw.writeStream.foreachBatch(sink.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+
+
 def publish_events(events: DataFrame, path: str) -> None:
     """Rating events (user_id, movie_id, rating, ts) as files of JSON lines,
     the batch counterpart of producers sending one message each (S8)."""

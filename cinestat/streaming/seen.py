@@ -9,8 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cinestat.streaming.ingest import INGESTED, event_time
+from cinestat.streaming.ingest import INGESTED, AtomicSink, event_time
+
+
+def committed_stream(sink: AtomicSink) -> DataFrame:
+    """The valid events of a finished ingest as a stream with event time. The
+    folders' columns are part of the schema, or the file source would miss them."""
+    folders = T.StructType([*INGESTED.fields, T.StructField("batch_id", T.LongType()), T.StructField("valid", T.BooleanType()),
+                            T.StructField("event_date", T.DateType())])
+    return (sink.spark.readStream.schema(folders).option("basePath", sink.data).parquet(sink.files()).select(*INGESTED.names)
+            .withColumn("ts", event_time(F.col("ts_text"))))
 
 
 def ingested_stream(spark, sink: str, max_files_per_trigger: int | None = None) -> DataFrame:
