@@ -255,6 +255,45 @@ def crawled_lines(t: Tables) -> DataFrame:
                          score.alias("score_line"))
 
 
+PAGE_ORDERS = 1 << 18  # a film's reviews of so many consecutive orders share a page
+
+
+def film_pages(t: Tables, rated: DataFrame | None = None) -> DataFrame:
+    """(page_id, html): pages of a film with its scores, facts and reviews, a page
+    for every ``PAGE_ORDERS`` order numbers, so that no page grows with the data.
+
+    Some reviews give no points, some quote another review; list items go
+    unclosed, lists and reviews hold lists and reviews of their own, a script
+    quotes a tag, and a review stands outside the list of reviews."""
+    r = ratings(t) if rated is None else rated
+    rows = (r.withColumn("_pk", F.expr(f"movie_id div {ID_STRIDE}"))
+            .join(t.customer.select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id"))
+    points = F.when(F.col("order_key") % 37 == 0, F.lit("")).otherwise(
+        F.concat(F.lit("<span class='big points'>"), F.col("rating").cast("int").cast("string"), F.lit("/10</span>")))
+    quote = F.when(F.col("line_no") % 3 == 0, F.lit(
+        '<div class="quote"><div class="review"><div class="user">someone</div><span class="points">1/10</span></div></div>')).otherwise(F.lit(""))
+    review = F.concat(F.lit('<div class="review"><div class="user">'), F.col("c_name"), F.lit('</div><div class="text-xs date">'),
+                      F.date_format("ts", "yyyy-MM-dd"), F.lit("</div><p>seen it<br>"), points, quote, F.lit("</div>"))
+    page = F.col("_pk") * (1 << 20) + F.expr(f"order_key div {PAGE_ORDERS}")
+    lists = rows.groupBy("_pk", page.alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("order_key", "line_no", review.alias("h")))).alias("_r"))
+    n_nations = t.nation.agg(F.count(F.lit(1))).scalar()
+    nations = t.nation.select(F.col("n_nationkey").alias("_nk"), "n_name")
+    film = (t.part.select(F.col("p_partkey").alias("_pk"), "p_name", "p_type", "p_size").withColumn("_n", n_nations)
+            .withColumn("_nk", (F.col("_pk") % F.col("_n")).cast("int")).join(nations, "_nk", "left"))
+    own = F.when(F.col("_pk") % 43 == 2, F.lit("n/a")).otherwise(F.concat((F.col("p_size") % 11).cast("string"), F.lit("/10")))
+    country = F.when(F.col("_pk") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("<li>Country: "), F.col("n_name")))
+    html = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title>"), F.col("p_name"),
+        F.lit('</title><script>var t = "<div class=\'reviews\'>";</script></head><body><!-- <div> --><h1>'), F.col("p_name"),
+        F.lit('</h1><div class="mt-1 scores"><div><img src="a>b.png"><span>'), own,
+        F.lit('</span></div><div><svg class="h-auto"></svg><b>'), ((F.col("p_size") + 3) % 11).cast("string"),
+        F.lit('/10</b></div></div><div class="info"><ul><li>Genre: '), F.col("p_type"),
+        F.lit("<ul><li>Genre: none</li><li>Year: 1</ul></li><li>Year: "), (F.col("p_size") + 1970).cast("string"), country,
+        F.lit("</ul></div><p>all reviews<div class='grid reviews'>"), F.array_join(F.transform("_r", lambda x: x["h"]), "\n"),
+        F.lit('</div><div class="side"><div class="review"><div class="user">ad</div><span class="points">9/10</span></div></div></body></html>'))
+    return lists.join(film, "_pk").select("page_id", html.alias("html"))
+
+
 def damaged_pages(t: Tables) -> DataFrame:
     """``pages`` with some titles and headings lost."""
     lost = F.when(F.col("page_id") % 50 == 7, F.regexp_replace("html", r"(?s)<title>.*?</title>", "")) \
@@ -369,7 +408,7 @@ MATERIALIZED = ("movies_raw", "credits_raw", "ratings", "links", "rating_events"
 # argument) when materializing: the upstream join or aggregation -- e.g. the
 # line-item x order join behind ``ratings`` -- then runs once per session.
 UPSTREAM = {"recommendations": ("rated", "ratings"), "recommendation_lists": ("recs", "recommendations"),
-            "event_lines": ("events", "rating_events"), "ratings_text": ("rated", "ratings")}
+            "event_lines": ("events", "rating_events"), "ratings_text": ("rated", "ratings"), "film_pages": ("rated", "ratings")}
 _STORE: dict[tuple, str] = {}
 
 

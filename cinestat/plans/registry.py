@@ -17,11 +17,11 @@ from pyspark.sql import types as T
 from cinestat import schemas as S
 from cinestat.functions import casts, pseudo_json
 from cinestat.operators import (
-    clean, finance, fold_in, ids, inner_product, pages, people, profile, ratings, recommend, sessions,
+    blocks, clean, finance, fold_in, ids, inner_product, pages, people, profile, ratings, recommend, sessions,
 )
 from cinestat.operators.report import middle
 from cinestat.operators.topk import top_k
-from cinestat.plans.canonical import Canonical
+from cinestat.plans.canonical import ID_STRIDE, PAGE_ORDERS, Canonical
 from cinestat.plans.sql import with_ctes
 from cinestat.sources import io
 from cinestat.sources.tables import Tables
@@ -1142,6 +1142,38 @@ def q_page_items(c, t):
     return pages.page_items(t.pages)
 
 
+_FILM_PAGE_SQL = f"CAST((movie_id // {ID_STRIDE}) * {1 << 20} + order_key // {PAGE_ORDERS} AS BIGINT)"
+
+
+def _film_pages(c) -> DataFrame:
+    return c.stored("film_pages", c.film_pages)
+
+
+@query("film_reviews", "H3 H2 F22", f"""
+SELECT page_id, pos, user_name, rating, date FROM (
+  SELECT {_FILM_PAGE_SQL} AS page_id, c.c_name AS user_name, strftime(r.ts, '%Y-%m-%d') AS date, r.order_key,
+         CASE WHEN r.order_key % 37 <> 0 THEN r.rating END AS rating,
+         CAST(row_number() OVER (PARTITION BY {_FILM_PAGE_SQL} ORDER BY r.order_key, r.line_no, CAST(CAST(r.rating AS INTEGER) AS VARCHAR) || '/') AS INTEGER) AS pos
+  FROM ratings r JOIN customer c ON c.c_custkey = r.user_id) WHERE rating IS NOT NULL""")
+def q_film_reviews(c, t):
+    """User, date and points of every review out of the film pages; reviews
+    without points are left out, as the crawler does."""
+    found = blocks.review_rows(_film_pages(c)).where(F.col("rating").isNotNull())
+    return found.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query("film_fields", "H2 F22 F23", f"""
+SELECT DISTINCT {_FILM_PAGE_SQL} AS page_id, p.p_name AS name, p.p_type AS genres, CAST(p.p_size + 1970 AS INTEGER) AS year,
+       CASE WHEN p.p_partkey % 5 <> 0 THEN n.n_name END AS country,
+       CASE WHEN p.p_partkey % 43 <> 2 THEN CAST(p.p_size % 11 AS DOUBLE) END AS own_score,
+       CAST((p.p_size + 3) % 11 AS DOUBLE) AS other_score
+FROM ratings r JOIN part p ON p.p_partkey = r.movie_id // {ID_STRIDE}
+JOIN nation n ON n.n_nationkey = p.p_partkey % (SELECT count(*) FROM nation)""")
+def q_film_fields(c, t):
+    """Name, genre, year, country and both scores out of the film pages."""
+    return blocks.film_fields(_film_pages(c))
+
+
 @query("prefix_cutoff", "W4 D21", f"""
 SELECT user_id, event_id, strftime(ts, '{TS_FMT_SQL}') AS ts, event_type FROM (
   SELECT *, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (
