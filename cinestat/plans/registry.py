@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from cinestat import schemas as S
 from cinestat.functions import casts, pseudo_json
+from cinestat.functions.people import names
 from cinestat.operators import (
-    blocks, clean, finance, fold_in, ids, inner_product, pages, people, profile, ratings, recommend, sessions,
+    blocks, clean, finance, fold_in, ids, inner_product, pages, people, profile, ratings, recommend, sessions, sketches,
 )
 from cinestat.operators.report import middle
 from cinestat.operators.topk import top_k
@@ -562,6 +563,50 @@ def q_genre_roi_w(c, t):
     return finance.genre_roi_winsor(_movie_genre(c), MIN_FILMS)
 
 
+def _genre_year(c) -> DataFrame:
+    return finance.with_roi(_final(c)).select(F.explode(names("genres_parsed")).alias("genre"), "release_year", "roi")
+
+
+def _genre_medians(c) -> DataFrame:
+    """Median ROI of every genre, merged from stored sketches a genre and year."""
+    parts = c.stored("roi_sketches", lambda: sketches.quantile_parts(_genre_year(c), ["genre", "release_year"], "roi"))
+    whole = sketches.merged_quantiles(parts, ["genre"], {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return whole.where(F.col("n") >= MIN_FILMS)
+
+
+@query("genre_quantiles", "V26 A10")
+def q_genre_quantiles(c, t):
+    """genre, n, quartiles of ROI from merged sketches (values that no SQL gives)."""
+    return _genre_medians(c)
+
+
+@query("genre_medians", "V26 V27 A10 P13", f"""
+SELECT genre, count(roi) AS n, TRUE AS within FROM movie_genre GROUP BY genre HAVING count(roi) >= {MIN_FILMS}""")
+def q_genre_medians(c, t):
+    """Whether each genre's sketched median has a true rank within the sketch's
+    error of one half."""
+    return sketches.rank_within(_genre_year(c), ["genre"], "roi", _genre_medians(c), "median", 0.5)
+
+
+@query("coverage_sketches", "A2 A16 V5 V31", """
+SELECT 'rated' AS what, count(DISTINCT movie_id) AS n, TRUE AS within FROM ratings
+UNION ALL SELECT 'linked', count(DISTINCT movieId), TRUE FROM links
+UNION ALL SELECT 'both', count(DISTINCT movie_id), TRUE FROM ratings WHERE movie_id IN (SELECT movieId FROM links)""")
+def q_coverage_sketches(c, t):
+    """Rated and linked ids, and both, from theta sketches a year and a slot,
+    against exact counts: ``within`` the stated error (exact for small sets)."""
+    rated = c.ratings().select(F.col("movie_id").cast("long").alias("id"), F.year("ts").alias("part"))
+    linked = c.links().select(F.col("movieId").cast("long").alias("id"), (F.col("movieId") % 10).alias("part"))
+    told = sketches.coverage(sketches.distinct_parts(rated, ["part"], "id"), sketches.distinct_parts(linked, ["part"], "id"))
+    r, n = rated.select("id").distinct(), linked.select("id").distinct()
+    exact = (r.withColumn("a", F.lit(1)).join(n.withColumn("b", F.lit(1)), "id", "full")
+             .agg(F.count("a").alias("a"), F.count("b").alias("b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("c")))
+    both = exact.withColumn("told", F.struct(*(told.select(x).scalar().alias(x) for x in ("n_left", "n_right", "n_both"))))
+    row = lambda what, n, s: F.struct(F.lit(what).alias("what"), F.col(n).alias("n"),
+                                      (F.abs(F.col(f"told.{s}") - F.col(n)) <= sketches.THETA_ERROR * F.greatest(n, F.lit(0))).alias("within"))
+    return both.select(F.inline(F.array(row("rated", "a", "n_left"), row("linked", "b", "n_right"), row("both", "c", "n_both"))))
+
+
 # ---------------------------------------------------------------- people
 
 def _people(c, rule="strict"):
