@@ -67,10 +67,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths: a source is a top directory, a language one in it."""
+    """The table has no paths: a source is a top directory, a language one in it.
+    Neither is a project's, so a directory is licensed by files named as licences
+    alone, and not by a document that happens to hold a licence's text."""
     docs = read_table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return licenses.scan(docs.select("doc_id", "text", path.alias("path")))
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path")), files_by_text=False)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
