@@ -26,14 +26,14 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinestat.llm.common import arrow_map, ascii_lower, fresh, named, prepare, written
-from cinestat.llm.membership import split_by_list
 
 COUNTERS = 1024
 # partitions whose summaries one merge task reads
+ROWS_A_BLOCK = 1 << 16  # rows made from a counted repetition at once
 MERGE_WIDTH = 64
 
 
@@ -131,41 +131,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = written(exact.where(F.col("group_size") > frequent), "dedup-winners")
     marked = rows.join(F.broadcast(winners), "digest", "left")
     out = ["doc_id", "digest", "keep_id", "group_size", "kept"]
+    # below the frequent ones a group has at most N / counters rows: counted, then joined back
+    cold = marked.where(F.col("group_size").isNull()).select("doc_id", "digest")
+    sizes = cold.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
+    told = marked.where(F.col("group_size").isNotNull()).unionByName(cold.join(sizes, "digest"))
     at_keep = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    hot = marked.where(F.col("group_size").isNotNull())
-    lost = hot.where(~at_keep).withColumn("kept", F.lit(False))
+    lost = told.where(~at_keep).withColumn("kept", F.lit(False))
     # usually one row a digest; repeated rows are counted before the shuffle, and one of them stays
-    stay = (hot.where(at_keep).groupBy("digest", "doc_id", "keep_id", "group_size").agg(F.count(F.lit(1)).alias("copies"))
-            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-            .withColumn("kept", F.col("copy") == 1))
-    group = Window.partitionBy("digest")
-    cold = (marked.where(F.col("group_size").isNull()).select("doc_id", "digest")
-            .withColumn("keep_id", F.max("doc_id").over(group))
-            .withColumn("group_size", F.count(F.lit(1)).over(group))
-            .withColumn("kept", F.row_number().over(group.orderBy(F.col("doc_id").desc_nulls_last())) == 1))
-    return lost.select(out).unionByName(stay.select(out)).unionByName(cold.select(out))
+    stay = (told.where(at_keep).groupBy("digest", "doc_id", "keep_id", "group_size").agg(F.count(F.lit(1)).alias("copies"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {ROWS_A_BLOCK}"))))
+            .withColumn("copy", F.explode(F.sequence(F.col("block") * ROWS_A_BLOCK, F.least(F.col("copies"), (F.col("block") + 1) * ROWS_A_BLOCK) - 1)))
+            .withColumn("kept", F.col("copy") == 0))
+    return lost.select(out).unionByName(stay.select(out))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       counters: int = COUNTERS) -> DataFrame:
-    """``docs`` without the rows ``exact_groups`` drops, all columns as they are."""
+    """``docs`` without the rows ``exact_groups`` drops, all columns as they are.
+    Rows are decided by id and digest; the list of those to go is anti-joined."""
     groups = written(exact_groups(docs, id_col, text_col, counters), "dedup-groups")
-    dig, key, k_id, k_digest = fresh(docs, "digest", "key", "listed_id", "listed_digest")
+    dig, k_id, k_digest = fresh(docs, "digest", "listed_id", "listed_digest")
     per_key = groups.groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("copies"))
-    odd = written(per_key.where(~F.col("stays") | (F.col("copies") > 1))
-                  .withColumn("key", _id_key(F.col("doc_id"))), "dedup-decisions")
-    sure, rest = split_by_list(docs.withColumn(key, _id_key(named(id_col))), key, odd, "key")
-    # few rows: the decided ones and the filter's false positives
-    rest = rest.withColumn(dig, text_digest(named(text_col)))
+    listed = written(per_key.where(~F.col("stays") | (F.col("copies") > 1))
+                     .select(F.col("doc_id").alias(k_id), F.col("digest").alias(k_digest), "stays"), "dedup-decisions")
+    rows = docs.withColumn(dig, text_digest(named(text_col)))
     match = named(id_col).eqNullSafe(named(k_id)) & (named(dig) == named(k_digest))
-    pairs = odd.select(F.col("doc_id").alias(k_id), F.col("digest").alias(k_digest), "stays")
-    left = sure.unionByName(rest.join(pairs, match, "left_anti").drop(dig))
-    if odd.where("stays").isEmpty():
-        return left.drop(key)
+    left = rows.join(listed, match, "left_anti").drop(dig)
+    again = listed.where("stays")
+    if again.isEmpty():
+        return left
     # repeated rows of a kept document: one of each stays
-    again = rest.join(pairs.where("stays"), match, "left_semi").dropDuplicates([id_col, dig])
-    return left.unionByName(again.drop(dig)).drop(key)
-
-
-def _id_key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.lit(""))
+    return left.unionByName(rows.join(again, match, "left_semi").dropDuplicates([id_col, dig]).drop(dig))

@@ -7,10 +7,17 @@ of one text count once) that hold a line are counted. A line in more documents
 than its host's limit is boilerplate; it is removed from every document but the
 one with the smallest id. A document left with too little is rejected.
 
-A host's limit is ``max(min_docs, share * distinct documents of the host)``, so
-a host has at most (lines per document / share) such lines. They are kept as one
-array per host and joined to the documents by host: by broadcast if the
-planner's size check allows, else by a skew-split sort-merge join.
+The limit is ``share`` of the host's distinct documents, at least ``min_docs``;
+for lines of ``LONG_LINE`` words or more it is at most ``MAX_DOCS``. A heading of
+a word or two may well stand in a share of a large host's documents, but a
+sentence that stands in more than a hundred was copied, however large the host:
+without the ceiling the same sentence in the same documents would be common on a
+small host and none on a large one.
+
+Common lines are rows of (host, line), and the documents' lines meet them in a
+join on both, so a host with many common lines is spread over the tasks; a line
+that very many documents hold is split by the planner's skew join. A document
+gets back only the list of its own removed lines.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null host is a host of its own; repeated rows count once; an empty table gives
@@ -31,6 +38,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 MIN_DOCS = 10
 DOC_SHARE = 0.08
+MAX_DOCS = 100
+LONG_LINE = 5
 MIN_LEFT_WORDS = 25
 MIN_LEFT_SHARE = 0.3
 POSITION_BITS = 20
@@ -45,18 +54,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, "[ \\x09-\\x0D]+"), lambda w: w != "")
 
 
-def word_count(text: Column) -> Column:
-    """Words of a short text: starts of runs of other characters."""
-    return F.size(words_of(text)).cast("long")
-
-
 def normalised_line(line: Column) -> Column:
     """Lower case, ends trimmed, inner white space as one blank."""
     return F.lower(F.trim(F.regexp_replace(line, "[ \\x09-\\x0D]+", " ")))
 
 
-def line_hashes(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda x: F.xxhash64(normalised_line(x)))
+def text_lines(text: Column) -> Column:
+    """(line_hash, n_words) of every line, in order; hash and words are those of
+    the normalised line."""
+    return F.transform(F.transform(F.split(text, "\n"), normalised_line),
+                       lambda x: F.struct(F.xxhash64(x).alias("line_hash"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("n_words")))
 
 
 def _covered(starts: Column) -> Column:
@@ -122,43 +129,55 @@ def base_measures(text: Column) -> Column:
         repeat_words(w).alias("n_repeat_words")))
 
 
-def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                 min_docs: int = MIN_DOCS, share: float = DOC_SHARE) -> DataFrame:
-    """(host, line_hash, n_docs, first_id): the lines above their host's limit."""
+def _document(id_col: str, text_col: str, host_col: str) -> list[Column]:
+    """What tells documents apart: host, id, and the text by its hash. Rows that
+    agree in all three are the same document."""
     t = named(text_col)
-    base = docs.select(F.coalesce(named(host_col).cast("string"), F.lit("")).alias("host"), named(id_col).alias("id"),
-                       F.xxhash64(t).alias("doc"), t.alias("text")).where(t.isNotNull())
+    return [F.coalesce(named(host_col).cast("string"), F.lit("")).alias("host"), named(id_col).alias("id"),
+            F.when(t.isNotNull(), F.xxhash64(t)).alias("doc")]
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """host, id, doc, pos, line_hash, n_words: the lines with words."""
+    rows = docs.select(*_document(id_col, text_col, host_col), named(text_col).alias("text")).where(F.col("text").isNotNull())
+    return (rows.select("host", "id", "doc", F.posexplode(text_lines(F.col("text"))).alias("pos", "l"))
+            .select("host", "id", "doc", "pos", "l.line_hash", "l.n_words").where(F.col("n_words") > 0))
+
+
+def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+                 min_docs: int = MIN_DOCS, share: float = DOC_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, line_hash, n_docs, first_id): the lines above their limit."""
+    base = docs.select(*_document(id_col, text_col, host_col)).where(F.col("doc").isNotNull())
     hosts = base.groupBy("host").agg(F.countDistinct("doc").alias("host_docs"))
-    empty = F.xxhash64(F.lit(""))
-    lines = (base.select("host", "id", "doc", F.explode(F.array_distinct(line_hashes(F.col("text")))).alias("line_hash"))
-             .where(F.col("line_hash") != empty))
     # distinct documents first, then lines: no reducer sees all rows of a hot line
-    counted = (lines.groupBy("host", "line_hash", "doc").agg(F.min("id").alias("id"))
-               .groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id"))
+    counted = (_lines(docs, id_col, text_col, host_col)
+               .groupBy("host", "line_hash", "doc").agg(F.min("id").alias("id"), F.max("n_words").alias("n_words"))
+               .groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id"), F.max("n_words").alias("n_words"))
                .where(F.col("n_docs") > min_docs))
-    return (counted.join(hosts, "host")
-            .where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("host_docs")))
-            .select("host", "line_hash", "n_docs", "first_id"))
+    limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("host_docs"))
+    limit = F.when(F.col("n_words") >= LONG_LINE, F.least(limit, F.lit(float(max_docs)))).otherwise(limit)
+    return counted.join(hosts, "host").where(F.col("n_docs") > limit).select("host", "line_hash", "n_docs", "first_id")
 
 
-def _kept_lines(text: Column, doc_id: Column, hot: Column) -> Column:
-    """The text without its host's common lines."""
-    mine = F.transform(F.filter(hot, lambda h: ~h["first_id"].eqNullSafe(doc_id)), lambda h: h["line_hash"])
-    return F.when(F.coalesce(F.size(hot), F.lit(0)) <= 0, text).otherwise(let(mine, lambda m: F.array_join(
-        F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(m, F.xxhash64(normalised_line(x)))), "\n")))
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+                  min_docs: int = MIN_DOCS, share: float = DOC_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, id, doc, lost, gone) of the documents that lose lines: their words
+    and the lines' hashes. Written once."""
+    prepare(docs.sparkSession)
+    common = written(common_lines(docs, id_col, text_col, host_col, min_docs, share, max_docs), "common-lines")
+    hit = (_lines(docs, id_col, text_col, host_col).join(common.select("host", "line_hash", "first_id"), ["host", "line_hash"])
+           .where(~F.col("first_id").eqNullSafe(F.col("id"))))
+    # a repeated row has the same lines at the same places
+    once = hit.groupBy("host", "id", "doc", "pos").agg(F.max("line_hash").alias("line_hash"), F.max("n_words").alias("n_words"))
+    return written(once.groupBy("host", "id", "doc").agg(F.sum("n_words").alias("lost"), F.collect_set("line_hash").alias("gone")),
+                   "removed-lines")
 
 
-def with_clean_text(docs: DataFrame, clean: str, id_col: str = "doc_id", text_col: str = "text",
-                    host_col: str = "source", min_docs: int = MIN_DOCS, share: float = DOC_SHARE) -> DataFrame:
-    """``docs`` with a column ``clean``: the text without common lines."""
-    prepare(docs.sparkSession)
-    host, hot = fresh(docs, "host", "hot")
-    lines = written(common_lines(docs, id_col, text_col, host_col, min_docs, share), "common-lines")
-    per_host = written(lines.groupBy(F.col("host").alias(host)).agg(
-        F.collect_list(F.struct("line_hash", "first_id")).alias(hot)), "common-lines-host")
-    rows = docs.withColumn(host, F.coalesce(named(host_col).cast("string"), F.lit("")))
-    return (rows.join(per_host, host, "left")
-            .withColumn(clean, _kept_lines(named(text_col), named(id_col), named(hot))).drop(host, hot))
+def _same(a: list[str], b: list[str]) -> Column:
+    out = F.lit(True)
+    for x, y in zip(a, b, strict=True):
+        out = out & F.col(x).eqNullSafe(F.col(y))
+    return out
 
 
 def base_failed(m: Column) -> Column:
@@ -173,36 +192,45 @@ def depleted(m: Column, left: Column, min_words: int = MIN_LEFT_WORDS, min_share
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, left_words, kept), one row per row of ``docs``."""
-    plain = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), named(host_col).alias("source"))
-    rows = with_clean_text(plain, "clean", "doc_id", "text", "source")
-    measured = rows.select("doc_id", base_measures(F.col("text")).alias("m"),
-                           F.when(F.col("clean") == F.col("text"), F.lit(None).cast("long"))
-                           .otherwise(word_count(F.coalesce("clean", F.lit("")))).alias("left_words"))
+    return _judged(docs, removed_lines(docs, id_col, text_col, host_col), id_col, text_col, host_col).drop("host", "doc", "gone")
+
+
+def _judged(docs: DataFrame, removed: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """The verdicts, with host, doc and the lines to remove. Texts are only read
+    here; what is joined are their measures."""
+    measured = docs.select(*_document(id_col, text_col, host_col), base_measures(named(text_col)).alias("m"))
+    lost = removed.select(F.col("host").alias("_h"), F.col("id").alias("_i"), F.col("doc").alias("_d"), "lost", "gone")
     m = F.col("m")
-    left = F.coalesce("left_words", m["n_words"])
+    rows = measured.join(lost, _same(["host", "id", "doc"], ["_h", "_i", "_d"]), "left").withColumn(
+        "left_words", m["n_words"] - F.coalesce("lost", F.lit(0)))
     failed = base_failed(m)
-    return measured.select("doc_id", "m.*", failed.alias("base_failed"), left.alias("left_words"),
-                           (~failed & ~depleted(m, left)).alias("kept"))
+    return rows.select(F.col("id").alias("doc_id"), "m.*", failed.alias("base_failed"), "left_words",
+                       (~failed & ~depleted(m, F.col("left_words"))).alias("kept"), "host", "doc", "gone")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
               length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` without rejected documents; the others lose their host's common
     lines (``length_col`` follows the text), all else as it is."""
-    clean, m, left = fresh(docs, "clean", "measures", "left")
-    rows = with_clean_text(docs, clean, id_col, text_col, host_col)
-    rows = rows.withColumn(m, base_measures(named(text_col)))
-    rows = rows.withColumn(left, F.when(named(clean) == named(text_col), named(m)["n_words"])
-                           .otherwise(word_count(F.coalesce(named(clean), F.lit("")))))
-    rows = rows.where(~base_failed(named(m)) & ~depleted(named(m), named(left)))
-    changed = ~named(clean).eqNullSafe(named(text_col))
+    removed = removed_lines(docs, id_col, text_col, host_col)
+    # the measures once; then documents meet the verdict on their own text, and most have no line to lose
+    verdict = written(_judged(docs, removed, id_col, text_col, host_col)
+                      .select(*(F.col(c).alias(f"_v_{c}") for c in ("host", "doc_id", "doc", "gone")), "kept")
+                      .where("kept").drop("kept").dropDuplicates(["_v_host", "_v_doc_id", "_v_doc"]), "kept-documents")
+    host, i, doc, gone, lines = fresh(docs, "host", "id", "doc", "gone", "lines")
+    verdict = verdict.select(*(F.col(f"_v_{c}").alias(n) for c, n in (("host", f"{host}v"), ("doc_id", f"{i}v"), ("doc", f"{doc}v"), ("gone", gone))))
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(_document(id_col, text_col, host_col), (host, i, doc), strict=True)))
+    rows = keyed.join(verdict, _same([host, i, doc], [f"{host}v", f"{i}v", f"{doc}v"]))
+    clean = F.when(named(gone).isNull(), named(text_col)).otherwise(F.array_join(F.filter(
+        F.split(named(text_col), "\n"), lambda x: ~F.array_contains(named(gone), F.xxhash64(normalised_line(x)))), "\n"))
+    rows = rows.withColumn(lines, clean)
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(named(clean).alias(c))
+            out.append(named(lines).alias(c))
         elif c == length_col:
             kind = docs.schema[c].dataType
-            out.append(F.when(changed, F.length(named(clean)).cast(kind)).otherwise(named(c)).alias(c))
+            out.append(F.when(named(gone).isNotNull(), F.length(named(lines)).cast(kind)).otherwise(named(c)).alias(c))
         else:
             out.append(named(c))
     return rows.select(out)

@@ -29,12 +29,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinestat.llm.common import arrow_map, fresh, held_out, named, prepare, row_key, written
-from cinestat.llm.membership import without_listed
+from cinestat.llm.common import arrow_map, fresh, held_out, named, prepare, written
 
 POOL_SHRINKAGE = 0.5
 DIAGONAL_SHRINKAGE = 0.1
@@ -88,6 +88,10 @@ class Discriminant:
     slope: float = 1.0
     offset: float = 0.0
 
+    def __post_init__(self):
+        # of the triangular factors, once: a distance is then one product
+        self.inverses = [np.linalg.inv(f) for f in self.factors]
+
     @classmethod
     def fit(cls, counts: np.ndarray, sums: np.ndarray, outer: np.ndarray, pool: float = POOL_SHRINKAGE,
             diagonal: float = DIAGONAL_SHRINKAGE) -> Discriminant | None:
@@ -107,8 +111,7 @@ class Discriminant:
     def difference(self, x: np.ndarray) -> np.ndarray:
         """log p(x | 1) - log p(x | 0), a column of squared Mahalanobis
         distances per class."""
-        d = [((np.linalg.solve(f, (x - m).T)) ** 2).sum(0) + det
-             for m, f, det in zip(self.means, self.factors, self.log_dets, strict=True)]
+        d = [((g @ (x - m).T) ** 2).sum(0) + det for m, g, det in zip(self.means, self.inverses, self.log_dets, strict=True)]
         return 0.5 * (d[0] - d[1])
 
     def feature(self, x: np.ndarray) -> np.ndarray:
@@ -224,12 +227,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, limit: float, id_col: str = "doc_id", text_col: str = "text",
               label_col: str = "quality") -> DataFrame:
     """``docs`` without documents that score below ``limit``, all columns as
-    they are. The score depends on the text alone, so rows with one key (id, or
-    text where the id is null) are judged by their worst."""
-    (key,) = fresh(docs, "key")
-    rows = docs.withColumn(key, row_key(named(id_col), named(text_col)))
+    they are. Every row is judged by its own text: the statistics are written as
+    a column beside it, and the model filters on that column."""
     prepare(docs.sparkSession)
-    stats = written(document_statistics(rows, key, text_col), "quality-stats")
-    train = written(training_rows(stats, labels, label_col), "quality-training")
-    poor = written(score(stats, fit(train)).where(F.col("score") < limit).select("doc_id").distinct(), "quality-poor")
-    return without_listed(rows, key, poor, "doc_id").drop(key)
+    (x,) = fresh(docs, "x")
+
+    @F.pandas_udf("array<double>")
+    def measured(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t or "") for t in texts])
+
+    rows = written(docs.withColumn(x, measured(named(text_col))), "quality-stats")
+    stats = rows.select(named(id_col).cast("long").alias("doc_id"), named(x).alias("x"))
+    model = fit(written(training_rows(stats, labels, label_col), "quality-training"))
+    dim = len(STATS)
+
+    @F.pandas_udf("boolean")
+    def good(values: pd.Series) -> pd.Series:
+        v = np.concatenate(values.to_list()).reshape(-1, dim) if len(values) else np.zeros((0, dim))
+        return pd.Series(np.full(len(v), model) if isinstance(model, float) else model.score(v)) >= limit
+
+    return rows.where(good(named(x))).drop(x)

@@ -189,9 +189,11 @@ l AS (SELECT rid, host, doc_id, doc, lower(trim(regexp_replace(line, '{_SPACES}'
 hosts AS (SELECT host, count(DISTINCT doc) AS host_docs FROM d WHERE NOT no_text GROUP BY host),
 common AS (
   SELECT host, nl, min(id) AS first_id, count(*) AS n_docs FROM (
-    SELECT host, nl, doc, min(doc_id) AS id FROM l WHERE nl <> '' GROUP BY host, nl, doc)
+    SELECT host, nl, doc, min(doc_id) AS id, max(n) AS n FROM l WHERE nl <> '' GROUP BY host, nl, doc)
   JOIN hosts USING (host) GROUP BY host, nl, host_docs
-  HAVING count(*) > greatest({line_rules.MIN_DOCS}::DOUBLE, {line_rules.DOC_SHARE}::DOUBLE * host_docs)),
+  HAVING count(*) > CASE WHEN max(n) >= {line_rules.LONG_LINE}
+    THEN least({line_rules.MAX_DOCS}::DOUBLE, greatest({line_rules.MIN_DOCS}::DOUBLE, {line_rules.DOC_SHARE}::DOUBLE * host_docs))
+    ELSE greatest({line_rules.MIN_DOCS}::DOUBLE, {line_rules.DOC_SHARE}::DOUBLE * host_docs) END),
 gone AS (SELECT l.rid, sum(l.n) AS n FROM l JOIN common c ON c.host = l.host AND c.nl = l.nl
          WHERE c.first_id IS DISTINCT FROM l.doc_id GROUP BY l.rid),
 m AS (

@@ -32,11 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinestat.llm.common import UPPER, arrow_map, fresh, named, prepare, row_key, written
-from cinestat.llm.membership import split_by_list
 
 SHINGLE = 3
 RADIUS = 3
@@ -151,34 +150,43 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, row_key, fp) for every row; fp as a signed 64-bit integer."""
+    """(doc_id, row_key, text_key, fp) for every row; fp as a signed 64-bit
+    integer, ``text_key`` a hash that tells texts of one id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row_key"),
-                 pa.array([_signed(fingerprint(t, shingle)) for t in texts], pa.int64())], names=["doc_id", "row_key", "fp"])
+                [b.column("doc_id"), b.column("row_key"), b.column("text_key"),
+                 pa.array([_signed(fingerprint(t, shingle)) for t in texts], pa.int64())], names=["doc_id", "row_key", "text_key", "fp"])
 
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), row_key(named(id_col), named(text_col)).alias("row_key"),
-                       named(text_col).alias("text"))
-    return arrow_map(rows, run, "doc_id long, row_key long, fp long")
+                       text_key(named(text_col)).alias("text_key"), named(text_col).alias("text"))
+    return arrow_map(rows, run, "doc_id long, row_key long, text_key long, fp long")
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
-    """(a, b): links between the representatives of distinct fingerprints
-    (``fps``: fp, rep), enough of them to connect every group."""
+    """(a, b): links between distinct fingerprints (``fps``: fp), enough of them
+    to connect every group."""
     spark = fps.sparkSession
     levels = mask_tree(DEPTH, radius)
     most = 1 << max(BITS - (m % (1 << BITS)).bit_count() for _, _, m in levels[-1])
     if limit < most:
         raise ValueError(f"limit must be at least {most}: the last level's buckets may hold as many fingerprints")
     links = None
-    rows = fps.select(F.lit(0).alias("parent"), "fp", "rep")
+    rows = fps.select("fp", F.col("fp").alias("rep"))
     for level in levels:
-        masks = spark.createDataFrame([(p, t, _signed(m)) for p, t, m in level], "parent int, table int, mask long")
-        # 15, 225 or 3375 masks: a fixed bound
-        keyed = (rows.join(F.broadcast(masks), "parent")
+        if "parent" not in rows.columns:  # the first level's masks are a literal
+            masked = rows.select("*", F.inline(F.array(*(F.struct(F.lit(t).alias("table"), F.lit(_signed(m)).alias("mask")) for _, t, m in level))))
+        else:
+            # 225 or 3375 masks: a fixed bound
+            masks = spark.createDataFrame([(p, t, _signed(m)) for p, t, m in level], "parent int, table int, mask long")
+            masked = rows.join(F.broadcast(masks), "parent")
+        keyed = (masked
                  .select("table", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep"))
         large = written(keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
                         .select("table", "key"), "simhash-large")
@@ -217,32 +225,42 @@ def connected(links: DataFrame) -> DataFrame:
         e = written(small, "components")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, limit: int) -> DataFrame:
+    """(doc_id, row_key, text_key, fp, root): root is the smallest fingerprint of
+    the row's group."""
+    prepare(docs.sparkSession)
+    rows = written(fingerprints(docs, id_col, text_col, shingle), "simhash-rows")
+    fps = written(rows.select("fp").distinct(), "simhash-distinct")
+    roots = connected(near_links(fps, radius, limit)).withColumnRenamed("node", "fp")
+    return written(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-groups")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                 radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
     """(doc_id, row_key, fp, component), one row per row of ``docs``;
-    ``component`` is the smallest row key of the group."""
-    prepare(docs.sparkSession)
-    rows = written(fingerprints(docs, id_col, text_col, shingle), "simhash-rows")
-    fps = written(rows.groupBy("fp").agg(F.min("row_key").alias("rep")), "simhash-distinct")
-    roots = connected(near_links(fps, radius, limit)).withColumnRenamed("node", "rep")
-    by_fp = written(fps.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component")), "simhash-groups")
-    return rows.join(by_fp, "fp").select("doc_id", "row_key", "fp", "component")
+    ``component`` is the smallest row key of the group. Fingerprints are linked,
+    not rows: texts that share an id do not join their groups."""
+    groups = _grouped(docs, id_col, text_col, shingle, radius, limit)
+    least = groups.groupBy("root").agg(F.min("row_key").alias("component"))
+    return groups.join(least, "root").select("doc_id", "row_key", "fp", "component")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                      radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id;
-    all columns as they are."""
-    groups = written(near_groups(docs, id_col, text_col, shingle, radius, limit), "simhash-decisions")
-    per_key = groups.groupBy("row_key").agg((F.min("component") == F.first("row_key")).alias("stays"),
-                                            F.count(F.lit(1)).alias("copies"))
-    key, k = fresh(docs, "key", "listed")
-    odd = written(per_key.where(~F.col("stays") | (F.col("copies") > 1)).withColumnRenamed("row_key", k), "simhash-drops")
-    rows = docs.withColumn(key, row_key(named(id_col), named(text_col)))
-    sure, rest = split_by_list(rows, key, odd, k)
-    left = sure.unionByName(rest.join(odd.select(k), named(key) == named(k), "left_anti"))
-    again = odd.where("stays")
+    """``docs`` with one document of each group, the one with the smallest id
+    (of several texts with that id, the one with the smallest hash); all columns
+    as they are. Rows are decided by id and text."""
+    groups = _grouped(docs, id_col, text_col, shingle, radius, limit)
+    first = groups.groupBy("root").agg(F.min(F.struct("row_key", "text_key")).alias("first"))
+    per_key = groups.groupBy("root", "row_key", "text_key").agg(F.count(F.lit(1)).alias("copies")).join(first, "root")
+    key, text, k_key, k_text = fresh(docs, "key", "text_key", "listed_key", "listed_text")
+    stays = F.struct("row_key", "text_key") == F.col("first")
+    listed = written(per_key.where(~stays | (F.col("copies") > 1))
+                     .select(F.col("row_key").alias(k_key), F.col("text_key").alias(k_text), stays.alias("stays")), "simhash-drops")
+    rows = docs.withColumn(key, row_key(named(id_col), named(text_col))).withColumn(text, text_key(named(text_col)))
+    match = (named(key) == named(k_key)) & (named(text) == named(k_text))
+    left = rows.join(listed, match, "left_anti").drop(key, text)
+    again = listed.where("stays")
     if again.isEmpty():
-        return left.drop(key)
-    kept = rest.join(again.select(k), named(key) == named(k), "left_semi").dropDuplicates([key])
-    return left.drop(key).unionByName(kept.drop(key))
+        return left
+    return left.unionByName(rows.join(again, match, "left_semi").dropDuplicates([key, text]).drop(key, text))

@@ -20,6 +20,7 @@ ODD = [
     (7, "einzig Ärger über Öl. <|endoftext|> 42!", "de", "c", 38, "r", True, 8, 1),
     (7, "einzig Ärger über Öl. <|endoftext|> 42!", "de", "c", 38, "r", True, 8, 1),
     (8, "solo", "es", "c", 4, "s", True, 9, 1),
+    (8, "one id, another text of other words altogether", "es", "c", 46, "s", True, 9, 1),
     (None, "solo", "es", "c", 4, "t", True, 9, 1),
     (None, None, "es", None, None, "t", None, None, None),
 ]
