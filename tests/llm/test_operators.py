@@ -258,10 +258,11 @@ def test_large_buckets_are_split_without_losing_links(spark):
             x ^= 1 << b
         fps.add(x)
     fps = sorted(fps)
-    df = spark.createDataFrame([(simhash._signed(x), i) for i, x in enumerate(fps)], "fp long, rep long")
+    df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
     links = simhash.near_links(df, limit=256)
-    got = {r["node"]: r["root"] for r in rows(simhash.connected(links))}
-    assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps)
+    root = {r["node"]: r["root"] for r in rows(simhash.connected(links))}
+    groups = [root.get(simhash._signed(x), simhash._signed(x)) for x in fps]
+    assert [groups.index(g) for g in groups] == brute_components(fps)
 
 
 # --- packing -----------------------------------------------------------------
