@@ -50,7 +50,7 @@ from cinestat.llm.bytebpe import byte_of_character
 from cinestat.llm.common import arrow_map, named, prepare
 
 LEXICON_WORDS = 120_000
-LOCAL_WORDS = 40_000
+LOCAL_WORDS = 320_000
 CACHE_LIMIT = 400_000
 # bytes of words that are merged side by side, and words in one such block
 SHORT = 32
@@ -435,24 +435,29 @@ def _count_words(path: str, keep: int):
                 else:
                     counts[w] += n
             chunks.clear()
-            if len(counts) > 8 * keep:
-                for w, _ in counts.most_common()[4 * keep:]:
-                    del counts[w]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words, n = list(counts), list(counts.values())
+            counts.clear()
+            for a in range(0, len(words), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"word": pa.array(words[a:a + (1 << 16)], pa.string()),
+                                                  "n": pa.array(n[a:a + (1 << 16)], pa.int64())})
 
         for b in batches:
             for t in b.column("text").to_pylist():
                 chunks.update(bpe.chunks((t or "").lower()))
-            if len(chunks) > 16 * keep:
+            if len(chunks) > 2 * keep:
                 fold()
+                if len(counts) > keep:  # a full counter goes out as partial counts; none is dropped
+                    yield from flush()
         fold()
-        top = counts.most_common(keep)
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()),
-                                          "n": pa.array([n for _, n in top], pa.int64())})
+        yield from flush()
     return run
 
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", local_words: int = LOCAL_WORDS) -> DataFrame:
-    """(word, n) from the whole corpus, each partition's most frequent words."""
+    """(word, n) from the whole corpus: complete counts, whatever the partitions.
+    A task holds about ``local_words`` words at once."""
     found = arrow_map(docs.select(named(text_col).alias("text")), _count_words(path, local_words), "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 

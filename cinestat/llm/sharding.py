@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +106,16 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return maps.where(F.col("version") == version)
 
 
+def newest_map(spark: SparkSession, path: str) -> tuple[int, dict[int, int]] | None:
+    """The newest stored version and its map, a row a slot; None without any."""
+    try:
+        table = load_map(spark, path)
+    except AnalysisException:
+        return None
+    rows = table.select("version", "virtual_slot", "shard").collect()
+    return (rows[0]["version"], {r["virtual_slot"]: r["shard"] for r in rows}) if rows else None
+
+
 def sized_rows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     text = named(text_col)
     return docs.select(named(key_col).alias("doc_id"), row_size(text).alias("size"),
@@ -126,10 +137,20 @@ def assign_shards(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int, map_path: str, key_col: str = "doc_id", text_col: str = "text",
                     slots: int = SLOTS) -> DataFrame:
-    """Build version 1 of the map for ``docs``, store it under ``map_path``, and
-    return (doc_id, size, text_crc32, virtual_slot, shard, slot)."""
+    """(doc_id, size, text_crc32, virtual_slot, shard, slot) under the newest map
+    at ``map_path``: it is edited for the slots' sizes and the number of shards of
+    now and stored as the next version, so rows move only with a slot that had to
+    leave its shard. Without a stored map version 1 is built."""
     spark = prepare(docs.sparkSession)
     rows = written(sized_rows(docs, key_col, text_col, slots), "shard-rows")
     sizes = slot_sizes(rows)
-    save_map(map_table(spark, balanced_map(sizes, shards, slots), sizes, 1), map_path)
-    return assign_shards(rows, load_map(spark, map_path, 1))
+    newest = newest_map(spark, map_path)
+    if newest is None:
+        version, mapping = 1, balanced_map(sizes, shards, slots)
+    else:
+        version, current = newest
+        if len(current) != slots:
+            raise ValueError(f"the map at {map_path} has {len(current)} slots")
+        version, mapping = version + 1, rebalanced_map(current, sizes, shards)
+    save_map(map_table(spark, mapping, sizes, version), map_path)
+    return assign_shards(rows, load_map(spark, map_path, version))

@@ -114,8 +114,9 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         top = marked.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         pick = top if pick is None else pick.unionByName(top)
     texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
-    # two ids and labels per class and row of the sample: 2 * max_rows rows
-    return texts.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"])
+    # two ids and labels per class and row of the sample: 2 * max_rows rows. Of several texts or labels of an id always the same
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "label", "text")).alias("s")
+    return texts.join(F.broadcast(pick), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "s.label", "s.text")
 
 
 def _distinct_ngrams(sizes: tuple[int, ...], buckets: int):

@@ -98,6 +98,37 @@ def test_sharding_balances_bytes_and_numbers_rows(spark, tmp_path):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_the_stored_map_is_taken_up_and_edited(spark, tmp_path):
+    path, body = f"{tmp_path}/map", "word " * 9
+    docs = spark.createDataFrame([(i, body * (1 + i % 5)) for i in range(4000)], "doc_id long, text string")
+    more = docs.unionByName(spark.createDataFrame([(10_000 + i, body) for i in range(1500)], "doc_id long, text string"))
+    steps = [(docs, 5), (docs, 6), (more, 6), (more, 4)]
+    seen = []
+    for k, (df, shards) in enumerate(steps):
+        got = rows(sharding.shard_documents(df, shards, path, slots=512))
+        assert sharding.newest_map(spark, path)[0] == k + 1
+        load, places = Counter(), defaultdict(list)
+        for r in got:
+            load[r["shard"]] += r["size"]
+            places[r["shard"]].append(r["slot"])
+        assert set(load) == set(range(shards)) and max(load.values()) < 1.05 * sum(load.values()) / shards
+        assert all(sorted(v) == list(range(len(v))) for v in places.values())
+        # against the map recomputed from the sizes alone
+        sizes = Counter()
+        for r in got:
+            sizes[r["virtual_slot"]] += r["size"]
+        if k == 0:
+            want = sharding.balanced_map([(v, b, 0) for v, b in sorted(sizes.items())], shards, 512)
+        else:
+            want = sharding.rebalanced_map(seen[-1][1], [(v, b, 0) for v, b in sorted(sizes.items())], shards)
+        assert all(want[r["virtual_slot"]] == r["shard"] for r in got)
+        seen.append(({r["doc_id"]: r["shard"] for r in got}, sharding.newest_map(spark, path)[1]))
+    grown = [i for i, s in seen[0][0].items() if seen[1][0][i] != s]
+    assert grown and all(seen[1][0][i] == 5 for i in grown) and len(grown) < 0.25 * 4000
+    assert len([i for i, s in seen[1][0].items() if seen[2][0][i] != s]) < 0.1 * 4000
+    assert all(seen[3][0][i] == s for i, s in seen[2][0].items() if s < 4 and seen[3][1] == seen[2][1])
+
+
 def test_slot_map_versions_and_growth(spark, odd, empty, tmp_path):
     sizes = [(v, 100 + v % 7, 1) for v in range(0, 512)]
     one = sharding.balanced_map(sizes, 8, 512)
@@ -560,3 +591,43 @@ def test_siblings_are_told_apart_and_licence_files_are_templates():
                 assert m.header(form)[0] == name, form[:80]
             if len(form) > 500:
                 assert m.whole(f"Copyright (c) 2020 Someone Else\n\n{form}")[0] == name, form[:80]
+
+
+def test_word_counts_are_complete_whatever_the_partitions(spark):
+    """No word is lost where every task's counter is full."""
+    words = ["common" + chr(97 + i % 26) + chr(97 + i // 26) for i in range(300)]
+    df = spark.createDataFrame([(i, " ".join(words + [f"only{k}n{i}" for k in range(200)])) for i in range(12)], "doc_id long, text string")
+    want = None
+    for parts in (1, 4, 12):
+        got = {r["word"]: r["n"] for r in rows(lexicon.frequent_words(df.repartition(parts), queries.word_bpe(), local_words=50))}
+        assert sum(n == 12 for w, n in got.items() if w.startswith("common")) >= 290
+        assert want is None or got == want
+        want = got
+
+
+def test_ratios_and_scores_equal_a_plain_classifier(spark):
+    """NB log-count ratios and the fitted scores against numpy on the same rows,
+    with an id that has two texts and one that has two labels."""
+    rng = random.Random(2)
+    make = lambda bad: " ".join(rng.choice(["nasty", "vile"] if bad and rng.random() < 0.3 else ["calm", "kind", "tree", "river"]) for _ in range(12))
+    data = [(i, make(i % 2)) for i in range(120)] + [(3, "calm tree"), (5, "nasty vile")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(4, 1)], "doc_id long, toxic int")
+    sample = {r["doc_id"]: (r["label"], r["text"]) for r in rows(toxicity.sample_rows(docs.repartition(7), labels))}
+    again = {r["doc_id"]: (r["label"], r["text"]) for r in rows(toxicity.sample_rows(docs.repartition(2), labels.repartition(3)))}
+    assert sample == again
+    model = toxicity.fit(toxicity.sample_rows(docs, labels), features=400)
+    grams = {i: set(np.concatenate(list(toxicity.ngram_buckets(t))).tolist()) for i, (_, t) in sample.items()}
+    n = [sum(1 for lab, _ in sample.values() if lab == c) for c in (0, 1)]
+    df = [Counter(g for i, (lab, _) in sample.items() if lab == c for g in grams[i]) for c in (0, 1)]
+    ratio = {g: np.log((df[1][g] + 1) / (n[1] + 2)) - np.log((df[0][g] + 1) / (n[0] + 2)) for g in set(df[0]) | set(df[1])
+             if df[0][g] + df[1][g] >= toxicity.MIN_DOCS}
+    strong = sorted(ratio, key=lambda g: (-abs(ratio[g]) / np.sqrt(1 / (df[1][g] + 1) + 1 / (df[0][g] + 1)), g))[:400]
+    assert set(np.flatnonzero(model.feature >= 0).tolist()) == set(strong)
+    order = sorted(sample)
+    at = {g: k for k, g in enumerate(np.flatnonzero(model.feature >= 0)[np.argsort(model.feature[model.feature >= 0])].tolist())}
+    x = [np.array(sorted(at[g] for g in grams[i] if g in at)) for i in order]
+    scale = np.array([ratio[g] for g in sorted(at, key=at.get)])
+    w, b = toxicity.fit_logistic(x, np.array([sample[i][0] for i in order]), scale)
+    for i, f in zip(order, x):
+        assert model.score(sample[i][1]) == pytest.approx(1 / (1 + np.exp(-(w[f].sum() + b))), abs=1e-6)
