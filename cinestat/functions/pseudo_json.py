@@ -10,7 +10,7 @@ is left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A bare constant that directly follows a quoted key and its colon and is
@@ -37,3 +37,16 @@ def parse(col, schema, repair_text: bool = True) -> Column:
 def schema_of(sample_text: str) -> Column:
     """DDL schema of a sample JSON text (F8)."""
     return F.schema_of_json(F.lit(sample_text))
+
+
+def as_variant(col) -> Column:
+    """List text as a VARIANT with the types of its values; NULL where it cannot
+    be read (F7, F9)."""
+    return F.from_json(repair(col), "variant", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
+
+
+def schema_of_all(df, col) -> DataFrame:
+    """(schema, n): the one schema that covers every readable row of a column of
+    list text, not that of a sample (F8). An aggregate with a partial phase."""
+    v = as_variant(col)
+    return df.agg(F.schema_of_variant_agg(v).alias("schema"), F.count(v).alias("n"))

@@ -60,28 +60,28 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], acc
     """(column_name, p, value): the discrete quantiles of several columns,
     exact at any size (NULLs ignored; a column without values has NULLs).
 
-    One sketch per column brackets all ranks; one row per column and rank, a
-    fixed number, is broadcast to the values. Rows below each bracket are
-    counted map-side, and only the bracket's distinct values (about
-    6 n / accuracy a rank) are numbered."""
+    One sketch per column brackets all ranks; its one row per column is
+    broadcast to the values. One aggregate counts the values below every bracket,
+    and only values inside a bracket (about 6 n / accuracy a rank) are rows of
+    their own, which are counted and numbered."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_x")) for c in cols]))
     x = df.select(pairs.alias("_p")).select("_p.*").where(F.col("_x").isNotNull())
     eps = 3.0 / accuracy
     marks = [m for p in ps for m in (max(p - eps, 0.0), min(p + eps, 1.0))]
     sketch = x.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"),
                                           F.percentile_approx("_x", F.array(*map(F.lit, marks)), accuracy).alias("_q"))
-    per_rank = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col("_q")[2 * i].alias("lo"),
-                                            F.col("_q")[2 * i + 1].alias("hi")) for i, p in enumerate(ps)]))
-    ranks = (sketch.select("column_name", "_n", per_rank.alias("_r")).select("column_name", "_n", "_r.*")
-             .withColumn("_k", F.greatest(F.col("_n") - F.floor(F.col("_n") - F.col("p") * F.col("_n")) - 1, F.lit(0))))
-    inside = (x.join(F.broadcast(ranks), "column_name").where(F.col("_x") <= F.col("hi"))
-              # values below a bracket count as one entry, before the shuffle
-              .withColumn("_v", F.when(F.col("_x") >= F.col("lo"), F.col("_x")))
-              .groupBy("column_name", "i", "p", "_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    upto = Window.partitionBy("column_name", "i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    run = inside.withColumn("_cum", F.sum("_c").over(upto))
-    hit = F.min(F.when((F.col("_cum") > F.col("_k")) & F.col("_v").isNotNull(), F.col("_v")))
-    missed = F.max((F.col("_v").isNull()) & (F.col("_cum") > F.col("_k"))) | hit.isNull()
+    v, q = F.col("_x"), F.col("_q")
+    near = x.join(F.broadcast(sketch), "column_name")
+    below = near.groupBy("column_name").agg(F.max("_n").alias("_n"), F.array(*[F.count_if(v < q[2 * i]) for i in range(len(ps))]).alias("_below"))
+    held = F.filter(F.array(*[F.lit(i) for i in range(len(ps))]), lambda i: (v >= F.get(q, 2 * i)) & (v <= F.get(q, 2 * i + 1)))
+    inside = near.select("column_name", "_x", F.explode(held).alias("i")).groupBy("column_name", "i", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("column_name", "i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    p = F.get(F.array(*[F.lit(float(y)) for y in ps]), F.col("i"))
+    run = (inside.withColumn("_in", F.sum("_c").over(upto)).join(F.broadcast(below), "column_name")
+           .withColumn("p", p).withColumn("_first", F.get("_below", F.col("i")))
+           .withColumn("_k", F.greatest(F.col("_n") - F.floor(F.col("_n") - F.col("p") * F.col("_n")) - 1, F.lit(0))))
+    hit = F.min(F.when(F.col("_first") + F.col("_in") > F.col("_k"), v))
+    missed = F.max(F.col("_first") > F.col("_k")) | hit.isNull()
     found = run.groupBy("column_name", "i", "p").agg(
         F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(hit).alias("value"))
     return found.select("column_name", "p", "value")

@@ -35,10 +35,13 @@ def unseen_top_k(recs: DataFrame, seen: DataFrame, users: DataFrame | None = Non
     n_candidates, n_seen, filtered_count (= candidates - returned, as the
     service reported it).
     """
-    pairs = recs.select("user_id", "movie_id", "score")
     # a flag for seen candidates; the planner prunes it apart for the counts and for the lists
     seen_pairs = seen.select("user_id", "movie_id").distinct().withColumn("_hit", F.lit(1))
-    flagged = pairs.join(seen_pairs, ["user_id", "movie_id"], "left")
+    return unseen_of_flagged(recs.select("user_id", "movie_id", "score").join(seen_pairs, ["user_id", "movie_id"], "left"), users, k)
+
+
+def unseen_of_flagged(flagged: DataFrame, users: DataFrame | None = None, k: int = 3) -> DataFrame:
+    """The same from candidates with ``_hit``, not null where seen."""
     unseen = flagged.filter(F.col("_hit").isNull()).drop("_hit")
     top = top_k_per_group(unseen, ["user_id"], [F.desc("score"), F.asc("movie_id")], k, rank_col="rank")
     listed = (top.groupBy("user_id")

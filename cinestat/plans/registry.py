@@ -18,7 +18,7 @@ from cinestat import schemas as S
 from cinestat.functions import casts, pseudo_json
 from cinestat.functions.people import names
 from cinestat.operators import (
-    blocks, clean, finance, fold_in, ids, inner_product, pages, people, profile, ratings, recommend, sessions, sketches,
+    bitmaps, blocks, clean, finance, fold_in, ids, inner_product, pages, people, profile, ratings, recommend, sessions, sketches,
 )
 from cinestat.operators.report import middle
 from cinestat.operators.topk import top_k
@@ -253,6 +253,32 @@ def q_parse_failures(c, t):
     }).select("column_name", "n", F.col("n_null").cast("long"), F.col("n_failed").cast("long"))
 
 
+_LIST_SCHEMAS = {
+    "crew": "ARRAY<OBJECT<credit_id: STRING, department: STRING, gender: BIGINT, id: BIGINT, job: STRING, name: STRING, profile_path: VOID>>",
+    "genres": "ARRAY<OBJECT<id: BIGINT, name: STRING>>",
+}
+
+
+@query("list_schemas", "F8 F7 F9", f"""
+SELECT 'genres' AS column_name, '{_LIST_SCHEMAS["genres"]}' AS schema,
+       count(*) FILTER (WHERE p_partkey % 107 <> 9 AND p_partkey % 101 <> 0 AND p_partkey % 103 <> 9) AS n FROM part
+UNION ALL SELECT 'crew', '{_LIST_SCHEMAS["crew"]}', count(*) FILTER (WHERE p_partkey % 101 <> 0) FROM part""")
+def q_list_schemas(c, t):
+    """The schema that covers every readable row of a column of list text."""
+    one = lambda name, df, col: pseudo_json.schema_of_all(df, col).select(F.lit(name).alias("column_name"), "schema", "n")
+    return one("genres", c.movies_raw(), "genres").unionByName(one("crew", c.credits_raw(), "crew"))
+
+
+@query("crew_variant", "F7 F8 F9 F13", """
+SELECT CAST(tmdb_id AS INTEGER) AS tmdb_id, CAST(pos AS INTEGER) AS pos, name, job FROM crew""")
+def q_crew_variant(c, t):
+    """Crew credits read through VARIANT paths, without a fixed schema."""
+    rows = c.credits_raw().select(casts.try_number("id", "int").alias("tmdb_id"), pseudo_json.as_variant("crew").alias("v"))
+    items = rows.select("tmdb_id", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "p"))
+    return items.select("tmdb_id", "pos", F.try_variant_get("p", "$.name", "string").alias("name"),
+                        F.try_variant_get("p", "$.job", "string").alias("job"))
+
+
 @query("year_sanity", "V3 F5 F6 A4", """
 SELECT count(*) AS n, count(*) FILTER (WHERE release_date IS NULL) AS release_date_null,
        count(*) FILTER (WHERE release_year < 1895) AS year_before_1895,
@@ -938,7 +964,7 @@ def q_seen_items(c, t):
         "user_id", _fmt("session_start"), "movie_id")
 
 
-@query("unseen_topk_live", "V29 T3 J8 W2 D15 D16", f"""
+_UNSEEN_LIVE_SQL = f"""
 WITH s AS ({_SESSION_SQL}),
      live AS (SELECT user_id, sno FROM s GROUP BY user_id, sno
               HAVING max(ts) + INTERVAL 1 DAY > (SELECT max(ts) FROM rating_events)),
@@ -948,7 +974,10 @@ WITH s AS ({_SESSION_SQL}),
 SELECT user_id, coalesce(string_agg(CAST(movie_id AS VARCHAR), ',' ORDER BY rk) FILTER (WHERE NOT hit AND rk <= {UNSEEN_K}), '') AS recommendations,
        count(*) AS n_candidates, count(*) FILTER (WHERE hit) AS n_seen,
        count(*) - count(*) FILTER (WHERE NOT hit AND rk <= {UNSEEN_K}) AS filtered_count
-FROM ranked GROUP BY user_id""")
+FROM ranked GROUP BY user_id"""
+
+
+@query("unseen_topk_live", "V29 T3 J8 W2 D15 D16", _UNSEEN_LIVE_SQL)
 def q_unseen_live(c, t):
     """What the service returns: only the set that is alive at the time of the
     last event is masked."""
@@ -958,6 +987,26 @@ def q_unseen_live(c, t):
     return recommend.unseen_top_k(c.recommendations(), live, None, UNSEEN_K)
 
 
+@query("unseen_topk_bitmaps", "V29 T3 J8 W2 A18 D15 D16", _UNSEEN_LIVE_SQL)
+def q_unseen_bitmaps(c, t):
+    """The same, masked by bitmaps that are built a day and merged."""
+    ev = c.rating_events()
+    now = ev.agg(F.max("ts").alias("now")).scalar()
+    live = sessions.active_seen(ev, now, gap_seconds=SEEN_GAP_SECONDS)
+    days = ev.join(live, ["user_id", "movie_id"], "left_semi").withColumn("day", F.to_date("ts"))
+    seen = bitmaps.merged(bitmaps.seen_bitmaps(days, "user_id", "movie_id", "day"))
+    return recommend.unseen_of_flagged(bitmaps.flagged(c.recommendations(), seen), None, UNSEEN_K)
+
+
+@query("seen_counts", "A18 A2", """
+SELECT user_id, CAST(count(DISTINCT movie_id) AS BIGINT) AS n_items FROM rating_events
+WHERE user_id IS NOT NULL AND movie_id IS NOT NULL GROUP BY user_id""")
+def q_seen_counts(c, t):
+    """Distinct items of every user, from the days' bitmaps merged."""
+    days = c.rating_events().withColumn("day", F.to_date("ts"))
+    return bitmaps.set_sizes(bitmaps.merged(bitmaps.seen_bitmaps(days, "user_id", "movie_id", "day")))
+
+
 @query("latest_event", "T4 A19", f"""
 SELECT event_id, user_id, movie_id, rating, strftime(ts, '{TS_FMT_SQL}') AS ts FROM rating_events
 ORDER BY ts DESC, event_id DESC LIMIT 1""")
