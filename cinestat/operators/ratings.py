@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinestat.operators.recommend import key_digit
-
-from cinestat.operators.topk import latest_per_key, top_k
+from cinestat.operators.topk import top_k
 
 
 def rating_stats(ratings: DataFrame, key: str = "movie_id") -> DataFrame:
@@ -48,35 +47,39 @@ def stats_by_catalogue_id(ratings: DataFrame, links: DataFrame) -> DataFrame:
                     F.sqrt(F.try_divide("_m2", F.col("rating_count") - 1)).alias("rating_std")))
 
 
+METADATA = ("title", "vote_average", "vote_count", "release_year")
+
+
+def metadata_lookup(links: DataFrame, movies_primary: DataFrame, movies_backup: DataFrame) -> DataFrame:
+    """movie_id, tmdb_id and the metadata of every linked rating id.
+
+    One aggregate over both catalogues keeps a primary and a backup row per
+    catalogue id (of several the one with most votes); each column is the
+    primary's or else the backup's. The links then meet one row per catalogue
+    id, so no join can multiply rows, and the table can be stored and used by
+    every report."""
+    ranked = [films.where(F.col("tmdb_id").isNotNull())
+              .select("tmdb_id", F.lit(main).alias("main"), F.coalesce(F.col("vote_count").cast("long"), F.lit(-1)).alias("votes"),
+                      F.struct(*METADATA).alias("row")) for films, main in ((movies_primary, True), (movies_backup, False))]
+    best = lambda mine: F.max_by(F.when(mine, F.col("row")), F.when(mine, F.col("votes")))
+    films = ranked[0].unionByName(ranked[1]).groupBy("tmdb_id").agg(best(F.col("main")).alias("p"), best(~F.col("main")).alias("b")) \
+        .select("tmdb_id", *(F.coalesce(F.col("p")[c], F.col("b")[c]).alias(c) for c in METADATA))
+    known = links.where(F.col("tmdbId").isNotNull()).select(F.col("movieId").cast("long").alias("movie_id"), F.col("tmdbId").alias("tmdb_id"))
+    return known.join(films, "tmdb_id", "left")
+
+
+def with_metadata(stats: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Rating stats with the looked-up metadata, one row per ``stats`` row."""
+    return stats.join(lookup, "movie_id", "left").select(
+        "movie_id", "tmdb_id", "title", "rating_count", "rating_mean", "rating_std", "vote_average", "vote_count", "release_year",
+        (F.col("vote_average") / 2.0).alias("tmdb_rating_5"))
+
+
 def enrich_ratings(stats: DataFrame, links: DataFrame, movies_primary: DataFrame,
                    movies_backup: DataFrame) -> DataFrame:
-    """Rating stats + metadata: rating id -> link -> cleaned movies, falling
-    back to the uncleaned (pre-dedup) movies column by column (V19, J4-J6, F16).
-
-    The backup is made unique per tmdb_id first, so the left joins never
-    multiply rows: the output has exactly one row per ``stats`` row.
-    """
-    ln = links.filter(F.col("tmdbId").isNotNull()).select(F.col("movieId").alias("movie_id"),
-                                                           F.col("tmdbId").alias("tmdb_id"))
-    mv = movies_primary.select(F.col("tmdb_id").alias("mv_id"), F.col("title").alias("mv_title"),
-                               F.col("vote_average").alias("mv_va"), F.col("vote_count").alias("mv_vc"),
-                               F.col("release_year").alias("mv_year"))
-    bk_cols = ["title", "vote_average", "vote_count", "release_year"]
-    bk = (latest_per_key(movies_backup.filter(F.col("tmdb_id").isNotNull())
-                         .withColumn("_vc", F.coalesce(F.col("vote_count").cast("long"), F.lit(-1))),
-                         ["tmdb_id"], ["_vc"], bk_cols)
-          .select(F.col("tmdb_id").alias("bk_id"), *[F.col(c).alias(f"bk_{c}") for c in bk_cols]))
-    j = (stats.join(ln, "movie_id", "left")
-         .join(mv, F.col("tmdb_id") == F.col("mv_id"), "left")
-         .join(bk, F.col("tmdb_id") == F.col("bk_id"), "left"))
-    va = F.coalesce("mv_va", "bk_vote_average")
-    return j.select("movie_id", "tmdb_id",
-                    F.coalesce("mv_title", "bk_title").alias("title"),
-                    "rating_count", "rating_mean", "rating_std",
-                    va.alias("vote_average"),
-                    F.coalesce("mv_vc", "bk_vote_count").alias("vote_count"),
-                    F.coalesce("mv_year", "bk_release_year").alias("release_year"),
-                    (va / 2.0).alias("tmdb_rating_5"))
+    """Rating stats with metadata out of the cleaned movies or, column by column,
+    the uncleaned ones (V19, J4-J6, F16)."""
+    return with_metadata(stats, metadata_lookup(links, movies_primary, movies_backup))
 
 
 def enrichment_nulls(enriched: DataFrame) -> DataFrame:

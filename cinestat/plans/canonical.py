@@ -447,15 +447,14 @@ class Canonical:
         return spark.read.parquet(path)
 
     def kept(self, name: str, write) -> str:
-        """The path of something that is no table, e.g. a model: ``write(path)``
-        is called once per session, folder and name."""
+        """The path of something that is no plain table, e.g. a model, or the name
+        that ``write(path)`` returns; it is called once per session, folder and name."""
         from cinestat.session import ensure_checkpoint_dir, scratch_path
         spark = self.t.spark
         key = (ensure_checkpoint_dir(spark), self.t.sf_dir, name)
         if key not in _STORE:
             path = scratch_path(spark, name)
-            write(path)
-            _STORE[key] = path
+            _STORE[key] = write(path) or path
         return _STORE[key]
 
     def __getattr__(self, name):

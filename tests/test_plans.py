@@ -53,3 +53,17 @@ def test_scans_read_only_needed_columns(plans):
     # the numbering reads its written key table; the fact table was read once, before
     ids = [src for src, _, _ in plans["id_increment"]["scans"]]
     assert any(src.startswith("ids-ranged") for src in ids) and not any(src.startswith("lineitem") for src in ids)
+
+
+def test_stored_buckets_join_without_a_shuffle(spark):
+    from cinestat.plans import registry
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = registry.REGISTRY["ratings_enriched_stored"].fn(spark, SF_SMALL)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        assert "Exchange" not in plan
+        assert df.count() == registry.REGISTRY["ratings_enriched"].fn(spark, SF_SMALL).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
