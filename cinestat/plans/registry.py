@@ -1099,6 +1099,35 @@ def q_reject_rows(c, t):
                                        (F.col("rejected_at") <= F.current_timestamp()).alias("timed"))
 
 
+@query("log_from_latest", "S5 T6 T1 D8", """
+SELECT event_id, user_id, movie_id, rating FROM rating_events
+WHERE event_type <> 'error' AND event_id > (SELECT max(event_id) // 2 FROM events)""")
+def q_log_from_latest(c, t):
+    """Half of the events lie in a log before a query starts at its latest
+    offsets; the other half comes while it runs, and only that is read."""
+    from cinestat.session import scratch_path
+    from cinestat.streaming import event_log, ingest
+    base = scratch_path(t.spark, "event-log")
+    half = t.events.agg(F.expr("max(event_id) div 2")).first()[0]
+    lines = c.rating_events().select("event_id", "user_id", ingest.event_text().alias("value"))
+
+    def append(rows: DataFrame) -> None:
+        event_log.append_events(rows, f"{base}/log", F.col("event_id"), ["event_id"])
+
+    append(lines.where(F.col("event_id") <= half))
+    sink = ingest.AtomicSink(t.spark, f"{base}/sink")
+    sink.open()
+    raw = event_log.log_source(t.spark, f"{base}/log").select("value")
+    q = raw.writeStream.foreachBatch(sink.write).option("checkpointLocation", f"{base}/checkpoint").start()
+    try:
+        q.processAllAvailable()
+        append(lines.where(F.col("event_id") > half))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return sink.events().select("event_id", "user_id", "movie_id", "rating")
+
+
 _STREAM_SESSIONS_SQL = """
 SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS sno FROM (
   SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > INTERVAL 1 DAY THEN 1 ELSE 0 END AS nw FROM (

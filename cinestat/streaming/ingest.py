@@ -205,3 +205,11 @@ def event_json(user_id: Column, movie_id: Column, rating: Column, when: Column)
     """A rating event as JSON text."""
     return F.to_json(F.named_struct(F.lit("user_id"), user_id, F.lit("movieId"), movie_id,
                                     F.lit("rating"), rating, F.lit("timestamp"), when))
+
+
+def event_text() -> Column:
+    """A rating event of the columns event_id, user_id, movie_id, rating, ts and
+    event_type as a line: malformed for those of type ``error``."""
+    return F.when(F.col("event_type") == "error", F.concat(F.lit("not json: "), F.col("event_id").cast("string"))).otherwise(
+        F.to_json(F.struct("event_id", "user_id", F.col("movie_id").alias("movieId"), "rating",
+                           F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))))
