@@ -38,6 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# a list of rows up to this size is broadcast
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(rows: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` (a written table of rows of about ``row_bytes``) marked for a
+    broadcast if they take at most ``most`` bytes; beyond that the join is left to
+    the planner, which deals both sides out by the key."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= most else rows
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names built from ``names`` that do not clash with ``df``'s own."""
     taken = {c.lower() for c in df.columns}

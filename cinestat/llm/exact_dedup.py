@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinestat.llm.common import arrow_map, ascii_lower, fresh, named, prepare, written
+from cinestat.llm.common import arrow_map, ascii_lower, broadcast_if_small, fresh, named, prepare, written
 
 COUNTERS = 1024
 # partitions whose summaries one merge task reads
@@ -156,9 +156,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                      .select(F.col("doc_id").alias(k_id), F.col("digest").alias(k_digest), "stays"), "dedup-decisions")
     rows = docs.withColumn(dig, text_digest(named(text_col)))
     match = named(id_col).eqNullSafe(named(k_id)) & (named(dig) == named(k_digest))
-    left = rows.join(listed, match, "left_anti").drop(dig)
+    left = rows.join(broadcast_if_small(listed, 64), match, "left_anti").drop(dig)
     again = listed.where("stays")
     if again.isEmpty():
         return left
     # repeated rows of a kept document: one of each stays
-    return left.unionByName(rows.join(again, match, "left_semi").dropDuplicates([id_col, dig]).drop(dig))
+    return left.unionByName(rows.join(broadcast_if_small(again, 64), match, "left_semi").dropDuplicates([id_col, dig]).drop(dig))

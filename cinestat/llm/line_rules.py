@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinestat.llm.common import fresh, named, prepare, written
+from cinestat.llm.common import broadcast_if_small, fresh, named, prepare, written
 
 # the white space that parts words: blank, tab, line feed, vertical tab, form feed, carriage return
 SPACE = " \t\n\x0b\x0c\r"
@@ -197,8 +197,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def _judged(docs: DataFrame, removed: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """The verdicts, with host, doc and the lines to remove. Texts are only read
-    here; what is joined are their measures."""
-    measured = docs.select(*_document(id_col, text_col, host_col), base_measures(named(text_col)).alias("m"))
+    here, once: their measures are written, and these are joined."""
+    measured = written(docs.select(*_document(id_col, text_col, host_col), base_measures(named(text_col)).alias("m")), "line-measures")
     lost = removed.select(F.col("host").alias("_h"), F.col("id").alias("_i"), F.col("doc").alias("_d"), "lost", "gone")
     m = F.col("m")
     rows = measured.join(lost, _same(["host", "id", "doc"], ["_h", "_i", "_d"]), "left").withColumn(
@@ -213,14 +213,18 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """``docs`` without rejected documents; the others lose their host's common
     lines (``length_col`` follows the text), all else as it is."""
     removed = removed_lines(docs, id_col, text_col, host_col)
-    # the measures once; then documents meet the verdict on their own text, and most have no line to lose
-    verdict = written(_judged(docs, removed, id_col, text_col, host_col)
-                      .select(*(F.col(c).alias(f"_v_{c}") for c in ("host", "doc_id", "doc", "gone")), "kept")
-                      .where("kept").drop("kept").dropDuplicates(["_v_host", "_v_doc_id", "_v_doc"]), "kept-documents")
-    host, i, doc, gone, lines = fresh(docs, "host", "id", "doc", "gone", "lines")
-    verdict = verdict.select(*(F.col(f"_v_{c}").alias(n) for c, n in (("host", f"{host}v"), ("doc_id", f"{i}v"), ("doc", f"{doc}v"), ("gone", gone))))
+    judged = _judged(docs, removed, id_col, text_col, host_col)
+    # most documents are kept and lose nothing: the texts meet only the lists of the others
+    out_host, out_id, out_doc, host, i, doc, cut_host, cut_id, cut_doc, gone, lines = fresh(
+        docs, "rejected_host", "rejected_id", "rejected_doc", "host", "id", "doc", "cut_host", "cut_id", "cut_doc", "gone", "lines")
+    rejected = written(judged.where(~F.col("kept")).select(F.col("host").alias(out_host), F.col("doc_id").alias(out_id), F.col("doc").alias(out_doc))
+                       .distinct(), "rejected-documents")
+    cut = removed.select(F.col("host").alias(cut_host), F.col("id").alias(cut_id), F.col("doc").alias(cut_doc), F.col("gone").alias(gone))
+    # a document to cut: its key and its common lines
+    per_cut = 40 + 8 * (removed.agg(F.sum(F.size("gone"))).first()[0] or 0) // max(removed.count(), 1)
     keyed = docs.select("*", *(c.alias(n) for c, n in zip(_document(id_col, text_col, host_col), (host, i, doc), strict=True)))
-    rows = keyed.join(verdict, _same([host, i, doc], [f"{host}v", f"{i}v", f"{doc}v"]))
+    rows = (keyed.join(broadcast_if_small(rejected, 40), _same([host, i, doc], [out_host, out_id, out_doc]), "left_anti")
+            .join(broadcast_if_small(cut, per_cut), _same([host, i, doc], [cut_host, cut_id, cut_doc]), "left"))
     clean = F.when(named(gone).isNull(), named(text_col)).otherwise(F.array_join(F.filter(
         F.split(named(text_col), "\n"), lambda x: ~F.array_contains(named(gone), F.xxhash64(normalised_line(x)))), "\n"))
     rows = rows.withColumn(lines, clean)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinestat.llm.common import UPPER, arrow_map, fresh, named, prepare, row_key, written
+from cinestat.llm.common import UPPER, arrow_map, broadcast_if_small, fresh, named, prepare, row_key, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -259,8 +259,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      .select(F.col("row_key").alias(k_key), F.col("text_key").alias(k_text), stays.alias("stays")), "simhash-drops")
     rows = docs.withColumn(key, row_key(named(id_col), named(text_col))).withColumn(text, text_key(named(text_col)))
     match = (named(key) == named(k_key)) & (named(text) == named(k_text))
-    left = rows.join(listed, match, "left_anti").drop(key, text)
+    left = rows.join(broadcast_if_small(listed, 24), match, "left_anti").drop(key, text)
     again = listed.where("stays")
     if again.isEmpty():
         return left
-    return left.unionByName(rows.join(again, match, "left_semi").dropDuplicates([key, text]).drop(key, text))
+    return left.unionByName(rows.join(broadcast_if_small(again, 24), match, "left_semi").dropDuplicates([key, text]).drop(key, text))
