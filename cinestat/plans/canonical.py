@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinestat.sources.tables import Tables
+from cinestat.sources.tables import Tables, folder_state
 
 # Fixed values of the fixture design (not taken from any source). Rating-side
 # and imdb ids are p_partkey * ID_STRIDE + a slot digit.
@@ -423,6 +423,8 @@ class Canonical:
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = False):
         self.t = Tables(spark, sf_dir)
         self.materialize = materialize
+        # changed input is another input: what was stored from the old one is not served
+        self.state = folder_state(spark, sf_dir) if materialize else ""
 
     def _stored(self, name: str, fn):
         return self.stored(name, lambda: fn(self.t))
@@ -434,7 +436,7 @@ class Canonical:
             return build()
         from cinestat.session import ensure_checkpoint_dir, scratch_path
         spark = self.t.spark
-        key = (ensure_checkpoint_dir(spark), self.t.sf_dir, name)
+        key = (ensure_checkpoint_dir(spark), self.t.sf_dir, self.state, name)
         path = _STORE.get(key)
         if path is not None:
             try:
@@ -451,7 +453,7 @@ class Canonical:
         that ``write(path)`` returns; it is called once per session, folder and name."""
         from cinestat.session import ensure_checkpoint_dir, scratch_path
         spark = self.t.spark
-        key = (ensure_checkpoint_dir(spark), self.t.sf_dir, name)
+        key = (ensure_checkpoint_dir(spark), self.t.sf_dir, self.state, name)
         if key not in _STORE:
             path = scratch_path(spark, name)
             _STORE[key] = write(path) or path

@@ -107,9 +107,9 @@ def build_silver(spark: SparkSession, sf_dir: str) -> list[str]:
     c = Canonical(spark, sf_dir, materialize=True)
     for name in MATERIALIZED:
         getattr(c, name)()
-    for fn in (_movies, _dedup, _final, _credits):
+    for fn in (_movies, _dedup, _final, _credits, _people):
         fn(c)
-    return list(MATERIALIZED) + ["movies_silver", "movies_dedup", "movies_final", "credits_parsed"]
+    return list(MATERIALIZED) + ["movies_silver", "movies_dedup", "movies_final", "credits_parsed", "people_strict"]
 
 
 def _enriched(c: Canonical) -> DataFrame:
@@ -649,7 +649,8 @@ def q_coverage_sketches(c, t):
 # ---------------------------------------------------------------- people
 
 def _people(c, rule="strict"):
-    return people.film_people(_credits(c), rule)
+    """Unique people lists of every film, stored: nine reports read them."""
+    return c.stored(f"people_{rule}", lambda: people.film_people(_credits(c), rule))
 
 
 def _films(c):
@@ -665,6 +666,18 @@ def q_people_profit(c, t):
         "tmdb_id", "profit", F.size("directors").cast("long").alias("n_directors"), F.size("cast").cast("long").alias("n_cast"))
 
 
+@query("people_names", "V14 F10 F11 F12 J4 P4", """
+SELECT m.tmdb_id, m.revenue - m.budget AS profit, coalesce(d.names, '') AS directors, coalesce(a.names, '') AS cast_names
+FROM movies_dedup m
+LEFT JOIN (SELECT tmdb_id, string_agg(name, '|' ORDER BY name) AS names FROM dir_strict GROUP BY tmdb_id) d USING (tmdb_id)
+LEFT JOIN (SELECT tmdb_id, string_agg(name, '|' ORDER BY name) AS names FROM main_cast GROUP BY tmdb_id) a USING (tmdb_id)""")
+def q_people_names(c, t):
+    """Directors, main cast and profit of every film, by name."""
+    joined = lambda col: F.array_join(F.array_sort(col), "|")
+    return people.people_profit(_dedup(c), _people(c)).select("tmdb_id", "profit", joined("directors").alias("directors"),
+                                                              joined("cast").alias("cast_names"))
+
+
 @query("director_counts_loose", "V14 V15 F10 F13 A5 P9", """
 SELECT d.name AS director, count(*) AS num_movies FROM movies_dedup m JOIN dir_loose d USING (tmdb_id)
 GROUP BY d.name""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -73,6 +74,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, so that Python workers find it wherever
+    the job was started from: an archive in the shared folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    jvm = spark.sparkContext._jvm
+    with tempfile.TemporaryDirectory() as folder:
+        local = jvm.org.apache.hadoop.fs.Path(shutil.make_archive(f"{folder}/cinestat", "zip", root, "cinestat"))
+        shared = jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'package')}/cinestat.zip")
+        shared.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(local, shared)
+    spark.sparkContext.addPyFile(shared.toString())
+
+
 def materialize(df, name: str):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: cuts the lineage for a multi-pass operator so upstream stages run

@@ -14,6 +14,15 @@ DRIVER_TABLES = (
 )
 
 
+def folder_state(spark: SparkSession, sf_dir: str) -> str:
+    """What tells one content of a folder of tables from another: each table's
+    size and time of change as the file system lists them (one call, no scan)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return ";".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in listed))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in DRIVER_TABLES:
         raise ValueError(f"unknown table {name!r}")
