@@ -18,7 +18,7 @@ from cinestat import schemas as S
 from cinestat.functions import casts, pseudo_json
 from cinestat.functions.people import names
 from cinestat.operators import (
-    bitmaps, blocks, clean, finance, fold_in, ids, inner_product, pages, people, profile, ratings, recommend, sessions, sketches,
+    bitmaps, blocks, clean, finance, fold_in, ids, inner_product, pages, people, profile, ratings, recommend, sessions, sketches, upkeep,
 )
 from cinestat.operators.report import middle
 from cinestat.operators.topk import top_k
@@ -122,14 +122,28 @@ def _fmt(col: str):
 
 # ---------------------------------------------------------------- ratings
 
-@query("rating_stats", "V18 A5 A6 A7", """
+_RATING_STATS_SQL = """
 SELECT movie_id, rating_count, round(rating_mean, 6) AS rating_mean, round(rating_std, 6) AS rating_std
-FROM rating_stats""")
+FROM rating_stats"""
+
+
+@query("rating_stats", "V18 A5 A6 A7", _RATING_STATS_SQL)
 def q_rating_stats(c, t):
     """Count, mean and sample stddev of ratings per movie."""
     return ratings.rating_stats(c.ratings())
 
 
+@query("rating_stats_kept_up", "V18 A5 A6 A7 D17", _RATING_STATS_SQL)
+def q_rating_stats_kept_up(c, t):
+    """The same from stored statistics: the ratings come in two batches, by the
+    parity of the order, and each batch reads and writes the buckets it touches."""
+    from cinestat.session import scratch_path
+    store = upkeep.StatsStore(t.spark, scratch_path(t.spark, "rating-stats"), "movie_id", "rating")
+    for b in (0, 1):
+        store.apply(c.ratings().where(F.col("order_key") % 2 == b), b)
+    return store.stats()
+
+
 @query("most_rated_topk", "V21 O3", """
 SELECT movie_id, title, rating_count, round(rating_mean, 6) AS rating_mean FROM enriched
 WHERE title IS NOT NULL ORDER BY rating_count DESC, movie_id LIMIT 10""")
