@@ -79,8 +79,3 @@ def after_label(col, label: str) -> Column:
     """Text after a fixed label, e.g. 'Genre: Drama' -> 'Drama' (F23); NULL if absent."""
     c = _c(col)
     return F.when(F.startswith(c, F.lit(label)), c.substr(F.lit(len(label) + 1), F.length(c)))
-
-
-def rescale(col, factor: float) -> Column:
-    """Linear rescale, e.g. a 0-10 score to 0-5 with factor 0.5."""
-    return _c(col) * F.lit(factor)

@@ -101,8 +101,3 @@ def trim_outliers(movies: DataFrame, cols=("budget", "revenue"), q: float = 0.99
         ok = F.col(c) <= caps[c]
         cond = cond & (ok if drop_null else (F.col(c).isNull() | ok))
     return movies.filter(cond)
-
-
-def movies_final(raw: DataFrame) -> DataFrame:
-    """clean -> dedup -> trim, the table the analyses read."""
-    return trim_outliers(dedup_movies(clean_movies(raw)))
