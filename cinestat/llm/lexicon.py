@@ -47,7 +47,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from tokenizers import Regex as LibraryRegex
 
 from cinestat.llm.bytebpe import byte_of_character
-from cinestat.llm.common import arrow_map, named, prepare
+from cinestat.llm.common import arrow_map, named, prepare, written
 
 LEXICON_WORDS = 120_000
 LOCAL_WORDS = 320_000
@@ -465,7 +465,16 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", local_wor
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", lexicon_words: int = LEXICON_WORDS,
                   local_words: int = LOCAL_WORDS) -> bytes:
     prepare(docs.sparkSession)
-    top = frequent_words(docs, path, text_col, local_words).orderBy(F.col("n").desc(), "word").limit(lexicon_words)
+    counts = written(frequent_words(docs, path, text_col, local_words), "word-counts")
+    # a histogram of the counts' logarithms, at most some thousand rows, says which words can be among the most frequent;
+    # without it every task would send its own most frequent ones
+    size = F.floor(F.log2("n") * 16)
+    enough, least = 0, 0
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["size"]):
+        enough, least = enough + r["words"], r["size"]
+        if enough >= lexicon_words:
+            break
+    top = counts.where(size >= least).orderBy(F.col("n").desc(), "word").limit(lexicon_words)
     bpe = loaded(path)
     # a word whose normal form differs is no entry: encoding looks normal forms up
     words = [r["word"] for r in top.select("word").collect()]
