@@ -7,6 +7,9 @@ seen-set lifetime once its gap has passed the watermark; the batch form in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,16 +53,17 @@ def write_end_marker(spark, path: str, when: str = END_OF_STREAM) -> None:
     spark.createDataFrame([(None, None, None, None, when)], INGESTED).write.mode("append").parquet(path)
 
 
-def replay(spark, closed_sets, events, control: str, out: str, checkpoint: str) -> None:
+def replay(spark, closed_sets, events, control: str, out: str, checkpoint: str, conf: dict[str, str] | None = None) -> None:
     """Drain ``events()`` into ``out`` in as many batches as it takes, and only
     then let the marker through: a marker in an early batch would make every
-    later event late. ``closed_sets`` maps a stream to its closed sets."""
+    later event late. ``closed_sets`` maps a stream to its closed sets; ``conf``
+    as in ``run_to_table``."""
     open_control(spark, control)
     for last in (False, True):
         if last:
             write_end_marker(spark, control)
         both = events().unionByName(ingested_stream(spark, control))
-        run_to_table(closed_sets(both), out, checkpoint)
+        run_to_table(closed_sets(both), out, checkpoint, conf=conf)
 
 
 def seen_session_stream(events: DataFrame, gap: str = "1 day", watermark: str = "1 day") -> DataFrame:
@@ -82,17 +86,36 @@ def latest_event_stream(events: DataFrame) -> DataFrame:
                                F.struct("ts", "event_id")).alias("latest")).select("latest.*")
 
 
-def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+@contextmanager
+def held(spark, conf: dict[str, str]) -> Iterator[None]:
+    """The session with the settings ``conf``, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append", conf: dict[str, str] | None = None) -> None:
     """Run a streaming query over all available input into Parquet (append)
-    or into memory-free complete output via foreachBatch overwrite."""
-    if mode == "append":
-        q = (df.writeStream.format("parquet").outputMode("append").option("path", path)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    else:
-        def write(batch, _epoch):
-            batch.write.mode("overwrite").parquet(path)
-        q = (df.writeStream.outputMode("complete").foreachBatch(write)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    or into memory-free complete output via foreachBatch overwrite. ``conf``:
+    settings the stream needs whatever the session has; a stream keeps those it
+    was started with."""
+    with held(df.sparkSession, conf or {}):
+        if mode == "append":
+            q = (df.writeStream.format("parquet").outputMode("append").option("path", path)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        else:
+            def write(batch, _epoch):
+                batch.write.mode("overwrite").parquet(path)
+            q = (df.writeStream.outputMode("complete").foreachBatch(write)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()

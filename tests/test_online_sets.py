@@ -89,3 +89,20 @@ def test_late_events_and_events_without_time(spark, tmp_path):
     seen.write_end_marker(spark, src)
     seen.run_to_table(online_sets.seen_items_stream(seen.ingested_stream(spark, src), DAY), out, check)
     assert found(spark, out) == {(1, 10 * DAY, 11 * DAY, 1, 5), (2, 9 * DAY + 3600, 11 * DAY + 5, 3, 6), (2, 9 * DAY + 3600, 11 * DAY + 5, 3, 9)}
+
+
+def test_a_session_with_the_default_state_store(spark, tmp_path):
+    """The stream brings the store it needs and leaves the session's setting alone."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    ours = spark.conf.get(key)
+    src, out, check = (f"{tmp_path}/{x}" for x in ("src", "out", "check"))
+    write(spark, src, [(1, 5, 10 * DAY), (1, 6, 10 * DAY + 60)])
+    spark.conf.set(key, plain)
+    try:
+        seen.replay(spark, lambda e: online_sets.seen_items_stream(e, DAY), lambda: seen.ingested_stream(spark, src),
+                    f"{tmp_path}/control", out, check, online_sets.STATE_CONF)
+        assert spark.conf.get(key) == plain
+    finally:
+        spark.conf.set(key, ours)
+    assert found(spark, out) == {(1, 10 * DAY, 11 * DAY + 60, 2, 5), (1, 10 * DAY, 11 * DAY + 60, 2, 6)}
