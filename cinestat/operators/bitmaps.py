@@ -3,8 +3,11 @@
 A user's items of a day are bits of a few fixed-size bitmaps, one for every
 ``BITS`` consecutive item ids. Days are merged by a bitwise or, so a set is kept
 up day by day without its items being listed again, and a candidate is masked by
-one bit of one bitmap: no array is searched and no set is exploded. Building and
-merging have a partial phase in every task.
+one bit of one bitmap: no array is searched and no set is exploded.
+
+A bitmap of a few items is all but empty, so what moves and is sorted are the
+items; a task makes the bitmaps of a user and bucket and merges them as they come,
+and holds one of them at a time.
 
 Item ids are positive; rows without user or item belong to no set.
 """
@@ -18,10 +21,14 @@ BITS = 32_768  # of the engine's bitmap functions
 
 
 def seen_bitmaps(pairs: DataFrame, user: str = "user_id", item: str = "movie_id", *parts: str) -> DataFrame:
-    """user, (parts), bucket, bits: a bitmap a user, part and bucket of items."""
-    known = pairs.where(F.col(user).isNotNull() & F.col(item).isNotNull())
-    return (known.groupBy(user, *parts, F.bitmap_bucket_number(F.col(item).cast("long")).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(item).cast("long"))).alias("bits")))
+    """user, (parts), bucket, bits: a bitmap a user, part and bucket of items.
+    The rows of a user and bucket lie together and in the order of the keys, which
+    ``merged`` needs too: no bitmap is shuffled or sorted."""
+    at = F.col(item).cast("long")
+    known = pairs.where(F.col(user).isNotNull() & F.col(item).isNotNull()).select(
+        user, F.bitmap_bucket_number(at).alias("bucket"), *parts, F.bitmap_bit_position(at).alias("_bit"))
+    return (known.repartition(user, "bucket").groupBy(user, "bucket", *parts).agg(F.bitmap_construct_agg("_bit").alias("bits"))
+            .select(user, *parts, "bucket", "bits"))
 
 
 def merged(bitmaps: DataFrame, user: str = "user_id") -> DataFrame:

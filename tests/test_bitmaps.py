@@ -32,6 +32,13 @@ def test_masking_needs_no_array_and_no_explode(spark):
     assert "bitmap_construct_agg" in plan and not any(x in plan for x in ("Generate", "collect_", "Python"))
 
 
+def test_no_bitmap_is_shuffled_or_sorted(spark):
+    pairs = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "user_id long, movie_id long, day int")
+    plan = bitmaps.merged(bitmaps.seen_bitmaps(pairs, "user_id", "movie_id", "day"))._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.rindex("bitmap_construct_agg")]  # the plan prints the last step first
+    assert "Exchange" not in above and "Sort [" not in above and plan.count("Exchange") == 1
+
+
 def test_variant_schema_covers_every_row(spark):
     texts = ["[{'id': 1, 'name': \"O'Brien\", 'g': None}]", "[{'id': 2, 'extra': True}]", "[]", "[{'id': 'x'", None, "plain"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
