@@ -99,3 +99,14 @@ def test_a_notice_is_no_licence_file(spark):
     want = {1: ("GPL-3.0", "header"), 2: (None, "none"), 3: (None, "none"), 4: ("MIT", "header"), 5: ("MIT", "inherited"), 6: ("GPL-3.0", "header")}
     assert told() == want
     assert told(files_by_text=False) == want | {5: (None, "none")}
+
+
+def test_the_query_inherits_from_a_licence_file(spark, tmp_path):
+    """A whole licence text licenses the documents of its source and language."""
+    rows = [(1, GPL.replace("warranty", "guarantee"), "en", "src1"), (2, "plain words", "en", "src1"), (3, "plain words", "de", "src1"),
+            (4, "Was orer.\nThis work is licensed under the GNU General Public License, version 3.", "en", "src2"),
+            (5, "plain words", "en", "src2"), (6, None, "en", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in queries.op5_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {1: ("GPL-3.0", "header"), 2: ("GPL-3.0", "inherited"), 3: (None, "none"), 4: ("GPL-3.0", "header"),
+                   5: (None, "none"), 6: ("GPL-3.0", "inherited")}
