@@ -73,3 +73,16 @@ def test_no_python_and_no_loops(spark):
     for df in (blocks.review_rows(pages), blocks.film_fields(pages)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "NestedLoop", "Cartesian"))
+
+
+def test_only_pages_are_shuffled(spark):
+    """Neither tags nor blocks move: every window and join finds a page's rows in one task."""
+    pages = spark.createDataFrame(PAGES, "page_id long, html string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [f(pages)._jdf.queryExecution().executedPlan().toString() for f in (blocks.review_rows, blocks.film_fields)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    for plan in plans:
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
