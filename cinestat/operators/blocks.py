@@ -30,9 +30,10 @@ TASK_CHARS = 8 << 20
 def dealt(pages: DataFrame) -> DataFrame:
     """``pages`` with all rows of a page in one task, as every step here needs them.
     The number of tasks grows with the texts: a text's tags take many times the room
-    that its compressed form in a shuffle has, so the engine's own sizes mislead."""
+    that its compressed form in a shuffle has, so the engine's own sizes mislead. Never one: a single partition counts as no deal
+    by id, and the joins would shuffle again."""
     chars = pages.agg(F.sum(F.length("html"))).first()[0] or 0
-    return pages.repartition(1 + chars // TASK_CHARS, "page_id")
+    return pages.repartition(2 + chars // TASK_CHARS, "page_id")
 
 
 def page_tags(pages: DataFrame) -> DataFrame:
