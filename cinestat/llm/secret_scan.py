@@ -15,17 +15,24 @@ than the window is scored in overlapping windows, and its highest score counts.
 
 Findings: rows (before, value, after, label) with label 1 for a secret.
 ``findings`` takes them from the table itself: pattern matches are 1, other
-candidates 0, one row a distinct value, none of the held-out fold. A user's own
-labelled rows go to ``fit`` alike. The sample is bounded: the ``MAX_ROWS`` values
-of a class whose hash is smallest. Each secret is also learned with values drawn
-anew from other alphabets (a drawn key is still a key) and with the surroundings
-of a random row, so that the network does not only learn the patterns' names.
+candidates 0, one row a distinct value, all values but those of the held-out fold
+alone. A user's own labelled rows go to ``fit`` alike. Each secret is also learned
+with values drawn anew from other alphabets (a drawn key is still a key) and with
+the surroundings of a random row, so that the network does not only learn the
+patterns' names.
 
 A fifth of the values, by hash, is not trained on. On it the logits are calibrated
 (Platt) and the thresholds set: for each shape of value (hexadecimal, capitals and
 digits, others) the highest threshold that finds at least ``RECALL`` of the
 secrets; a shape with fewer than ``LEAST`` secrets takes that of all.
 
+Findings of up to ``CHUNK`` windows are learned in one task. More are dealt out by
+hash into chunks of about that many, all of which are trained on: in each of
+``EPOCHS`` rounds every chunk goes on from the shared parameters over its own rows,
+then parameters and Adam's moments are averaged by rows. Platt's sums are added up
+over the chunks, and a threshold is found as the exact rank among all secrets set
+aside, by counts of their logits' leading bits.
+
 Defined results: offsets are code points, end exclusive; null and empty texts have
 no candidates; repeated rows and rows without id are scanned alike; with fewer than
 ``LEAST`` distinct values of either class nothing is learned, the scores are null and
@@ -35,9 +42,10 @@ gives an empty table.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +57,8 @@ from cinestat.llm.common import arrow_map, held_out, named, prepare, written
 
 KINDS = ("assign", "access", "hex", "network")
 LONG = 16
-MAX_ROWS = 3000
+CHUNK = 1 << 14
+EPOCHS = 8
 LEAST = 8
 RECALL = 0.99
 BEFORE, VALUE, AFTER = 24, 48, 16
@@ -122,7 +131,7 @@ def encode(before: str, value: str, after: str) -> np.ndarray:
         inner, right = value[a:a + VALUE], (value[a + VALUE:a + VALUE + AFTER] + after)[:AFTER]
         row = left.rjust(BEFORE, "\0") + inner.ljust(VALUE, "\0") + right.ljust(AFTER, "\0")
         c = np.frombuffer(row.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        out.append(np.where((c >= 32) & (c < 127), c - 31, np.where(c == 0, 0, np.where(c < 128, 96, 97))))
+        out.append(np.where((c >= 32) & (c < 127), c - 31, np.where(c == 0, 0, np.where(c < 128, 96, 97))).astype(np.uint8))
     return np.array(out)
 
 
@@ -192,41 +201,79 @@ class Network:
         np.add.at(g["embed"], saved["x"], dinp[:, :, :self.EMBED])
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 2e-3, l2: float = 1e-4) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 128) -> None:
         """Adam on the logistic loss, both classes weighted alike."""
         rng = np.random.default_rng(1)
-        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(w) for k, w in self.p.items()}
-        step = 0
+        state = Moments.of(self)
         for _ in range(max(epochs, -(-200 * batch // len(x)))):
-            order = rng.permutation(len(x))
-            for a in range(0, len(x), batch):
-                i = order[a:a + batch]
-                z, saved = self.forward(x[i])
-                g = self.backward(saved, weight[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) / len(i))
-                step += 1
-                for k, w in self.p.items():
-                    d = g[k] + l2 * w
-                    m[k] = 0.9 * m[k] + 0.1 * d
-                    v[k] = 0.999 * v[k] + 0.001 * d * d
-                    w -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+            self.epoch(state, x, y, y.mean(), rng, batch)
+
+    def epoch(self, state: Moments, x: np.ndarray, y: np.ndarray, share: float, rng: np.random.Generator, batch: int = 128,
+              rate: float = 2e-3, l2: float = 1e-4) -> None:
+        """One pass over the rows; ``share`` is that of the secrets among all rows."""
+        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+        order = rng.permutation(len(x))
+        for a in range(0, len(x), batch):
+            i = order[a:a + batch]
+            z, saved = self.forward(x[i])
+            g = self.backward(saved, weight[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) / len(i))
+            state.step += 1
+            for k, w in self.p.items():
+                d = g[k] + l2 * w
+                m = state.m[k] = 0.9 * state.m[k] + 0.1 * d
+                v = state.v[k] = 0.999 * state.v[k] + 0.001 * d * d
+                w -= rate * (m / (1 - 0.9 ** state.step)) / (np.sqrt(v / (1 - 0.999 ** state.step)) + 1e-8)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self.forward(x[a:a + 512])[0] for a in range(0, len(x), 512)]) if len(x) else np.zeros(0, np.float32)
 
 
-def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+@dataclass
+class Moments:
+    """Adam's moments by parameter, and its steps so far."""
+
+    m: dict[str, np.ndarray]
+    v: dict[str, np.ndarray]
+    step: int
+
+    @classmethod
+    def of(cls, network: Network) -> Moments:
+        return cls({k: np.zeros_like(w) for k, w in network.p.items()}, {k: np.zeros_like(w) for k, w in network.p.items()}, 0)
+
+
+def packed(network: Network, state: Moments) -> np.ndarray:
+    """Parameters, moments and steps as one vector."""
+    return np.concatenate([*(d[k].ravel() for d in (network.p, state.m, state.v) for k in network.p), [state.step]]).astype(np.float64)
+
+
+def unpacked(vector: np.ndarray) -> tuple[Network, Moments]:
+    network = Network()
+    state, a = Moments.of(network), 0
+    for d in (network.p, state.m, state.v):
+        for k, w in network.p.items():
+            d[k] = vector[a:a + w.size].reshape(w.shape).astype(np.float32)
+            a += w.size
+    state.step = round(vector[a])
+    return network, state
+
+
+def platt_sums(z: np.ndarray, y: np.ndarray, n1: float, n0: float, a: float, b: float) -> np.ndarray:
+    """What rows add to the gradient and second derivatives of Platt's loss at a, b,
+    for ``n1`` secrets and ``n0`` others in all."""
+    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+    w = p * (1 - p) + 1e-9
+    return np.array([((p - t) * z).sum(), (p - t).sum(), (w * z * z).sum(), (w * z).sum(), w.sum()])
+
+
+def platt(sums: Callable[[float, float], np.ndarray]) -> tuple[float, float]:
     """slope, intercept of the logistic fit of the labels to the logits, with
     Platt's smoothed targets, by Newton steps."""
-    n1, n0 = y.sum(), (1 - y).sum()
-    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        grad = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-9]])
+        s = sums(a, b)
+        grad = np.array([s[0] + 1e-3 * (a - 1), s[1]])
+        hess = np.array([[s[2] + 1e-3, s[3]], [s[3], s[4] + 1e-9]])
         step = np.linalg.solve(hess, grad)
         size = max(1.0, np.abs(step).max())
         a, b = a - step[0] / size, b - step[1] / size
@@ -247,6 +294,9 @@ class Scanner:
     intercept: float
     thresholds: tuple[float, float, float]
 
+    def probability(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.intercept, -30, 30)))
+
     def scores(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
         """Probability of every (before, value, after): that of its highest window."""
         out = np.empty(len(rows))
@@ -254,7 +304,7 @@ class Scanner:
             coded = [encode(*r) for r in rows[a:a + 256]]
             z = self.network.logits(np.concatenate(coded))
             head = np.cumsum([0] + [len(c) for c in coded[:-1]])
-            out[a:a + 256] = 1 / (1 + np.exp(-np.clip(self.slope * np.maximum.reduceat(z, head) + self.intercept, -30, 30)))
+            out[a:a + 256] = self.probability(np.maximum.reduceat(z, head))
         return out
 
 
@@ -274,21 +324,33 @@ def _drawn(rng: np.random.Generator) -> str:
             return value
 
 
+def copies(n_secrets: int) -> int:
+    """How often a secret is drawn anew."""
+    return max(2, 512 // n_secrets)
+
+
+def redrawn(rows: list[tuple[str, str, str, int]], times: int, rng: np.random.Generator) -> list[tuple[str, str, str, int]]:
+    """``times`` rows more of every secret."""
+    more = []
+    for before, value, after, _ in (r for r in rows if r[3] == 1):
+        for _ in range(times):
+            other = rows[rng.integers(len(rows))]
+            around = (before, after) if rng.random() < 0.4 else (other[0], other[2])
+            more.append((around[0], _drawn(rng) if rng.random() < 0.8 else value, around[1], 1))
+    return more
+
+
+def set_aside(rows: list[tuple[str, str, str, int]]) -> np.ndarray:
+    return np.array([zlib.crc32(r[1].encode("utf-8", "surrogatepass")) % 5 == 1 for r in rows], bool)
+
+
 def learn(rows: list[tuple[str, str, str, int]], recall: float = RECALL, seed: int = 0) -> Scanner | None:
     """The scanner of labelled rows, the same for any order of them."""
     rows = sorted(set(rows))
     if min(sum(r[3] == c for r in rows) for c in (0, 1)) < LEAST:
         return None
-    rng = np.random.default_rng(seed)
-    secrets = [r for r in rows if r[3] == 1]
-    more = []
-    for before, value, after, _ in secrets:
-        for _ in range(max(2, 512 // len(secrets))):
-            other = rows[rng.integers(len(rows))]
-            around = (before, after) if rng.random() < 0.4 else (other[0], other[2])
-            more.append((around[0], _drawn(rng) if rng.random() < 0.8 else value, around[1], 1))
-    rows = rows + more
-    aside = np.array([zlib.crc32(r[1].encode("utf-8", "surrogatepass")) % 5 == 1 for r in rows])
+    rows = rows + redrawn(rows, copies(sum(r[3] == 1 for r in rows)), np.random.default_rng(seed))
+    aside = set_aside(rows)
     y = np.array([r[3] for r in rows], float)
     if min((aside & (y == c)).sum() for c in (0, 1)) == 0:
         aside[:] = False
@@ -299,7 +361,8 @@ def learn(rows: list[tuple[str, str, str, int]], recall: float = RECALL, seed: i
     x = np.concatenate([coded[i] for i in train])
     network.train(x, np.repeat(y[train], [len(coded[i]) for i in train]))
     z = np.array([network.logits(coded[i]).max() for i in check], float)
-    slope, intercept = platt(z, y[check])
+    n1, n0 = y[check].sum(), (1 - y[check]).sum()
+    slope, intercept = platt(lambda a, b: platt_sums(z, y[check], n1, n0, a, b))
     scanner = Scanner(network, slope, intercept, (0.5,) * 3)
     p = scanner.scores([rows[i][:3] for i in check])
     kinds = np.array([shape(rows[i][1]) for i in check])
@@ -314,32 +377,203 @@ def learn(rows: list[tuple[str, str, str, int]], recall: float = RECALL, seed: i
 
 # --- over tables -----------------------------------------------------------------
 
-def findings(spans: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def findings(spans: DataFrame) -> DataFrame:
     """(before, value, after, label) from the candidates of ``extract``: one row a
-    distinct value, at most ``max_rows`` of either label, none of the held-out fold."""
+    distinct value of the rows outside the held-out fold, all of them."""
     seen = (spans.where(~held_out(F.col("doc_id"))).select(F.explode("spans").alias("s"))
             .select((F.col("s.kind") < 3).cast("int").alias("label"), "s.value", F.struct("s.before", "s.after").alias("around"))
             # a value in use as a secret anywhere is one
             .groupBy("value").agg(F.max("label").alias("label"), F.max_by("around", F.struct("label", "around")).alias("around")))
-    pick = None
-    for label in (0, 1):
-        top = seen.where(F.col("label") == label).orderBy(F.xxhash64("value"), "value").limit(max_rows)
-        pick = top if pick is None else pick.unionByName(top)
-    return pick.select("around.before", "value", "around.after", "label")
+    return seen.select("around.before", "value", "around.after", "label")
+
+
+def fit(rows: DataFrame, recall: float = RECALL, chunk: int = CHUNK) -> Scanner | None:
+    """The scanner of a table of findings, learned from all of them: in one task
+    up to ``chunk`` windows, beyond that chunk by chunk."""
+    rows = written(rows.select("before", "value", "after", "label").distinct(), "secret-findings")
+    windows = F.ceil(F.greatest(F.length("value") - (VALUE - STEP), F.lit(1)) / STEP)
+    aside = F.crc32(F.col("value").cast("binary")) % 5 == 1
+    size = {r["label"]: r for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(windows).alias("windows"),
+                                                             F.count_if(aside).alias("aside")).collect()}
+    if min(size[c]["n"] if c in size else 0 for c in (0, 1)) < LEAST:
+        return None
+    times = copies(size[1]["n"])
+    n = math.ceil((size[0]["windows"] + (1 + times) * size[1]["windows"]) / chunk)
+    # of the secrets, drawn ones are set aside at any rate
+    return _fit_chunks(rows, n, times, size[0]["aside"] > 0, recall) if n > 1 else _fit_one(rows, recall)
 
 
-def fit(rows: DataFrame, recall: float = RECALL) -> Scanner | None:
-    """The scanner of a bounded table of findings, learned in one task."""
+def _fit_one(rows: DataFrame, recall: float) -> Scanner | None:
     import pickle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(got, recall))], pa.binary())], names=["model"])
 
-    out = arrow_map(rows.select("before", "value", "after", "label").repartition(1), run, "model binary").first()
+    out = arrow_map(rows.repartition(1), run, "model binary").first()
     return pickle.loads(out["model"]) if out else None
 
 
+_CODED = "chunk int, checked boolean, n long, n_secrets long, x binary, heads binary, y binary, shapes binary"
+
+
+def _coder(times: int, split: bool, seed: int):
+    """Of a chunk's findings two rows, those to train on and those to check with:
+    windows one after another, and of every finding its first window, label and shape."""
+    def run(t: pa.Table) -> pa.Table:
+        chunk = t.column("chunk")[0].as_py()
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("before", "value", "after", "label")), strict=True))
+        rows += redrawn(rows, times, np.random.default_rng((seed, chunk)))
+        aside = set_aside(rows) if split else np.zeros(len(rows), bool)
+        out = []
+        for checked, pick in ((False, ~aside), (True, aside if split else ~aside)):
+            some = [rows[i] for i in np.flatnonzero(pick)]
+            coded = [encode(*r[:3]) for r in some]
+            y = np.array([r[3] for r in some], np.uint8)
+            out.append({"chunk": chunk, "checked": checked, "n": sum(map(len, coded)),
+                        "n_secrets": sum(len(c) for c, label in zip(coded, y, strict=True) if label == 1),
+                        "x": b"".join(c.tobytes() for c in coded), "heads": np.cumsum([0, *map(len, coded)], dtype=np.int64)[:-1].tobytes(),
+                        "y": y.tobytes(), "shapes": np.array([shape(r[1]) for r in some], np.uint8).tobytes()})
+        kinds = pa.schema([("chunk", pa.int32()), ("checked", pa.bool_()), ("n", pa.int64()), ("n_secrets", pa.int64()), ("x", pa.binary()),
+                           ("heads", pa.binary()), ("y", pa.binary()), ("shapes", pa.binary())])
+        return pa.Table.from_pylist([r for r in out if r["n"]], kinds)
+    return run
+
+
+def _per_chunk(chunks: DataFrame, fn: Callable[[dict], bytes]) -> DataFrame:
+    """(chunk, n, out): ``fn`` of every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([r["chunk"]], pa.int32()), "n": pa.array([r["n"]], pa.int64()),
+                                                  "out": pa.array([fn(r)], pa.binary())})
+
+    return arrow_map(chunks, run, "chunk int, n long, out binary")
+
+
+def _mean(outs: DataFrame, n: int) -> np.ndarray:
+    """Mean of the vectors ``out`` by rows, added up in groups of chunks and always
+    in the same order."""
+    def add(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["chunk"])
+        total = sum(np.frombuffer(r["out"], np.float64) * r["n"] for r in rows)
+        return pa.table({"chunk": pa.array([rows[0]["chunk"]], pa.int32()), "n": pa.array([sum(r["n"] for r in rows)], pa.int64()),
+                         "out": pa.array([total.tobytes()], pa.binary())})
+
+    groups = math.isqrt(n)
+    parts = sorted(outs.groupBy(F.col("chunk") % groups).applyInArrow(add, "chunk int, n long, out binary").collect())
+    return sum(np.frombuffer(r["out"], np.float64) for r in parts) / sum(r["n"] for r in parts)
+
+
+def _fit_chunks(rows: DataFrame, n: int, times: int, split: bool, recall: float, seed: int = 0) -> Scanner:
+    context = rows.sparkSession.sparkContext
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("before", "value", "after"), F.lit(n)).cast("int"))
+    coded = written(dealt.groupBy("chunk").applyInArrow(_coder(times, split, seed), _CODED), "secret-chunks")
+    train = coded.where(~F.col("checked")).select("chunk", "n", "x", "heads", "y").repartition(n).persist()
+    count = coded.where(~F.col("checked")).agg(F.sum("n").alias("n"), F.sum("n_secrets").alias("n_secrets")).first()
+    share = count["n_secrets"] / count["n"]
+
+    def round_of(e: int, start):
+        def run(r: dict) -> bytes:
+            network, state = unpacked(start.value)
+            heads = np.frombuffer(r["heads"], np.int64)
+            # the windows of a long secret are all secret
+            y = np.repeat(np.frombuffer(r["y"], np.uint8).astype(float), np.diff(heads, append=r["n"]))
+            network.epoch(state, np.frombuffer(r["x"], np.uint8).reshape(-1, _WIDTH), y, share, np.random.default_rng((1, e, r["chunk"])))
+            return packed(network, state).tobytes()
+        return run
+
+    first = Network(seed)
+    vector = packed(first, Moments.of(first))
+    for e in range(EPOCHS):
+        start = context.broadcast(vector)  # some 30,000 numbers
+        vector = _mean(_per_chunk(train, round_of(e, start)), n)
+        start.unpersist()
+    train.unpersist()
+    network = unpacked(vector)[0]
+    shared = context.broadcast(network)
+
+    def highest(r: dict) -> bytes:
+        z = shared.value.logits(np.frombuffer(r["x"], np.uint8).reshape(-1, _WIDTH))
+        return np.maximum.reduceat(z, np.frombuffer(r["heads"], np.int64)).astype(np.float32).tobytes()
+
+    checks = coded.where("checked")
+    logits = written(_per_chunk(checks.select("chunk", "n", "x", "heads").repartition(n), highest).select("chunk", F.col("out").alias("z"))
+                     .join(checks.select("chunk", "n", "y", "shapes"), "chunk"), "secret-logits")
+    return calibrated(network, logits, recall)
+
+
+def calibrated(network: Network, logits: DataFrame, recall: float) -> Scanner:
+    """The scanner of a network and the checked findings, a row a chunk: chunk, n,
+    z (float32), y and shapes (uint8)."""
+    z_of = lambda r: np.frombuffer(r["z"], np.float32)
+    y_of = lambda r: np.frombuffer(r["y"], np.uint8)
+
+    def total(fn: Callable[[dict], np.ndarray]) -> np.ndarray:
+        """Sum of a few numbers a chunk, always in the same order."""
+        rows = sorted(_per_chunk(logits, lambda r: fn(r).astype(np.float64).tobytes()).select("chunk", "out").collect())
+        return sum(np.frombuffer(r["out"], np.float64) for r in rows)
+
+    def sizes(r: dict) -> np.ndarray:
+        secret = np.bincount(np.frombuffer(r["shapes"], np.uint8)[y_of(r) == 1], minlength=3)
+        return np.array([*secret, (y_of(r) == 0).sum()])
+
+    *secrets, n0 = total(sizes)
+    n1 = sum(secrets)
+    slope, intercept = platt(lambda a, b: total(lambda r: platt_sums(z_of(r).astype(float), y_of(r), n1, n0, a, b)))
+    scanner = Scanner(network, slope, intercept, (0.5,) * 3)
+    kinds = [k if secrets[k] >= LEAST else 3 for k in range(3)]  # 3: secrets of all shapes
+    ranks = {k: int(np.floor((1 - recall) * (n1 if k == 3 else secrets[k]))) for k in set(kinds)}
+    found = ranked(logits, ranks)
+    scanner.thresholds = tuple(float(scanner.probability(found[k:k + 1])[0]) for k in kinds)
+    return scanner
+
+
+def ordered(z: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the float32 numbers."""
+    bits = z.astype(np.float32).view(np.uint32)
+    return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint32)
+
+
+def ranked(logits: DataFrame, ranks: dict[int, int]) -> np.ndarray:
+    """The secrets' logits at the given ranks (from 0), by shape (3: of all), exactly:
+    11, 11 and 10 leading bits are settled one after another by counts."""
+    lead = {k: 0 for k in ranks}
+    left = dict(ranks)
+    for before, width in ((0, 11), (11, 11), (22, 10)):
+        rest = 32 - before - width
+
+        def run(batches: Iterator[pa.RecordBatch], before=before, width=width, rest=rest, lead=dict(lead)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    mine = np.frombuffer(r["y"], np.uint8) == 1
+                    key = ordered(np.frombuffer(r["z"], np.float32)).astype(np.int64)
+                    shapes = np.frombuffer(r["shapes"], np.uint8)
+                    for k, top in lead.items():
+                        some = key[mine & ((shapes == k) | (k == 3)) & (key >> (32 - before) == top)]
+                        count = np.bincount((some >> rest) & ((1 << width) - 1), minlength=1)
+                        at = np.flatnonzero(count)
+                        yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k), pa.int32()), "at": pa.array(at, pa.int32()),
+                                                          "n": pa.array(count[at], pa.int64())})
+
+        counts = arrow_map(logits.select("z", "y", "shapes"), run, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
+        settled = set()
+        for k, at, count in sorted(counts.collect()):  # at most 2,048 rows a shape
+            if k in settled:
+                continue
+            if left[k] < count:
+                lead[k] = (lead[k] << width) + at
+                settled.add(k)
+            else:
+                left[k] -= count
+    out = np.zeros(4, np.float32)
+    for k, v in lead.items():
+        v = np.uint32(v)
+        out[k] = np.array([v & np.uint32((1 << 31) - 1) if v >> 31 else ~v], np.uint32).view(np.float32)[0]
+    return out
+
+
 def scan(spans: DataFrame, scanner: Scanner | None) -> DataFrame:
     """(doc_id, spans) per row of ``extract``: the reported spans (kind, start,
     end, score), by start, then kind as in ``KINDS``."""
@@ -364,8 +598,8 @@ def scan(spans: DataFrame, scanner: Scanner | None) -> DataFrame:
 
 
 def secret_spans(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 max_rows: int = MAX_ROWS, recall: float = RECALL) -> DataFrame:
+                 recall: float = RECALL) -> DataFrame:
     """(doc_id, spans) per row of ``docs``; ``labelled`` (before, value, after,
     label) replaces the findings taken from the table itself."""
     spans = extract(docs, id_col, text_col)
-    return scan(spans, fit(findings(spans, max_rows) if labelled is None else labelled, recall))
+    return scan(spans, fit(findings(spans) if labelled is None else labelled, recall))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cinestat.llm import queries, secret_scan
@@ -128,3 +129,66 @@ def test_own_labels(spark):
 @pytest.mark.parametrize("n", [0, 1, 7])
 def test_too_few_findings_teach_nothing(n):
     assert secret_scan.learn([("", "x" * (i + 20), "", 1) for i in range(n)] + [("", "y" * (i + 20), "", 0) for i in range(30)]) is None
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """4,000 secrets and 4,500 others, a document each, outside the held-out fold."""
+    rng = random.Random(5)
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 5)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    rows = [(next(ids), "token=" + pick("ABCDEFGHJKabcdefghijk0123456789", 30) + " .") for _ in range(4000)]
+    rows += [(next(ids), "see www." + pick("aeiou", 3) + "example.com/" + pick("abcdefgh", 8) + ".html now") for _ in range(4500)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_all_findings_are_learned(spark, many):
+    found = secret_scan.findings(secret_scan.extract(many))
+    n = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
+    assert n == {1: 4000, 0: found.where("label = 0").select("value").distinct().count()} and n[0] > 4400
+
+
+def test_chunks_learn_all_findings_alike_in_any_order(spark, many):
+    found = secret_scan.findings(secret_scan.extract(many))
+    rows = [tuple(r) for r in found.collect()]
+    scanner, again = (secret_scan.fit(f, chunk=1 << 12) for f in (found, found.repartition(7)))
+    assert all((scanner.network.p[k] == again.network.p[k]).all() for k in scanner.network.p)
+    assert (scanner.slope, scanner.intercept, scanner.thresholds) == (again.slope, again.intercept, again.thresholds)
+    p = scanner.scores([r[:3] for r in rows])
+    told = np.array([q >= scanner.thresholds[secret_scan.shape(r[1])] for q, r in zip(p, rows, strict=True)])
+    y = np.array([r[3] for r in rows])
+    assert told[y == 1].mean() >= 0.97 and told[y == 0].mean() <= 0.01
+
+
+@pytest.mark.parametrize("split", [True, False])
+def test_every_finding_of_a_chunk_is_coded_once(split):
+    rng = random.Random(3)
+    rows = [("a ", "".join(rng.choices("abcdef0123456789", k=rng.choice((20, 60, 200)))), " z", i % 3 == 0) for i in range(300)]
+    table = pa.table({"chunk": [4] * 300, **{c: list(v) for c, v in zip(("before", "value", "after", "label"), zip(*rows, strict=True), strict=True)}})
+    got = {r["checked"]: r for r in secret_scan._coder(2, split, 0)(table.set_column(4, "label", table["label"].cast("int32"))).to_pylist()}
+    assert sum(len(got[c]["y"]) for c in got) == (500 if split else 1000)
+    for r in got.values():
+        heads, x = np.frombuffer(r["heads"], np.int64), np.frombuffer(r["x"], np.uint8).reshape(r["n"], -1)
+        y = np.frombuffer(r["y"], np.uint8)
+        assert r["n_secrets"] == np.diff(heads, append=r["n"])[y == 1].sum()
+        windows = [w.tobytes() for w in np.split(x, heads[1:])]
+        own = [secret_scan.encode(*q[:3]).tobytes() for q in rows if not split or bool(secret_scan.set_aside([q])[0]) is r["checked"]]
+        assert not {*own} - {*windows}
+
+
+def test_calibration_over_chunks_equals_that_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 900).astype(np.uint8)
+    z = (rng.normal(size=900) + 2 * y - 1).astype(np.float32)
+    z[::50] = np.repeat(z[:1], 18)  # ties
+    shapes = np.where(rng.random(900) < 0.004, 1, rng.integers(0, 2, 900) * 2).astype(np.uint8)
+    cut = [0, 100, 101, 600, 900]
+    logits = spark.createDataFrame([(i, b - a, *(bytearray(v[a:b].tobytes()) for v in (z, y, shapes))) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False))],
+                                   "chunk int, n long, z binary, y binary, shapes binary").repartition(3)
+    got = secret_scan.calibrated(secret_scan.Network(), logits, 0.9)
+    n1, n0 = y.sum(), (1 - y.astype(int)).sum()
+    assert np.allclose((got.slope, got.intercept), secret_scan.platt(lambda a, b: secret_scan.platt_sums(z.astype(float), y, n1, n0, a, b)), atol=1e-9)
+    for k in range(3):
+        mine = z[(y == 1) & (shapes == k)]
+        mine = np.sort(mine if len(mine) >= secret_scan.LEAST else z[y == 1])
+        assert got.thresholds[k] == got.probability(mine[int(np.floor((1 - 0.9) * len(mine)))][None])[0]
