@@ -1,6 +1,8 @@
 """Blocks of pages with nested, unclosed and hidden tags."""
 
 import html.parser
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -86,3 +88,54 @@ def test_only_pages_are_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     for plan in plans:
         assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def by_hand(html, names):
+    """(no of order, name, level, inner) of the blocks ``names`` by one walk over the page."""
+    html = re.sub(blocks.HIDDEN_RE, "", html)
+    tags = [(m.start(), m.end(), m[2].lower(), m[1] == "/") for m in re.finditer(blocks.TAG_RE, html) if m[1] or not m[3].endswith("/")]
+    out = []
+    for name in names:
+        depth, events = 0, []  # of the tags that make levels; (level, begins a block, ends one, start, stop)
+        for start, stop, tag, closing in tags:
+            if tag in (blocks.LISTS if name == "li" else (name,)):
+                depth += -1 if closing else 1
+                if name != "li" or closing:
+                    events.append((depth + closing, not closing, start, stop))
+            elif tag == name:
+                events.append((depth, not closing, start, stop))
+        for i, (level, begins, _, stop) in enumerate(events):
+            if begins:
+                ends = [e[2] for e in events[i + 1:] if e[0] == level]
+                out.append((stop, name, level, html[stop:ends[0] if ends else len(html)]))
+    return [x[1:] for x in sorted(out)]
+
+
+def test_blocks_equal_a_walk(spark):
+    rng = random.Random(5)
+    parts = ["<div>", "<div class='k'>", "</div>", "</DIV>", "<ul>", "</ul>", "<OL>", "</ol>", "<li>", "<li a='<li>'>", "</li>", "<li/>", "<div/>", "x", "é <", " > ", "<p>",
+             "<!-- <div> -->", "<script>'<li>'</script>"]
+    pages = [(n, "".join(rng.choices(parts, k=rng.randrange(1, 60)))) for n in range(120)] + [(500, "".join(rng.choices(parts, k=6000)))]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    for names in (["div"], ["li"], ["li", "div", "ul"]):
+        got = {}
+        for r in blocks.block_texts(df, blocks.page_blocks(df, names)).orderBy("page_id", "no").collect():
+            got.setdefault(r["page_id"], []).append((r["name"], r["level"], r["inner"]))
+        assert got == {n: x for n, html in pages if (x := by_hand(html, names))}
+
+
+def test_tags_are_no_rows(spark):
+    """A page stays one row until its blocks are found: nothing is sorted, joined or numbered across rows."""
+    pages = spark.createDataFrame(PAGES, "page_id long, html string")
+    for f in (blocks.review_rows, blocks.film_fields):
+        plan = f(pages)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Window", "Sort ", "Join", "Aggregate")) and plan.count("Exchange") == 1
+
+
+def test_a_page_that_comes_twice_is_read_twice(spark):
+    page = "<h1>N</h1><ul><li>Year: 1999</ul><div class='reviews'><div class='review'><div class='user'>A</div><span class='points'>7/10</span></div></div>"
+    pages = spark.createDataFrame([(1, page), (1, page), (2, page), (None, page)], "page_id long, html string")
+    assert sorted((r["page_id"], r["pos"], r["user_name"], r["rating"]) for r in blocks.review_rows(pages).collect()) == [
+        (1, 1, "A", 7.0), (1, 1, "A", 7.0), (2, 1, "A", 7.0)]
+    assert sorted((r["page_id"] or 0, r["name"], r["year"] or 0) for r in blocks.film_fields(pages).collect()) == [
+        (0, "N", 0), (1, "N", 1999), (1, "N", 1999), (2, "N", 1999)]
